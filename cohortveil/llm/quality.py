@@ -100,7 +100,7 @@ def gram_counts(docs: DataFrame, trusted_col: str, buckets: int = BUCKETS) -> tu
     return out[0], out[1]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.35, min_words: int = 10, max_repeat_percent: int = 20, smoothing: float = 1.0, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.2, min_words: int = 10, max_repeat_percent: int = 20, smoothing: float = 1.0, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept for each row of ``docs``.
 
     ``labels`` has doc_id and quality; rows of quality 1 are the trusted target.

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import checkpointed, texts
+from .words import gram_hashes, utf8_views, word_hashes, word_spans
 
 # Letters that look like a Latin one, and signs that stand for one.
 _ALIKE = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ո": "n", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ℓ": "l"}
@@ -107,6 +108,20 @@ def _counted(sample: DataFrame, terms) -> DataFrame:
     return sample.mapInArrow(count, "term string, toxic long, docs long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
 
 
+def _sketched(sample: DataFrame) -> DataFrame:
+    """``sample`` with the least hash of each text's word triples: most near copies have the same, and count once."""
+
+    def sketch(batches):
+        for batch in batches:
+            least = []
+            for view in utf8_views(batch.column("text")):
+                grams = gram_hashes(word_hashes(view, *word_spans(view)), 3)
+                least.append(int(grams.min()) - (1 << 63) if len(grams) else len(view))
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(least, pa.int64())], names=["text", "toxic", "sketch"])
+
+    return sample.mapInArrow(sketch, "text string, toxic int, sketch long")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights (the last is the intercept) by Newton steps with a ridge."""
     x = np.column_stack((x, np.ones(len(x))))
@@ -130,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_toxic: int =
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda label, most: usable.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
-    sample = checkpointed(docs.join(F.broadcast(pick(1, max_toxic).unionByName(pick(0, max_clean))), "doc_id").select("text", "toxic"))  # at most max_toxic + max_clean rows
+    picked = docs.join(F.broadcast(pick(1, max_toxic).unionByName(pick(0, max_clean))), "doc_id").select("text", "toxic")  # at most max_toxic + max_clean ids
+    sample = checkpointed(_sketched(picked).dropDuplicates(["sketch", "toxic"]).select("text", "toxic"))
     n_toxic, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_toxic or n_toxic == n_all:
         return {}, (), np.array([0.0, 0.0, 0.0, -30.0])
