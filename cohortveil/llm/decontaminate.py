@@ -19,18 +19,22 @@ once by their text form (null: left out).  Without items nothing is hit.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tables import keyed
 from .words import LOWER, PLAIN, covered, gram_hashes, utf8_views, winnow, word_hashes, word_spans
 
 #: Benchmarks of up to so many windows are sent to the tasks (16 bytes each).
 BROADCAST_WINDOWS = 2_000_000
 
-_HITS = "doc_id {id}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(_SPAN))]
+_FIGURES = tuple(f.name for f in _FIELDS)
 
 
 def _words(view: np.ndarray) -> np.ndarray:
@@ -93,7 +97,8 @@ def _spans(hit: np.ndarray) -> list[dict]:
 
 def _result(batch: pa.RecordBatch, rows: list[tuple[int, int, list, list]]) -> pa.RecordBatch:
     n, hit, items, spans = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+    carried = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_key", "_text", "_starts", "_items")}
+    return pa.RecordBatch.from_arrays([*carried.values(), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*carried, *_FIGURES])
 
 
 def _judged(words: np.ndarray, at: list[tuple[np.ndarray, int]]) -> np.ndarray:
@@ -104,18 +109,19 @@ def _judged(words: np.ndarray, at: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return hit
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted text forms), spans (of hit words, from and to) for each row of ``docs``."""
-    rows = keyed(docs, id_col, text_col)
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, carry: Sequence[str] | None = None) -> DataFrame:
+    """Columns ``carry`` of each row of ``docs`` (the id, if not given), then n_words, n_hit, item_ids (sorted text forms), spans (of hit words, from and to)."""
+    carry = [id_col] if carry is None else [c for c in carry if c not in _FIGURES]
+    rows = docs.select(*carry, F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("text"))
     windows, prints = _item_windows(items, window, gram)
-    schema = _HITS.format(id=dict(rows.dtypes)["doc_id"])
+    schema = T.StructType([rows.schema[c] for c in carry] + _FIELDS)
     if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
         return _by_broadcast(rows, windows, prints, window, gram, schema)
     return _by_shuffle(rows, windows, prints, window, gram, schema)
 
 
-def _by_broadcast(rows: DataFrame, windows: DataFrame, prints: DataFrame, window: int, gram: int, schema: str) -> DataFrame:
+def _by_broadcast(rows: DataFrame, windows: DataFrame, prints: DataFrame, window: int, gram: int, schema: T.StructType) -> DataFrame:
     context = rows.sparkSession.sparkContext
     listed = windows.toArrow()
     hashes = listed["hash"].to_numpy().view(np.uint64)
@@ -127,7 +133,7 @@ def _by_broadcast(rows: DataFrame, windows: DataFrame, prints: DataFrame, window
         known, table, names, short = shared.value
         for batch in batches:
             out = []
-            for view in utf8_views(batch.column("text")):
+            for view in utf8_views(batch.column("_text")):
                 words = _words(view)
                 at, found = [], set()
                 for starts, width in [(_met(words, known, window, gram), window), *((np.arange(max(0, len(words) - w + 1)), w) for w in short)]:
@@ -141,26 +147,26 @@ def _by_broadcast(rows: DataFrame, windows: DataFrame, prints: DataFrame, window
                 out.append((len(words), int(hit.sum()), sorted(found), _spans(hit)))
             yield _result(batch, out)
 
-    return rows.select("doc_id", "text").mapInArrow(judge, schema)
+    return rows.drop("_key").mapInArrow(judge, schema)
 
 
-def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame, window: int, gram: int, schema: str) -> DataFrame:
+def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame, window: int, gram: int, schema: T.StructType) -> DataFrame:
     short = sorted(r.width for r in windows.where(F.col("width") < window).select("width").distinct().collect())  # under ``window`` values
 
     def own_prints(batches):
         for batch in batches:
             keys, found = [], [np.zeros(0, np.uint64)]
-            for key, view in zip(batch.column("key").to_pylist(), utf8_views(batch.column("text")), strict=True):
+            for key, view in zip(batch.column("_key").to_pylist(), utf8_views(batch.column("_text")), strict=True):
                 grams = gram_hashes(_words(view), gram, 1) if len(view) else np.zeros(0, np.uint64)
                 own = np.unique(grams[winnow(grams, window - gram + 1)])
                 keys += [key] * len(own)
                 found.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["key", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["_key", "hash"])
 
     def own_windows(batches):
         for batch in batches:
             keys, hashes, starts, widths = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-            for key, view, met in zip(batch.column("key").to_pylist(), utf8_views(batch.column("text")), batch.column("met").to_pylist(), strict=True):
+            for key, view, met in zip(batch.column("_key").to_pylist(), utf8_views(batch.column("_text")), batch.column("met").to_pylist(), strict=True):
                 words = _words(view)
                 known = np.sort(np.array(met or [], dtype=np.int64).view(np.uint64))
                 for at, width in [(_met(words, known, window, gram), window), *((np.arange(max(0, len(words) - w + 1)), w) for w in short)]:
@@ -169,19 +175,19 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, prints: DataFrame, window:
                         widths += [width] * len(at)
                         starts.append(at)
                         hashes.append(gram_hashes(words, width, 2)[at])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(widths, pa.int32())], names=["key", "hash", "start", "width"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(widths, pa.int32())], names=["_key", "hash", "start", "width"])
 
     def judge(batches):
         for batch in batches:
             out = []
-            for view, starts, items in zip(utf8_views(batch.column("text")), batch.column("starts").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            for view, starts, items in zip(utf8_views(batch.column("_text")), batch.column("_starts").to_pylist(), batch.column("_items").to_pylist(), strict=True):
                 words = _words(view)
                 hit = _judged(words, [(np.array([s["start"] for s in starts or [] if s["width"] == w], dtype=np.int64), w) for w in (*short, window)])
                 out.append((len(words), int(hit.sum()), sorted(items or []), _spans(hit)))
             yield _result(batch, out)
 
-    met = rows.mapInArrow(own_prints, "key long, hash long").join(prints, "hash").groupBy("key").agg(F.collect_set("hash").alias("met"))
-    near = rows.join(met, "key", "left" if short else "inner").select("key", "text", "met").distinct()
-    shared = near.mapInArrow(own_windows, "key long, hash long, start int, width int").join(windows, ["hash", "width"])
-    hits = shared.groupBy("key").agg(F.collect_set(F.struct("start", "width")).alias("starts"), F.collect_set("item").alias("items"))
-    return rows.join(hits, "key", "left").select("doc_id", "text", "starts", "items").mapInArrow(judge, schema)
+    met = rows.mapInArrow(own_prints, "_key long, hash long").join(prints, "hash").groupBy("_key").agg(F.collect_set("hash").alias("met"))
+    near = rows.join(met, "_key", "left" if short else "inner").select("_key", "_text", "met").distinct()
+    shared = near.mapInArrow(own_windows, "_key long, hash long, start int, width int").join(windows, ["hash", "width"])
+    hits = shared.groupBy("_key").agg(F.collect_set(F.struct("start", "width")).alias("_starts"), F.collect_set("item").alias("_items"))
+    return rows.join(hits, "_key", "left").mapInArrow(judge, schema)

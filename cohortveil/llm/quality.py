@@ -13,16 +13,19 @@ decides.  Repeated rows count as often as they stand there.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import texts
 from .words import gram_hashes, mix, utf8_views, word_hashes, word_spans
 
 BUCKETS = 1 << 14
-_CHUNK = 1 << 10
+_FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 _SYMBOL = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 _CODE_POINT = np.array([not 0x80 <= b <= 0xBF for b in range(256)])
 #: Classes of bytes for word shapes: small, capital, digit, other ASCII by itself, not ASCII as small.
@@ -100,23 +103,30 @@ def gram_counts(docs: DataFrame, trusted_col: str, buckets: int = BUCKETS) -> tu
     return out[0], out[1]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.2, min_words: int = 10, max_repeat_percent: int = 20, smoothing: float = 1.0, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept for each row of ``docs``.
+def _figures_schema() -> list[T.StructField]:
+    kinds = (*[T.LongType()] * 5, T.BooleanType(), T.DoubleType(), T.BooleanType())
+    return [T.StructField(n, k) for n, k in zip(_FIGURES, kinds, strict=True)]
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.2, min_words: int = 10, max_repeat_percent: int = 20, smoothing: float = 1.0, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """Columns ``carry`` of each row of ``docs`` (the id, if not given), then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
     ``labels`` has doc_id and quality; rows of quality 1 are the trusted target.
     """
+    carry = [id_col] if carry is None else [c for c in carry if c not in _FIGURES]
     rows = texts(docs, id_col, text_col)
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     raw, target = gram_counts(rows.join(good, "doc_id", "left"), "trusted", buckets)
     ratio = np.log((target + smoothing) / (target.sum() + smoothing * buckets)) - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets)) if target.sum() else np.zeros(buckets)
     shared = rows.sparkSession.sparkContext.broadcast(ratio)
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
+    whole = docs.select(*carry, F.col(text_col).alias("_text"))
+    schema = T.StructType([whole.schema[c] for c in carry] + _figures_schema())
 
     def score(batches):
         table = shared.value
         for batch in batches:
             out = []
-            for view in utf8_views(batch.column("text")):
+            for view in utf8_views(batch.column("_text")):
                 starts, ends, hashes, chars, symbols, lines, repeat = base_figures(view)
                 grams = gram_buckets(view, starts, ends, hashes, buckets)
                 llr = float(table[grams].mean()) if len(grams) else 0.0
@@ -124,6 +134,6 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.2, min_words
                 out.append((len(starts), chars, symbols, lines, repeat, failed, llr, not failed and llr >= threshold))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*carry, *_FIGURES])
 
-    return rows.mapInArrow(score, schema)
+    return whole.mapInArrow(score, schema)

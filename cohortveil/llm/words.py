@@ -45,7 +45,7 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype
 _BYTE_CODE = np.array([_mix_int(0xA5A5 + b) for b in range(256)], dtype=np.uint64)
 
 
-class _Powers:
+class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
 
     def __init__(self, base: int) -> None:
@@ -62,7 +62,7 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(_mix_int(11) | 1), _Powers(_mix_int(12) | 1)
+_BYTES, _WORDS = Powers(_mix_int(11) | 1), Powers(_mix_int(12) | 1)
 
 
 def utf8_views(column: pa.Array) -> Iterator[np.ndarray]:
