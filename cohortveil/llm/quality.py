@@ -1,12 +1,13 @@
 """Quality rules: base checks and a hashed n-gram log-likelihood ratio.
 
-Words give hashed grams of words' character shapes and pieces; their counts over
-a trusted target (documents labelled good) and over the raw corpus, both whole,
-make two multinomials over a fixed number of buckets.  A document's mean log
+Words give hashed grams of the words' shapes; their counts over a trusted target
+(documents labelled good) and over the raw corpus make two multinomials over a
+fixed number of buckets.  A document's mean log
 ratio per gram, target against raw, is compared with a fixed threshold.
 
-The counts are sums over all documents, in two arrays of fixed size; those are
-what the tasks are sent.  A null or empty text has no words; it fails the base
+The raw counts are sums over all documents, the target's over a bounded sample of
+labelled ones; both are arrays of fixed size, and those are what the tasks are
+sent.  A null or empty text has no words; it fails the base
 check.  Without labelled rows the ratio is 0 for all and only the base check
 decides.  Repeated rows count as often as they stand there.
 """
@@ -108,15 +109,17 @@ def _figures_schema() -> list[T.StructField]:
     return [T.StructField(n, k) for n, k in zip(_FIGURES, kinds, strict=True)]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.2, min_words: int = 10, max_repeat_percent: int = 20, smoothing: float = 1.0, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.2, min_words: int = 10, max_repeat_percent: int = 20, smoothing: float = 1.0, max_trusted: int = 50_000, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """Columns ``carry`` of each row of ``docs`` (the id, if not given), then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    ``labels`` has doc_id and quality; rows of quality 1 are the trusted target.
+    ``labels`` has doc_id and quality; rows of quality 1 are the trusted target,
+    at most ``max_trusted`` of them, those with the least hashes of their ids.
     """
     carry = [id_col] if carry is None else [c for c in carry if c not in _FIGURES]
     rows = texts(docs, id_col, text_col)
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    raw, target = gram_counts(rows.join(good, "doc_id", "left"), "trusted", buckets)
+    usable = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_trusted).withColumn("trusted", F.lit(True))
+    raw, target = gram_counts(rows.join(F.broadcast(good), "doc_id", "left"), "trusted", buckets)  # at most max_trusted ids
     ratio = np.log((target + smoothing) / (target.sum() + smoothing * buckets)) - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets)) if target.sum() else np.zeros(buckets)
     shared = rows.sparkSession.sparkContext.broadcast(ratio)
     whole = docs.select(*carry, F.col(text_col).alias("_text"))
