@@ -26,7 +26,7 @@ class Dialect:
 
     def series(self, name: str, start: int, end: int) -> str:
         """A one-column relation of the integers from start to end."""
-        return f"(select explode(sequence({start}, {end})) as {name})" if self.spark else f"(select unnest(range({start}, {end + 1})) as {name})"
+        return f"(select cast(id as int) as {name} from range({start}, {end + 1}))" if self.spark else f"(select unnest(range({start}, {end + 1})) as {name})"
 
     def text(self, x: str) -> str:
         return f"cast({x} as string)" if self.spark else f"cast({x} as varchar)"

@@ -39,7 +39,7 @@ def kinship(std: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     rows = std.withColumns({"t": of, "vb": F.floor(F.col("variant_idx") / block)}).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     rows = rows.select("cohort", "sample_idx", "variant_idx", "x", "t", "vb", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
 
-    def products(key, part: pd.DataFrame) -> pd.DataFrame:
+    def products(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         ids, x = _dense(part)
         side = part.drop_duplicates("sample_idx").set_index("sample_idx")["t"].reindex(ids).to_numpy()
         a, b = np.flatnonzero(side == key[2]), np.flatnonzero(side == key[3])
@@ -56,14 +56,21 @@ def kinship(std: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
 
 def distances(std: DataFrame, tile: int = TILE) -> DataFrame:
     """``sample_idx, d_syn, d_real`` of each HO sample: to the nearest SYN one and the nearest other HO one (Euclidean)."""
-    vectors = std.where("cohort in ('HO', 'SYN')").groupBy("cohort", "sample_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "x"))), lambda s: s["x"]).alias("v"))
+    least = lambda cohort: F.min(F.when(F.col("cohort") == cohort, F.col("dd")))
+    return nearest(std.where("cohort in ('HO', 'SYN')"), tile).groupBy("sample_idx").agg(least("SYN").alias("d_syn"), least("HO").alias("d_real"))
+
+
+def nearest(std: DataFrame, tile: int = TILE) -> DataFrame:
+    """``cohort, sample_idx, dd``: each HO sample's distance to the nearest other sample of every cohort."""
+    vectors = std.groupBy("cohort", "sample_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "x"))), lambda s: s["x"]).alias("v"))
     tiles, of = _tile(vectors.count(), tile)
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    asked = vectors.where("cohort = 'HO'").select("sample_idx", "v", of.alias("qt")).withColumn("rt", every)
+    asked = vectors.where("cohort = 'HO'").select(F.lit(None).cast("string").alias("cohort"), "sample_idx", "v", of.alias("qt")).withColumn("rt", every)
     known = vectors.select("cohort", "sample_idx", "v", of.alias("rt")).withColumn("qt", every)
 
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def least(part: pd.DataFrame) -> pd.DataFrame:
         out = []
+        left, right = part[part["cohort"].isna()], part[part["cohort"].notna()]
         if len(left) and len(right):
             a = np.stack(left["v"].to_numpy())
             for cohort, part in right.groupby("cohort"):
@@ -76,9 +83,9 @@ def distances(std: DataFrame, tile: int = TILE) -> DataFrame:
                 out.append(pd.DataFrame({"sample_idx": left["sample_idx"], "cohort": cohort, "dd": exact}))
         return pd.concat(out) if out else pd.DataFrame({"sample_idx": [], "cohort": [], "dd": []})
 
-    pairs = asked.groupBy("qt", "rt").cogroup(known.groupBy("qt", "rt")).applyInPandas(nearest, "sample_idx long, cohort string, dd double").where("not isnan(dd)")
-    least = lambda cohort: F.round(F.min(F.when(F.col("cohort") == cohort, F.col("dd"))), 9)
-    return pairs.groupBy("sample_idx").agg(least("SYN").alias("d_syn"), least("HO").alias("d_real"))
+    tasks = asked.unionByName(known).groupBy("qt", "rt")  # two tiles at most, and the asked ones once more
+    pairs = tasks.applyInPandas(least, "sample_idx long, cohort string, dd double").where("not isnan(dd)")
+    return pairs.groupBy("cohort", "sample_idx").agg(F.round(F.min("dd"), 9).alias("dd"))
 
 
 def principal_components(std: DataFrame, k: int = 10) -> DataFrame:

@@ -202,8 +202,8 @@ def replay(theta: float = 0.125, upper: float = 0.5, bins: int = 25) -> Steps:
         "hist_b": f"select k.b, b.t, sum(k.w) as n from (select b, least(k, {d(upper)}) as k, w from kin_b where k >= {d(theta)}) k join bin b on (k.k >= b.lo and k.k < b.hi) or (b.t = {bins - 1} and k.k >= b.hi) group by k.b, b.t",
         "both_b": "select m.b, h.t, coalesce(x.n, 0) as p, cast(h.n as double) as q from (select distinct b from mult) m cross join (select t, n from hist where cohort = 'SYN') h left join hist_b x on x.b = m.b and x.t = h.t",
         **js_similarity("both_b", ("b",), "m_b"),
-        "both": "select r.t, cast(r.n as double) as p, cast(s.n as double) as q from hist r join hist s on s.t = r.t and s.cohort = 'SYN' where r.cohort = 'HO'",
-        **js_similarity("both", (), "m_obs"),
+        "tails_both": "select t, cast(max(case when cohort = 'HO' then n end) as double) as p, cast(max(case when cohort = 'SYN' then n end) as double) as q from hist group by t",
+        **js_similarity("tails_both", (), "m_obs"),
         "replay": f"select m as obs, base, sd, {excess('m', 'base')} as r_replay from m_obs cross join (select avg(m) as base, coalesce(stddev_samp(m), 0) as sd from m_b) n",
     }
 
@@ -231,7 +231,7 @@ def haplotype_risk(min_poly: int = 6) -> Steps:
 
 def proximity_draws(q: Dialect, quantile: float = 0.01) -> Steps:
     """``pli_b``: the proximity figures of each draw of the real samples' distances."""
-    spread = "select m.b, x.d_syn, x.d_real from mult m join dist x on x.sample_idx = m.sample_idx cross join (select 0 as z) o join (select explode(sequence(1, 64)) as nth) r on r.nth <= m.c" if q.spark else "select m.b, x.d_syn, x.d_real from mult m join dist x on x.sample_idx = m.sample_idx join (select unnest(range(1, 65)) as nth) r on r.nth <= m.c"
+    spread = "select m.b, x.d_syn, x.d_real from mult m join dist x on x.sample_idx = m.sample_idx cross join (select 0 as z) o join (select id as nth from range(1, 65)) r on r.nth <= m.c" if q.spark else "select m.b, x.d_syn, x.d_real from mult m join dist x on x.sample_idx = m.sample_idx join (select unnest(range(1, 65)) as nth) r on r.nth <= m.c"
     one = d(1.0)
     return {
         "dist_b": spread,

@@ -13,6 +13,7 @@ from .jobs import diagnostics, generators, scoring
 from .operators import kernels
 from .operators import relations as rel
 from .sources import adapters, vcf
+from .sources.shared import kept
 
 Steps = dict[str, str]
 MAF_LIMIT, ALPHA, THETAS = 0.01, 1e-3, (0.10, 0.125, 0.25)
@@ -57,7 +58,7 @@ class Job:
 
     def with_kin(self) -> Job:
         self.with_std()
-        return self.bind("kin", kernels.kinship(self.frames["std"].where("cohort in ('HO', 'SYN')")))
+        return self.bind("kin", kept(kernels.kinship(self.frames["std"].where("cohort in ('HO', 'SYN')"))))
 
     def with_dist(self, polymorphic: bool = False, components: int = 0) -> Job:
         self.with_std()
@@ -66,7 +67,7 @@ class Job:
             std = std.join(self.sql(rel.polymorphic(), "select variant_idx from poly"), "variant_idx", "left_semi")
         if components:
             std = kernels.principal_components(std, components)
-        return self.bind("dist", kernels.distances(std))
+        return self.bind("dist", kept(kernels.distances(std)))
 
 
 # -- the same text in both dialects ------------------------------------------------------------
@@ -125,7 +126,7 @@ KIN_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "grm_trace": (lambda q: {}, "select cohort, count(*) as pairs, round(sum(case when i = j then k else 0 end), 5) as trace from kin group by cohort"),
     "kin_tail": (lambda q: rel.tails(THETAS), "select cohort, theta, round(frac, 6) as frac from tail"),
     "kin_hist": (lambda q: rel.histogram(q), "select cohort, t, n from hist"),
-    "replay_js": (lambda q: rel.histogram(q) | {"both": "select r.t, cast(r.n as double) as p, cast(s.n as double) as q from hist r join hist s on s.t = r.t and s.cohort = 'SYN' where r.cohort = 'HO'"} | rel.js_similarity("both", (), "m_obs"), "select round(m, 6) as m from m_obs"),
+    "replay_js": (lambda q: rel.histogram(q) | {"tails_both": "select t, cast(max(case when cohort = 'HO' then n end) as double) as p, cast(max(case when cohort = 'SYN' then n end) as double) as q from hist group by t"} | rel.js_similarity("tails_both", (), "m_obs"), "select round(m, 6) as m from m_obs"),
     "boot_kin": (lambda q: rel.resamples(q, DRAWS) | rel.resampled_kin(), "select b, round(sum(w), 3) as pairs, round(sum(k * w), 3) as mass from kin_b group by b"),
     "ike_risk": (lambda q: rel.tails(THETAS) | rel.resamples(q, DRAWS) | rel.resampled_kin() | rel.kinship_excess(THETAS), "select theta, round(frac, 6) as frac, round(f0, 6) as f0, round(r, 6) as r from ike"),
     "replay_risk": (lambda q: rel.histogram(q) | rel.resamples(q, DRAWS) | rel.resampled_kin() | rel.replay(), "select round(obs, 6) as obs, round(base, 6) as base, round(sd, 6) as sd, round(r_replay, 6) as r_replay from replay"),
@@ -184,15 +185,9 @@ def scores_frame(spark: SparkSession, sf_dir: str) -> Job:
     job.run(_generated(SPARK), "cohorts").run(rel.allele_frequency(), "af")
     job.bind("std", job.sql({}, _ALL_STD).where("cohort <> 'TR'"))
     std = job.frames["std"]
-    job.bind("kin", kernels.kinship(std))
-    near = None
-    for name in ("G0", "G1", "G2", "SAFE", "LEAKY"):
-        relabelled = std.where(F.col("cohort").isin("HO", name)).withColumn("cohort", F.when(F.col("cohort") == "HO", "HO").otherwise("SYN"))
-        own = kernels.distances(relabelled)
-        part = own.select(F.lit(name).alias("cohort"), "sample_idx", F.col("d_syn").alias("dd"))
-        near = part.unionByName(own.select(F.lit("HO").alias("cohort"), "sample_idx", F.col("d_real").alias("dd"))) if near is None else near.unionByName(part)
-    job.bind("near", near)
-    return job.run(rel.train_maf(ALPHA) | scoring.components(SPARK), "scores")
+    job.bind("kin", kernels.kinship(std)).bind("near", kernels.nearest(std))
+    job.run(rel.train_maf(ALPHA) | scoring.components(SPARK), "scores")
+    return job.bind("scores", kept(job.frames["scores"]))
 
 
 # -- registration -------------------------------------------------------------------------------
