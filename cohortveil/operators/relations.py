@@ -69,7 +69,7 @@ def histogram(q: Dialect, theta: float = 0.125, upper: float = 0.5, bins: int =
     """``hist``: counts of tail pairs in equal bins; values above the last edge fall in the last bin, which is closed."""
     return {
         "bin": f"select t, {_edge('t', theta, upper, bins)} as lo, {_edge('(t + 1)', theta, upper, bins)} as hi from {q.series('t', 0, bins - 1)} s",
-        "hist": f"""select c.cohort, b.t, coalesce(sum(h.w), 0) as n from bin b cross join (select 'HO' as cohort union all select 'SYN') c
+        "hist": f"""select c.cohort, b.t, cast(coalesce(sum(h.w), 0) as bigint) as n from bin b cross join (select 'HO' as cohort union all select 'SYN') c
     left join (select cohort, least(k, {d(upper)}) as k, count(*) as w from kin where i < j and k >= {d(theta)} group by cohort, least(k, {d(upper)})) h
       on h.cohort = c.cohort and ((h.k >= b.lo and h.k < b.hi) or (b.t = {bins - 1} and h.k >= b.hi)) group by c.cohort, b.t""",
     }

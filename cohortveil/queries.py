@@ -108,7 +108,7 @@ TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "uniq_collision": (_tli, "select n_used, round(u, 6) as u, round(u0, 6) as u0, round(r_uniq, 6) as r_uniq from uniq"),
     "tli": (_tli, "select round(r_mia, 6) as r_mia, round(r_uniq, 6) as r_uniq, round(greatest(r_mia, r_uniq), 6) as tli from mia cross join uniq"),
     "hap_risk": (lambda q: rel.haplotypes(q) | rel.resamples(q, DRAWS) | rel.haplotype_risk(), "select round(obs, 6) as obs, round(base, 6) as base, round(cmax, 6) as cmax, round(r_hap, 6) as r_hap from hap_risk"),
-    "gen_safe": (lambda q: rel.allele_frequency() | generators.safe(q, 80), "select variant_idx, count(*) as n, sum(dosage) as alleles, sum(case when dosage = 2 then 1 else 0 end) as hom from safe_geno group by variant_idx"),
+    "gen_safe": (lambda q: rel.allele_frequency() | generators.safe(q, 80), "select variant_idx, count(*) as n, sum(dosage) as alleles, cast(sum(case when dosage = 2 then 1 else 0 end) as bigint) as hom from safe_geno group by variant_idx"),
     "gen_safe_floor": (lambda q: rel.allele_frequency() | generators.safe(q, 80, 0.05), "select variant_idx, count(*) as n, sum(dosage) as alleles from safe_geno group by variant_idx"),
     "gen_copycat": (lambda q: rel.ultra_rare(MAF_LIMIT) | generators.copycat(q, 100), "select sample_idx, count(dosage) as calls, sum(dosage) as alleles, sum(dosage * variant_idx) as mark from leaky_geno group by sample_idx"),
     "gen_kindoped": (lambda q: rel.ultra_rare(MAF_LIMIT) | generators.kindoped(q, 100), "select sample_idx, count(dosage) as calls, sum(dosage) as alleles, sum(dosage * variant_idx) as mark from kin_geno group by sample_idx"),
