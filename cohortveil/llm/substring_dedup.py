@@ -11,7 +11,8 @@ in one group.
 2. The other anchors' segments (the words that their suffixes reach) go to
    groups by anchor.  A group that would hold more than ``most_segments`` is dealt
    by longer prefixes, as long as the window: such a group is one tree node, and
-   its count is all that is needed.
+   its count is all that is needed.  Suffixes that meet in one batch already are
+   not sent to meet again, so no group grows with a passage's copies.
 3. In a group the subtree is built from the root down, a few words an edge;
    branches with one suffix are cut at once.  The nodes left at a depth of
    ``window`` words are repeats; the suffixes below them start repeated windows.
@@ -37,6 +38,8 @@ from .words import covered, gram_hashes, mix, utf8_views, word_hashes, word_span
 
 #: Segments of an anchor beyond which its suffixes are dealt by the whole window.
 MOST_SEGMENTS = 50_000
+#: Up to so many such anchors are sent to the tasks; more are joined by a shuffle.
+BROADCAST_ANCHORS = 1_000_000
 _EDGE = 7
 
 
@@ -86,28 +89,24 @@ def _anchor_rows(window: int, gram: int):
     return emit
 
 
-def _segment_rows(window: int, gram: int, heavy: bool):
-    """``part, key, start, offset, n, segment``: a segment for each listed anchor; or, if heavy, a row for each suffix of a heavy one."""
+def _segment_rows(window: int, gram: int):
+    """``part, key, start, offset, n, segment, weight``: a segment for each listed anchor; of a heavy one, a row for each suffix.
+
+    Heavy suffixes have no segment; their part is the whole window's hash, and
+    their weight is 1 if they are alone in the batch, 0 if they met there (then
+    ``n`` is a mask of such suffixes and the part is their own), 2 for the one
+    row that tells other batches of those that met.
+    """
 
     def emit(batches):
         for batch in batches:
             parts, keys, starts, offsets, counts, segments = [], [], [], [], [], []
+            heavy: list[tuple[np.ndarray, ...]] = []
             for key, view, listed in zip(batch.column("key").to_pylist(), utf8_views(batch.column("text")), batch.column("anchors").to_pylist(), strict=True):
                 begin, end = word_spans(view)
                 words = word_hashes(view, begin, end)
                 found, place, first, last = anchors(words, window, gram)
-                chosen = np.flatnonzero(np.isin(place, np.array([a["place"] for a in listed if a["heavy"] == heavy], dtype=np.int64)))
-                if heavy:
-                    whole = gram_hashes(words, window, 6).view(np.int64)
-                    for i in chosen.tolist():
-                        own = range(first[i], last[i] + 1)
-                        parts += whole[first[i] : last[i] + 1].tolist()
-                        keys += [key] * len(own)
-                        starts += own
-                        offsets += [0] * len(own)
-                        counts += [1] * len(own)
-                        segments += [None] * len(own)
-                    continue
+                chosen = np.flatnonzero(np.isin(place, np.array([a["place"] for a in listed if not a["heavy"]], dtype=np.int64)))
                 parts += found[chosen].view(np.int64).tolist()
                 keys += [key] * len(chosen)
                 starts += first[chosen].tolist()
@@ -115,7 +114,35 @@ def _segment_rows(window: int, gram: int, heavy: bool):
                 counts += (last - first + 1)[chosen].tolist()
                 data = view.tobytes()
                 segments += [data[a:b] + b" " for a, b in zip(begin[first[chosen]].tolist(), end[last[chosen] + window - 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(offsets, pa.int32()), pa.array(counts, pa.int32()), pa.array(segments, pa.binary())], names=["part", "key", "start", "offset", "n", "segment"])
+                crowded = np.flatnonzero(np.isin(place, np.array([a["place"] for a in listed if a["heavy"]], dtype=np.int64)))
+                if len(crowded):
+                    whole = gram_hashes(words, window, 6).view(np.int64)
+                    n = last[crowded] - first[crowded] + 1
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    own = np.repeat(first[crowded], n)
+                    heavy.append((whole[own + nth], np.full(len(own), key, np.int64), own, nth))
+            weights = [1] * len(parts)
+            if heavy:
+                whole, key, first, nth = (np.concatenate([h[i] for h in heavy]) for i in range(4))
+                value, inverse, times = np.unique(whole, return_inverse=True, return_counts=True)
+                alone = times[inverse] == 1
+                rows, row = np.unique(np.stack((key[~alone], first[~alone])), axis=1, return_inverse=True)
+                met = np.bincount(row.ravel(), np.exp2(nth[~alone]), rows.shape[1]).astype(np.int64)
+                told = value[times > 1]
+                for part_, key_, start_, n_, weight in (
+                    (whole[alone], key[alone], (first + nth)[alone], np.ones(alone.sum(), np.int64), 1),
+                    (mix(rows[0].view(np.uint64) + rows[1].view(np.uint64)).view(np.int64), rows[0], rows[1], met, 0),
+                    (told, np.zeros(len(told), np.int64), np.zeros(len(told), np.int64), np.zeros(len(told), np.int64), 2),
+                ):
+                    parts += part_.tolist()
+                    keys += key_.tolist()
+                    starts += start_.tolist()
+                    offsets += [0] * len(part_)
+                    counts += n_.tolist()
+                    segments += [None] * len(part_)
+                    weights += [weight] * len(part_)
+            columns = (pa.array(parts, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(offsets, pa.int32()), pa.array(counts, pa.int64()), pa.array(segments, pa.binary()), pa.array(weights, pa.int8()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["part", "key", "start", "offset", "n", "segment", "weight"])
 
     return emit
 
@@ -147,11 +174,19 @@ def _trees(window: int):
     """``key, start, mask`` of segments with repeats; the rows of a part come together."""
 
     def grow(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        column = table["segment"].chunk(0) if table["segment"].num_chunks else pa.array([], pa.binary())
-        bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        text = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-        mask = subtree_repeats(table["part"].to_numpy(), table["offset"].to_numpy(), table["n"].to_numpy(), text, bounds - bounds[0], window)
+        crowded = table["segment"].is_null().to_numpy()
+        mask = np.zeros(table.num_rows, np.int64)
+        if crowded.any():
+            part, weight, n = (table[c].to_numpy()[crowded] for c in ("part", "weight", "n"))
+            _, inverse = np.unique(part, return_inverse=True)
+            twice = np.bincount(inverse, weight)[inverse] > 1
+            mask[crowded] = np.where(weight == 0, n, np.where((weight == 1) & twice, 1, 0))
+        if not crowded.all():
+            light = table.filter(pa.array(~crowded)).combine_chunks()
+            column = light["segment"].chunk(0)
+            bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            text = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+            mask[~crowded] = subtree_repeats(light["part"].to_numpy(), light["offset"].to_numpy(), light["n"].to_numpy(), text, bounds - bounds[0], window)
         kept = mask > 0
         return pa.RecordBatch.from_arrays([pa.array(table["key"].to_numpy()[kept]), pa.array(table["start"].to_numpy()[kept]), pa.array(mask[kept])], names=["key", "start", "mask"])
 
@@ -208,17 +243,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, most_segme
     weighed = listed.withColumn("part", by).withColumn("total", F.sum("weight").over(Window.partitionBy("part")))
     repeated = checkpointed(weighed.where("weight = 0 or weight = 1 and total > 1").select("anchor", "key", "place"))
     crowded = repeated.groupBy("anchor").count().where(F.col("count") > most_segments).select("anchor", F.lit(True).alias("heavy"))
-    any_heavy = not crowded.isEmpty()
-    flagged = repeated.join(crowded, "anchor", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))) if any_heavy else repeated.withColumn("heavy", F.lit(False))
+    if crowded.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
+        crowded = F.broadcast(crowded)
+    flagged = repeated.join(crowded, "anchor", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     of_doc = flagged.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("place", "heavy")).alias("anchors"))
     chosen = rows.join(of_doc, "_key").select(F.col("_key").alias("key"), F.col(text_col).alias("text"), "anchors")
-    schema = "part long, key long, start int, offset int, n int, segment binary"
-    segments = chosen.mapInArrow(_segment_rows(window, gram, False), schema)
+    segments = chosen.mapInArrow(_segment_rows(window, gram), "part long, key long, start int, offset int, n long, segment binary, weight byte")
     found = segments.repartition("part").sortWithinPartitions("part").mapInArrow(_trees(window), "key long, start int, mask long")
-    if any_heavy:
-        suffixes = chosen.mapInArrow(_segment_rows(window, gram, True), schema).select("part", "key", "start")
-        twice = suffixes.groupBy("part").count().where("count > 1").select("part")
-        found = found.unionByName(suffixes.join(twice, "part").select("key", "start", F.lit(1).cast("long").alias("mask")))
     of_key = found.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "mask")).alias("_found"))
     fields = [f for f in rows.schema.fields if f.name != "_key"]
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
