@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm_score, mixing, near_dup, quality, substring_dedup, toxicity, url_filter
+from . import chat, decontaminate, html_text, lm_score, mixing, near_dup, oracle, quality, substring_dedup, toxicity, url_filter
 from .tables import table
 
 DOMAIN_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -67,4 +67,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_substring_dedup, op2_lm_scoring, op3_quality_rules, op4_chat_formatting, op5_decontamination, op6_source_mixing, op7_url_filters, op8_html_extraction, op9_near_dup, op10_toxicity)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.oracle_sql(DOMAIN_RULES)
