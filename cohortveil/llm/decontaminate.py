@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import bounded_batches
 from .words import LOWER, PLAIN, covered, gram_hashes, utf8_views, winnow, word_hashes, word_spans
 
 #: Benchmarks of up to so many windows are sent to the tasks (16 bytes each).
@@ -111,6 +112,7 @@ def _judged(words: np.ndarray, at: list[tuple[np.ndarray, int]]) -> np.ndarray:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, carry: Sequence[str] | None = None) -> DataFrame:
     """Columns ``carry`` of each row of ``docs`` (the id, if not given), then n_words, n_hit, item_ids (sorted text forms), spans (of hit words, from and to)."""
+    bounded_batches(docs.sparkSession)
     carry = [id_col] if carry is None else [c for c in carry if c not in _FIGURES]
     rows = docs.select(*carry, F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("text"))

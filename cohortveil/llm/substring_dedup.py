@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import checkpointed
+from .tables import bounded_batches, checkpointed
 from .words import covered, gram_hashes, mix, utf8_views, word_hashes, word_spans
 
 #: Segments of an anchor beyond which its suffixes are dealt by the whole window.
@@ -237,6 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, most_segme
     """
     if not _EDGE <= gram <= window <= gram + 40:
         raise ValueError("gram and window don't fit together")
+    bounded_batches(docs.sparkSession)
     rows = docs.drop("n_words", "n_removed", "kept_text", "removed").withColumns({"_key": F.xxhash64(id_col, text_col)})
     listed = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(_anchor_rows(window, gram), "anchor long, key long, place int, weight byte")
     by = F.when(F.col("weight") == 0, F.xxhash64("key", "place")).otherwise(F.col("anchor"))
