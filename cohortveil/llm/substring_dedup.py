@@ -89,7 +89,7 @@ def _anchor_rows(window: int, gram: int):
     return emit
 
 
-def _segment_rows(window: int, gram: int):
+def _segment_rows(window: int, gram: int, text_col: str):
     """``part, key, start, offset, n, segment, weight``: a segment for each listed anchor; of a heavy one, a row for each suffix.
 
     Heavy suffixes have no segment; their part is the whole window's hash, and
@@ -102,7 +102,7 @@ def _segment_rows(window: int, gram: int):
         for batch in batches:
             parts, keys, starts, offsets, counts, segments = [], [], [], [], [], []
             heavy: list[tuple[np.ndarray, ...]] = []
-            for key, view, listed in zip(batch.column("key").to_pylist(), utf8_views(batch.column("text")), batch.column("anchors").to_pylist(), strict=True):
+            for key, view, listed in zip(batch.column("_key").to_pylist(), utf8_views(batch.column(batch.schema.get_field_index(text_col))), batch.column("_anchors").to_pylist(), strict=True):
                 begin, end = word_spans(view)
                 words = word_hashes(view, begin, end)
                 found, place, first, last = anchors(words, window, gram)
@@ -247,9 +247,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, most_segme
     if crowded.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
         crowded = F.broadcast(crowded)
     flagged = repeated.join(crowded, "anchor", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    of_doc = flagged.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("place", "heavy")).alias("anchors"))
-    chosen = rows.join(of_doc, "_key").select(F.col("_key").alias("key"), F.col(text_col).alias("text"), "anchors")
-    segments = chosen.mapInArrow(_segment_rows(window, gram), "part long, key long, start int, offset int, n long, segment binary, weight byte")
+    of_doc = flagged.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("place", "heavy")).alias("_anchors"))
+    chosen = rows.join(of_doc, "_key")  # all columns, so that this and the last join read one shuffle of the rows
+    segments = chosen.mapInArrow(_segment_rows(window, gram, text_col), "part long, key long, start int, offset int, n long, segment binary, weight byte")
     found = segments.repartition("part").sortWithinPartitions("part").mapInArrow(_trees(window), "key long, start int, mask long")
     of_key = found.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "mask")).alias("_found"))
     fields = [f for f in rows.schema.fields if f.name != "_key"]
