@@ -132,6 +132,15 @@ def test_language_model(spark, head):
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in nothing)
 
 
+def test_all_training_words_teach_the_mixing_weights(spark, monkeypatch):
+    rows, learned, inner = lm_docs(random.Random(6)), [], lm_score._learned
+    monkeypatch.setattr(lm_score, "_learned", lambda *args: learned.append(inner(*args)) or learned[-1])
+    lm_score.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 10 == 0, learn_words=50)
+    c = Counter(w for i, t, _ in rows if i % 10 for w in [*brute.words(brute.lower(t)), "\n"])
+    assert len(c) > 500
+    assert learned[0].all.sum() == pytest.approx(sum(8 * min(n, lm_score.WHOLE_FROM) * (len(w.encode()) + (w != "\n")) for w, n in c.items()))
+
+
 def test_adaptive_mixture_is_a_probability():
     """Over all words that could come next, known and rare, the probabilities sum to one at most."""
     import numpy as np
