@@ -141,6 +141,16 @@ def test_all_training_words_teach_the_mixing_weights(spark, monkeypatch):
     assert learned[0].all.sum() == pytest.approx(sum(8 * min(n, lm_score.WHOLE_FROM) * (len(w.encode()) + (w != "\n")) for w, n in c.items()))
 
 
+def test_words_of_small_groups_count_fully(spark):
+    """Ten groups with words of their own, the ninth, tenth and those without a name too: none is below its counts by much."""
+    rng = random.Random(7)
+    rows = [(100 * g + i, " ".join(f"{'abcdefghijk'[g]}{rng.randrange(100)}" for _ in range(40)), None if g == 10 else f"l{g:02d}") for g in range(11) for i in range(60 - 3 * g)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 10 == 0).where("held_out").collect()
+    for g in range(11):
+        own = [r for r in got if r.doc_id // 100 == g]
+        assert sum(r.score for r in own) > sum(r.base_score - 0.25 * r.n_tokens for r in own), g
+
+
 def test_adaptive_mixture_is_a_probability():
     """Over all words that could come next, known and rare, the probabilities sum to one at most."""
     import numpy as np
