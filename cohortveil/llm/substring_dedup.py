@@ -127,7 +127,8 @@ def _segment_rows(window: int, gram: int, text_col: str):
                 value, inverse, times = np.unique(whole, return_inverse=True, return_counts=True)
                 alone = times[inverse] == 1
                 rows, row = np.unique(np.stack((key[~alone], first[~alone])), axis=1, return_inverse=True)
-                met = np.bincount(row.ravel(), np.exp2(nth[~alone]), rows.shape[1]).astype(np.int64)
+                met = np.zeros(rows.shape[1], np.int64)
+                np.bitwise_or.at(met, row.ravel(), np.int64(1) << nth[~alone])  # rows that repeat whole tell the same bits
                 told = value[times > 1]
                 for part_, key_, start_, n_, weight in (
                     (whole[alone], key[alone], (first + nth)[alone], np.ones(alone.sum(), np.int64), 1),

@@ -45,6 +45,13 @@ def test_substring_dedup(spark, most):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got) and got[0].lang == "en"
 
 
+def test_substring_dedup_of_rows_repeated_whole(spark):
+    docs = corpus() + 3 * corpus()[:12] + 2 * corpus()[12:16]
+    got = substring_dedup.remove_repeats(frame(spark, docs, 1), window=20, gram=8, most_segments=2).collect()
+    want = sorted((i, len(w), len(w) - len(k), " ".join(k)) for (i, _), (w, k) in zip(docs, brute.kept_words([t for _, t in docs], 20), strict=True))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == want
+
+
 def test_substring_dedup_edges(spark):
     empty = frame(spark, corpus()).limit(0)
     assert substring_dedup.remove_repeats(empty).count() == 0
