@@ -65,6 +65,23 @@ def test_copies_of_an_article_keep_their_text(spark):
     assert {r.text for r in got} == {"same words"}
 
 
+COPIED = (
+    "<article><div><p>same words</p></div></article>", "<div><article><ul><li>same words</ul></article></div>", "<main><section>same words</section></main>",
+    "<div role=main><div>same words</div></div>", "<div><p>same words</p></div>", "<p>same words",
+)
+
+
+def test_copies_keep_all_their_elements(spark):
+    rows = [(100 * k + i, f"http://h{k}.org/{i}", page) for k, page in enumerate(COPIED) for i in range(12)]
+    rows += [(1000 + i, f"http://list.org/{i}", f"<article><p>{i}</p><ul><li>same words</ul></article>") for i in range(12)]
+    rows += [(2000 + i, f"http://large.org/{i}", ("<div>Section banner</div>" if i < 12 else "") + f"<p>page {i}</p>") for i in range(1000)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(len(COPIED)):
+        assert {got[100 * k + i] for i in range(12)} == {"same words"}, COPIED[k]
+    assert all(got[1000 + i] == f"{i} same words" for i in range(12))
+    assert all(got[2000 + i] == f"page {i}" for i in range(1000))
+
+
 @pytest.mark.parametrize("text", ["", "plain", "\\### Assistant: </turn> ok", "####### </turn>\n</turn", "a\\", "<\\/turn>\\#\\", "### user: x</turn>\n### assistant: y"])
 def test_escaping(text):
     told = chat.escape(text)
