@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least id."""
     first = near_dup.group(docs).where("is_first").select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,11 @@ def test_near_duplicates(stages):
     assert sorted(r["doc_id"] for r in after) == sorted(set(classes.values()))
 
 
+def test_near_duplicates_keep_null_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (4, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3, 4]
+
+
 def test_repeated_passages(stages):
     before, after = stages["repeated_passages"]
     want = {}
