@@ -8,7 +8,7 @@ Spark makes with the tiled kernel of :mod:`.kinship`.
 
 from __future__ import annotations
 
-from ..functions.dialect import Dialect, d
+from ..functions.dialect import SPARK, Dialect, d
 from ..functions.scalars import clamp01, excess
 
 Steps = dict[str, str]
@@ -123,14 +123,17 @@ def rare_burden(q: Dialect, maf_limit: float) -> Steps:
     }
 
 
-def membership() -> Steps:
+def membership(q: Dialect = SPARK) -> Steps:
     """``l1``: each real sample's least Manhattan distance to a synthetic one; ``mia``: AUC by mid-ranks, and its risk.
 
     Equal burden vectors are told apart no further: distances are between
     distinct vectors, so the pairs grow with those and not with the samples.
+    Spark tells vectors apart whole; the other dialect's text is the check's and
+    stays as it is (a rounded number, right for few features).
     """
+    code = q.joined("value", "fid") if q.spark else "sum(value * pow(1009, fid))"
     return {
-        "vec": "select cohort, sample_idx, sum(value * pow(1009, fid)) as code from (select b.*, dense_rank() over (order by feature) - 1 as fid from burden b) t group by cohort, sample_idx",
+        "vec": f"select cohort, sample_idx, {code} as code from (select b.*, dense_rank() over (order by feature) - 1 as fid from burden b) t group by cohort, sample_idx",
         "kinds": "select cohort, code, min(sample_idx) as s from vec group by cohort, code",
         "l1_kind": """select real_code, min(dist) as dist from (select a.code as real_code, b.code as syn_code, sum(abs(x.value - y.value)) as dist
     from kinds a join burden x on x.cohort = a.cohort and x.sample_idx = a.s join burden y on y.cohort = 'SYN' and y.feature = x.feature join kinds b on b.cohort = 'SYN' and b.s = y.sample_idx

@@ -90,7 +90,7 @@ def _rare(q: Dialect) -> Steps:
 
 
 def _tli(q: Dialect) -> Steps:
-    return _rare(q) | rel.membership() | rel.rare_carriers(MAF_LIMIT)
+    return _rare(q) | rel.membership(q) | rel.rare_carriers(MAF_LIMIT)
 
 
 TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
@@ -103,8 +103,8 @@ TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "hap_windows": (lambda q: rel.haplotypes(q), "select cohort, chrom, wid, round(rho, 6) as rho from hap_rate"),
     "hap_collisions": (lambda q: rel.haplotypes(q), "select cohort, round(mean_rho, 6) as mean_rho, round(max_rho, 6) as max_rho from hap_collision"),
     "rare_burden": (_rare, "select cohort, sample_idx, feature, value from burden"),
-    "mia_nn_l1": (lambda q: _rare(q) | rel.membership(), "select cohort, sample_idx, dist from l1"),
-    "mia_auc": (lambda q: _rare(q) | rel.membership(), "select round(auc, 6) as auc, round(r_mia, 6) as r_mia from mia"),
+    "mia_nn_l1": (lambda q: _rare(q) | rel.membership(q), "select cohort, sample_idx, dist from l1"),
+    "mia_auc": (lambda q: _rare(q) | rel.membership(q), "select round(auc, 6) as auc, round(r_mia, 6) as r_mia from mia"),
     "uniq_collision": (_tli, "select n_used, round(u, 6) as u, round(u0, 6) as u0, round(r_uniq, 6) as r_uniq from uniq"),
     "tli": (_tli, "select round(r_mia, 6) as r_mia, round(r_uniq, 6) as r_uniq, round(greatest(r_mia, r_uniq), 6) as tli from mia cross join uniq"),
     "hap_risk": (lambda q: rel.haplotypes(q) | rel.resamples(q, DRAWS) | rel.haplotype_risk(), "select round(obs, 6) as obs, round(base, 6) as base, round(cmax, 6) as cmax, round(r_hap, 6) as r_hap from hap_risk"),
@@ -117,7 +117,7 @@ TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
 EVENT_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "evt_af": (lambda q: rel.allele_frequency(), "select variant_idx, round(p, 9) as p from af"),
     "evt_hap_collisions": (lambda q: rel.haplotypes(q, min_poly=3), "select cohort, round(mean_rho, 6) as mean_rho, round(max_rho, 6) as max_rho from hap_collision"),
-    "evt_tli": (lambda q: rel.train_maf(ALPHA) | rel.rare_burden(q, 0.02) | rel.membership() | rel.rare_carriers(0.02), "select round(auc, 6) as auc, n_used, round(u, 6) as u, round(u0, 6) as u0, round(greatest(r_mia, r_uniq), 6) as tli from mia cross join uniq"),
+    "evt_tli": (lambda q: rel.train_maf(ALPHA) | rel.rare_burden(q, 0.02) | rel.membership(q) | rel.rare_carriers(0.02), "select round(auc, 6) as auc, n_used, round(u, 6) as u, round(u0, 6) as u0, round(greatest(r_mia, r_uniq), 6) as tli from mia cross join uniq"),
 }
 
 #: After ``kin``: pairs of samples.

@@ -112,6 +112,15 @@ def test_membership_auc(spark):
     assert r["auc"] == pytest.approx(0.708333, abs=1e-6)
 
 
+def test_membership_tells_wide_vectors_apart(spark):
+    """23 features: vectors that differ only in the first, and values of 1,009 that a number would carry over."""
+    features = [f"{k:02d}" for k in range(23)]
+    vectors = {("TR", 0): [0, 0] + [900] * 21, ("TR", 1): [3, 0] + [900] * 21, ("HO", 2): [1009, 0] + [7] * 21, ("HO", 3): [0, 1] + [7] * 21, ("SYN", 4): [0, 0] + [900] * 21, ("SYN", 5): [0, 1] + [7] * 21}
+    burden = spark.createDataFrame([(c, i, f, float(x)) for (c, i), v in vectors.items() for f, x in zip(features, v, strict=True)], "cohort string, sample_idx long, feature string, value double")
+    got = {r["sample_idx"]: r["dist"] for r in run(spark, rel.membership(), "select * from l1", burden=burden)}
+    assert got == {0: 0, 1: 3, 2: 1010, 3: 0}
+
+
 def test_no_rare_variant(spark):
     g = geno(spark, {"TR": [[1, 1], [1, 2]], "SYN": [[1, 0], [0, 1]]})
     (r,) = run(spark, rel.train_maf(0) | rel.rare_burden(SPARK, 1e-3) | rel.rare_carriers(1e-3), "select * from uniq", geno=g)
