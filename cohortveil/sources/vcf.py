@@ -1,8 +1,9 @@
 """VCF and SNP legend text as DataFrames, and back.
 
-A genotype row is ``sample_idx, sample_id, variant_idx, chrom, pos, ref, alt,
-dosage``; a missing or unreadable call is NULL, never NaN.  ``variant_idx``
-follows the file's order, which the haplotype windows depend on.
+A genotype row is ``sample_idx, variant_idx, chrom, var_chr, pos, ref, alt,
+dosage`` (``var_chr``: the chromosome without ``chr``); a missing or unreadable
+call is NULL, never NaN.  ``variant_idx`` follows the file's order, which the
+haplotype windows depend on.
 """
 
 from __future__ import annotations
@@ -13,14 +14,26 @@ from pyspark.sql import functions as F
 
 def dosage(call: Column) -> Column:
     """Sum of the allele numbers of a GT field; NULL if any part isn't a number."""
-    parts = F.split(F.translate(F.split(call, ":")[0], "|", "/"), "/")
+    parts = F.split(F.translate(F.get(F.split(call, ":"), F.lit(0)), "|", "/"), "/")
     return F.aggregate(F.transform(parts, lambda x: x.try_cast("int")), F.lit(0), lambda a, x: a + x).cast("double")
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """``value, line``: lines in the order of the file, by numbering partitions first and their lines second."""
-    own = lines.select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("line"))
-    return own.drop("part")
+    """``value, line``: lines numbered in the order of the file, partitions first and their lines second."""
+    return lines.select("value", F.monotonically_increasing_id().alias("line"))
+
+
+def _consecutive(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, 2, ... in the order of ``line``, one to a line.
+
+    Lines are counted a partition; only these counts are summed up in one task,
+    so no task orders all lines.
+    """
+    part = F.shiftright("line", 33)
+    sizes = rows.groupBy(part.alias("_part")).count()
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("line")) - 1
+    return rows.withColumn("_part", part).join(before, "_part").withColumn(name, (F.col("_before") + nth).cast("int")).drop("_part", "_before")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +52,9 @@ def variants(lines: DataFrame) -> DataFrame:
 
 
 def _key(f: Column, all_alts: bool = False) -> list[Column]:
-    alt = f[4] if all_alts else F.split(f[4], ",")[0]
-    return [f[0].alias("chrom"), f[1].cast("int").alias("pos"), f[3].alias("ref"), alt.alias("alt")]
+    at = lambda i: F.get(f, F.lit(i))  # noqa: E731 -- null beyond the end, wherever the optimiser evaluates it
+    alt = at(4) if all_alts else F.get(F.split(at(4), ","), F.lit(0))
+    return [at(0).alias("chrom"), at(1).try_cast("int").alias("pos"), at(3).alias("ref"), alt.alias("alt")]
 
 
 def samples(lines: DataFrame) -> DataFrame:
@@ -49,10 +63,14 @@ def samples(lines: DataFrame) -> DataFrame:
     return head.select(F.posexplode(F.slice(F.split("value", "\t"), 10, 1 << 30)).alias("sample_idx", "sample_id"))
 
 
+def bare(chrom: Column) -> Column:
+    """The chromosome's name without a leading ``chr``."""
+    return F.regexp_replace(chrom, "^chr", "")
+
+
 def autosome(chrom: Column) -> Column:
     """1 to 22, with or without ``chr``."""
-    bare = F.regexp_replace(chrom, "^chr", "")
-    return bare.rlike("^[0-9]+$") & bare.try_cast("int").between(1, 22)
+    return bare(chrom).rlike("^[0-9]+$") & bare(chrom).try_cast("int").between(1, 22)
 
 
 def read_genotypes(lines: DataFrame, keep_full: DataFrame | None = None, keep_pos: DataFrame | None = None, autosomes_only: bool = False, all_alts: bool = False) -> DataFrame:
@@ -68,9 +86,8 @@ def read_genotypes(lines: DataFrame, keep_full: DataFrame | None = None, keep_po
         rows = rows.join(keep_full.select("chrom", "pos", "ref", "alt").distinct(), ["chrom", "pos", "ref", "alt"], "left_semi")
     elif keep_pos is not None:
         rows = rows.join(keep_pos.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
-    order = rows.select("line", (F.row_number().over(Window.orderBy("line")) - 1).alias("variant_idx"))  # one row a variant
-    calls = rows.join(order, "line").select("variant_idx", "chrom", "pos", "ref", "alt", F.posexplode("calls").alias("sample_idx", "call"))
-    return calls.select("sample_idx", "variant_idx", "chrom", "pos", "ref", "alt", dosage(F.col("call")).alias("dosage"))
+    calls = _consecutive(rows, "variant_idx").select("variant_idx", "chrom", "pos", "ref", "alt", F.posexplode("calls").alias("sample_idx", "call"))
+    return calls.select("sample_idx", "variant_idx", "chrom", bare(F.col("chrom")).alias("var_chr"), "pos", "ref", "alt", dosage(F.col("call")).alias("dosage"))
 
 
 def legend_positions(lines: DataFrame) -> DataFrame:
@@ -79,7 +96,9 @@ def legend_positions(lines: DataFrame) -> DataFrame:
     told = _numbered(lines).select("line", split.alias("f"))
     head = told.orderBy("line").limit(1).select(F.col("line").alias("head_line"), F.greatest(F.array_position("f", "id"), F.lit(1)).cast("int").alias("at"))
     ids = told.crossJoin(F.broadcast(head)).where("line <> head_line").select(F.element_at("f", F.col("at")).alias("id"))  # head is one row
-    return ids.select(F.split("id", ":")[0].alias("chrom"), F.split(F.split("id", ":")[1], "_")[0].cast("int").alias("pos")).distinct()
+    parts = F.split("id", ":")
+    place = F.get(F.split(F.get(parts, F.lit(1)), "_"), F.lit(0)).try_cast("int")  # filters may be derived that meet the header too
+    return ids.select(F.get(parts, F.lit(0)).alias("chrom"), place.alias("pos")).where("pos is not null").distinct()
 
 
 def call_text(value: Column, phased: bool = False) -> Column:
@@ -91,7 +110,7 @@ def call_text(value: Column, phased: bool = False) -> Column:
 
 def vcf_lines(genotypes: DataFrame, phased: bool = False, strip_chr: bool = False) -> DataFrame:
     """``variant_idx, value``: a data line for each variant, samples in order; sort by variant_idx to write."""
-    chrom = F.regexp_replace("chrom", "^chr", "") if strip_chr else F.col("chrom")
+    chrom = bare(F.col("chrom")) if strip_chr else F.col("chrom")
     calls = F.array_sort(F.collect_list(F.struct("sample_idx", call_text(F.col("dosage"), phased).alias("gt"))))
     rows = genotypes.groupBy("variant_idx", chrom.alias("chrom"), "pos", "ref", "alt").agg(F.transform(calls, lambda c: c["gt"]).alias("gts"))
     fixed = [F.col("chrom"), F.col("pos").cast("string"), F.lit("."), F.col("ref"), F.col("alt"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT")]
