@@ -28,6 +28,10 @@ class Dialect:
         """A one-column relation of the integers from start to end."""
         return f"(select cast(id as int) as {name} from range({start}, {end + 1}))" if self.spark else f"(select unnest(range({start}, {end + 1})) as {name})"
 
+    def unnest_range(self, n: str) -> str:
+        """The integers from 0 below n, a row each, in a select list."""
+        return f"explode(sequence(cast(0 as bigint), {n} - 1))" if self.spark else f"unnest(range(0, {n}))"
+
     def text(self, x: str) -> str:
         return f"cast({x} as string)" if self.spark else f"cast({x} as varchar)"
 

@@ -31,11 +31,9 @@ def calibrate(raw: str, low: str, high: str) -> str:
 
 
 def p_format(p: Column, draws: Column | int | None = None, digits: int = 1) -> Column:
-    """A p value as ``m x10^e`` text; ``<1x10^-k`` at 0, k from the number of draws."""
-    exponent = F.floor(F.log10(p)).cast("int")
-    mantissa = F.round(p / F.pow(F.lit(10.0), exponent), digits)
-    up = mantissa >= 10
-    told = F.concat(F.format_number(F.when(up, mantissa / 10).otherwise(mantissa), digits), F.lit("x10^"), F.when(up, exponent + 1).otherwise(exponent).cast("string"))
+    """A p value as ``m x10^e`` text, rounded to one digit more first; ``<1x10^-k`` at 0, k from the number of draws."""
+    parts = F.split(F.format_string(f"%.{digits + 1}e", p), "e")
+    told = F.concat(F.format_number(F.get(parts, F.lit(0)).cast("double"), digits), F.lit("x10^"), F.get(parts, F.lit(1)).cast("int").cast("string"))
     least = F.lit("<1x10^-∞") if draws is None else F.concat(F.lit("<1x10^-"), F.ceil(F.log10(F.lit(draws) if isinstance(draws, int) else draws)).cast("string"))
     return F.when(p <= 0, least).otherwise(told)
 

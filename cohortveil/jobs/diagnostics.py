@@ -28,3 +28,8 @@ def plot_rows(sort_by: str = "margin", top_k: int = 20) -> str:
 def driver() -> Steps:
     """``pli_driver``: which of the two sub-risks sets the index."""
     return {"pli_driver": "select pli, r_p, r_a, case when r_p >= r_a then 'ratio_tail' else 'adv_proximity' end as driver from pli"}
+
+
+def scatter(top_k: int = 10) -> Steps:
+    """``scatter``: every sample's point, whether it lies below the diagonal, whether it is one of the riskiest to be named, and the share below."""
+    return {"scatter": f"select sample, d_syn, d_real, ap_flag as below, row_number() over (order by rank_s_ratio, sample_idx) <= {top_k} as labelled, avg(case when ap_flag then {d(1.0)} else {d(0.0)} end) over () as frac from per_sample"}

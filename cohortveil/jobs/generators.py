@@ -22,11 +22,11 @@ def copycat(q: Dialect, samples: int, copy: float = 0.60, near: float = 0.30, fl
     n_copy, n_near = round(copy * samples), round(near * samples)
     cell = f"{q.text('b.sample_idx')} || ':' || {q.text('g.variant_idx')}"
     return {
-        f"{name}_real": "select sample_idx, row_number() over (order by sample_idx) - 1 as idx, count(*) over () as n from (select distinct sample_idx from geno where cohort in ('TR', 'HO')) s",
-        f"{name}_base": f"select d.sample_idx, r.sample_idx as src, case when d.sample_idx < {n_copy} then {d(0.0)} when d.sample_idx < {n_copy + n_near} then {d(flip_near)} else {d(flip_random)} end as rate from (select s.sample_idx, {q.draw(f"'{tag}:' || {q.text('s.sample_idx')}")} % c.n as pick from {q.series('sample_idx', 0, samples - 1)} s cross join (select max(n) as n from {name}_real) c) d join {name}_real r on r.idx = d.pick",
+        f"{name}_real": "select cohort, sample_idx, row_number() over (order by sample_idx, cohort) - 1 as idx, count(*) over () as n from (select distinct cohort, sample_idx from geno where cohort in ('TR', 'HO')) s",
+        f"{name}_base": f"select d.sample_idx, r.cohort as src_cohort, r.sample_idx as src, case when d.sample_idx < {n_copy} then {d(0.0)} when d.sample_idx < {n_copy + n_near} then {d(flip_near)} else {d(flip_random)} end as rate from (select s.sample_idx, {q.draw(f"'{tag}:' || {q.text('s.sample_idx')}")} % c.n as pick from {q.series('sample_idx', 0, samples - 1)} s cross join (select max(n) as n from {name}_real) c) d join {name}_real r on r.idx = d.pick",
         name: f"""select b.sample_idx, g.variant_idx, g.chrom, g.pos, case when g.dosage is not null and u.variant_idx is null and {q.uniform(f"'{tag}f:' || {cell}")} < b.rate
       then greatest({d(0.0)}, least({d(2.0)}, g.dosage + case when {q.uniform(f"'{tag}s:' || {cell}")} < {d(0.5)} then -1 else 1 end)) else g.dosage end as dosage
-    from {name}_base b join geno g on g.sample_idx = b.src left join ultra u on u.variant_idx = g.variant_idx""",
+    from {name}_base b join geno g on g.sample_idx = b.src and g.cohort = b.src_cohort left join ultra u on u.variant_idx = g.variant_idx""",
     }
 
 

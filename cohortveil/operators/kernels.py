@@ -1,20 +1,24 @@
 """Array kernels for what is linear algebra: pair products, nearest neighbours, PCA and the top eigenvalue.
 
 Samples are dealt to tiles by a hash of their id and variants to blocks; a task
-holds two tiles of one block at most, whatever the cohort's size.
+holds one block of two tiles at a time, whatever the cohort's size and the
+panel's width.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .eigen import WIDTH, leading, weighed_sum
+
 TILE, BLOCK = 512, 8192
 
 
@@ -23,100 +27,194 @@ def _tile(n: int, tile: int) -> tuple[int, Column]:
     return tiles, F.pmod(F.xxhash64("sample_idx"), F.lit(tiles)).cast("int")
 
 
-def _dense(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sample ids and their rows of x by variant; what isn't there is 0."""
-    ids, row = np.unique(part["sample_idx"].to_numpy(), return_inverse=True)
-    variants, col = np.unique(part["variant_idx"].to_numpy(), return_inverse=True)
-    out = np.zeros((len(ids), len(variants)))
-    out[row, col] = part["x"].to_numpy()
-    return ids, out
-
-
-def kinship(std: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
-    """``cohort, i, j, k`` for i <= j: mean over all variants of the product of standardised values."""
+class _Pair:
+    """Products of two tiles' samples (one tile with itself if they are the same), summed block by block."""
+
+    def __init__(self, same: bool, width: int) -> None:
+        self.same, self.width, self.at, self.sums = same, width, ({}, {}), np.zeros((0, 0))
+
+    def add(self, rows: list[tuple[bool, int, np.ndarray, np.ndarray]]) -> None:
+        """A block's rows: on the second side or not, sample, places in the block and their values."""
+        for second, sample, _, _ in rows:
+            index = self.at[second and not self.same]
+            index.setdefault(sample, len(index))
+        sizes = [len(self.at[0]), len(self.at[0 if self.same else 1])]
+        sides = [np.zeros((n, self.width)) for n in sizes[: 1 if self.same else 2]]
+        for second, sample, at, x in rows:
+            side = second and not self.same
+            sides[side][self.at[side][sample], at] = x
+        if self.sums.shape != tuple(sizes):
+            grown = np.zeros(sizes)
+            grown[: self.sums.shape[0], : self.sums.shape[1]] = self.sums
+            self.sums = grown
+        self.sums += sides[0] @ sides[-1].T
+
+    def pairs(self, m: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = [np.fromiter(index, np.int64, len(index)) for index in self.at]
+        a, b = ids[0][:, None], ids[0 if self.same else 1][None, :]
+        k = self.sums / m
+        wanted = a <= b if self.same else np.ones(k.shape, np.bool_)
+        if least is not None:
+            wanted = wanted & ((k >= least - 1e-6) | (a == b))
+        i, j = np.broadcast_arrays(a, b)
+        return np.minimum(i, j)[wanted], np.maximum(i, j)[wanted], k[wanted]
+
+
+def kinship(std: DataFrame, tile: int = TILE, block: int = BLOCK, least: float | None = None) -> DataFrame:
+    """``cohort, i, j, k`` for i <= j: mean over all variants of the product of standardised values.
+
+    With ``least``, of pairs of two samples only those of at least this value; a
+    sample with itself is always there, so numbers of pairs follow from it.
+    Cells of a sample's block are packed before they are copied to its tiles.
+    """
     n, m = std.agg(F.approx_count_distinct("sample_idx"), F.countDistinct("variant_idx")).first()
     tiles, of = _tile(n, tile)
-    rows = std.withColumns({"t": of, "vb": F.floor(F.col("variant_idx") / block)}).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    rows = rows.select("cohort", "sample_idx", "variant_idx", "x", "t", "vb", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
+    cell = F.struct((F.col("variant_idx") % block).cast("int").alias("at"), "x")
+    packed = std.groupBy("cohort", "sample_idx", F.floor(F.col("variant_idx") / block).alias("vb")).agg(F.collect_list(cell).alias("c"))
+    packed = packed.select("cohort", "sample_idx", "vb", F.col("c.at").alias("at"), F.col("c.x").alias("x"), of.alias("t"))
+    spread = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    spread = spread.select("cohort", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "vb", (F.col("t") > F.col("o")).alias("second"), "sample_idx", "at", "x")
+
+    def products(batches):
+        key, vb, pair, rows = None, None, None, []
+        for batch in batches:
+            out = []
+            at, x = batch.column("at"), batch.column("x")
+            for nth, (cohort, ta, tb, own, second, sample) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cohort", "ta", "tb", "vb", "second", "sample_idx")), strict=True)):
+                if ((cohort, ta, tb), own) != (key, vb):
+                    if pair:
+                        pair.add(rows)
+                    if (cohort, ta, tb) != key:
+                        if pair:
+                            out.append((key[0], pair.pairs(m, least)))
+                        key, pair = (cohort, ta, tb), _Pair(ta == tb, block)
+                    vb, rows = own, []
+                rows.append((second, sample, at[nth].values.to_numpy(), x[nth].values.to_numpy()))
+            yield from map(told, out)
+        if pair:
+            pair.add(rows)
+            yield told((key[0], pair.pairs(m, least)))
+
+    def told(found):
+        cohort, (i, j, k) = found
+        return pa.RecordBatch.from_arrays([pa.array([cohort] * len(i), pa.string()), pa.array(i), pa.array(j), pa.array(k)], names=["cohort", "i", "j", "k"])
+
+    dealt = spread.repartition("cohort", "ta", "tb").sortWithinPartitions("cohort", "ta", "tb", "vb")
+    found = dealt.mapInArrow(products, "cohort string, i long, j long, k double").withColumn("k", F.round("k", 9))
+    return found if least is None else found.where((F.col("k") >= least) | (F.col("i") == F.col("j")))
+
+
+def points(std: DataFrame, key: str = "variant_idx", value: str = "x") -> DataFrame:
+    """``cohort, sample_idx, v``: each sample's values in the order of ``key``."""
+    return std.groupBy("cohort", "sample_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("o"), F.col(value).alias("x")))), lambda s: s["x"]).alias("v"))
+
+
+def nearest(known: DataFrame, asked: Sequence[str] = ("HO",), to: Sequence[str] | None = None, manhattan: bool = False, tile: int = TILE) -> DataFrame:
+    """``asked, sample_idx, cohort, dd``: from each sample of the asked cohorts, the distance to the nearest one of every cohort (of ``to``, if given).
+
+    ``known`` has ``cohort, sample_idx, v``.  A sample isn't its own neighbour;
+    one of another cohort is, whatever its number.
+    """
+    tiles, of = _tile(known.count(), tile)
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    left = known.where(F.col("cohort").isin(*asked)).select(F.lit(True).alias("asks"), "cohort", "sample_idx", "v", of.alias("qt")).withColumn("rt", every)
+    right = (known if to is None else known.where(F.col("cohort").isin(*to))).select(F.lit(False).alias("asks"), "cohort", "sample_idx", "v", of.alias("rt")).withColumn("qt", every)
 
-    def products(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        ids, x = _dense(part)
-        side = part.drop_duplicates("sample_idx").set_index("sample_idx")["t"].reindex(ids).to_numpy()
-        a, b = np.flatnonzero(side == key[2]), np.flatnonzero(side == key[3])
-        if not len(a) or not len(b):
-            return pd.DataFrame({"cohort": [], "i": [], "j": [], "k": []})
-        k = x[a] @ x[b].T
-        i, j = np.broadcast_arrays(ids[a][:, None], ids[b][None, :])
-        keep = i <= j if key[2] == key[3] else np.ones_like(k, bool)
-        return pd.DataFrame({"cohort": key[0], "i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "k": k[keep]})
+    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if manhattan:
+            out = np.zeros((len(a), len(b)))
+            for i in range(a.shape[1]):
+                out += np.abs(a[:, i, None] - b[None, :, i])
+            return out
+        return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
 
-    parts = rows.groupBy("cohort", "vb", "ta", "tb").applyInPandas(products, "cohort string, i long, j long, k double")
-    return parts.groupBy("cohort", "i", "j").agg(F.round(F.sum("k") / F.lit(m), 9).alias("k"))
+    def least(part: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = [[], [], [], []]
+        ask, have = part[part["asks"]], part[~part["asks"]]
+        if len(ask) and len(have):
+            a, ids, names = np.stack(ask["v"].to_numpy()), ask["sample_idx"].to_numpy(), np.array(ask["cohort"].tolist(), dtype=object)
+            for cohort, rows in have.groupby("cohort"):
+                b = np.stack(rows["v"].to_numpy())
+                far = distance(a, b)
+                far[(names[:, None] == cohort) & (ids[:, None] == rows["sample_idx"].to_numpy()[None, :])] = np.inf
+                at = far.argmin(1)
+                moved = a - b[at]
+                exact = np.abs(moved).sum(1) if manhattan else np.sqrt((moved**2).sum(1))  # free of the product's cancellation
+                met = np.flatnonzero(np.isfinite(far[np.arange(len(a)), at]))
+                for column, values in zip(out, (names[met].tolist(), ids[met].tolist(), [cohort] * len(met), exact[met].tolist()), strict=True):
+                    column += values
+        kinds = (object, "int64", object, "float64")  # plain objects: Arrow's chunked texts don't go back to Spark
+        return pd.DataFrame({name: pd.Series(values, dtype=kind) for name, values, kind in zip(("asked", "sample_idx", "cohort", "dd"), out, kinds, strict=True)})
+
+    tasks = left.unionByName(right).groupBy("qt", "rt")  # two tiles at most, and the asked ones once more
+    pairs = tasks.applyInPandas(least, "asked string, sample_idx long, cohort string, dd double")
+    return pairs.groupBy("asked", "sample_idx", "cohort").agg(F.round(F.min("dd"), 9).alias("dd"))
 
 
 def distances(std: DataFrame, tile: int = TILE) -> DataFrame:
     """``sample_idx, d_syn, d_real`` of each HO sample: to the nearest SYN one and the nearest other HO one (Euclidean)."""
     least = lambda cohort: F.min(F.when(F.col("cohort") == cohort, F.col("dd")))
-    return nearest(std.where("cohort in ('HO', 'SYN')"), tile).groupBy("sample_idx").agg(least("SYN").alias("d_syn"), least("HO").alias("d_real"))
+    return nearest(points(std.where("cohort in ('HO', 'SYN')")), tile=tile).groupBy("sample_idx").agg(least("SYN").alias("d_syn"), least("HO").alias("d_real"))
 
 
-def nearest(std: DataFrame, tile: int = TILE) -> DataFrame:
-    """``cohort, sample_idx, dd``: each HO sample's distance to the nearest other sample of every cohort."""
-    vectors = std.groupBy("cohort", "sample_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "x"))), lambda s: s["x"]).alias("v"))
-    tiles, of = _tile(vectors.count(), tile)
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    asked = vectors.where("cohort = 'HO'").select(F.lit(None).cast("string").alias("cohort"), "sample_idx", "v", of.alias("qt")).withColumn("rt", every)
-    known = vectors.select("cohort", "sample_idx", "v", of.alias("rt")).withColumn("qt", every)
+def nearest_burden(burden: DataFrame, tile: int = TILE) -> DataFrame:
+    """``name, cohort, sample_idx, dist``: each real sample's least Manhattan distance to a sample of each synthetic cohort ``name``.
 
-    def least(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        left, right = part[part["cohort"].isna()], part[part["cohort"].notna()]
-        if len(left) and len(right):
-            a = np.stack(left["v"].to_numpy())
-            for cohort, part in right.groupby("cohort"):
-                b, own = np.stack(part["v"].to_numpy()), part["sample_idx"].to_numpy()
-                square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-                square[left["sample_idx"].to_numpy()[:, None] == own[None, :]] = np.inf
-                at = square.argmin(1)
-                exact = np.sqrt(((a - b[at]) ** 2).sum(1))  # free of the product's cancellation
-                exact[~np.isfinite(square[np.arange(len(a)), at])] = np.nan
-                out.append(pd.DataFrame({"sample_idx": left["sample_idx"], "cohort": cohort, "dd": exact}))
-        return pd.concat(out) if out else pd.DataFrame({"sample_idx": [], "cohort": [], "dd": []})
-
-    tasks = asked.unionByName(known).groupBy("qt", "rt")  # two tiles at most, and the asked ones once more
-    pairs = tasks.applyInPandas(least, "sample_idx long, cohort string, dd double").where("not isnan(dd)")
-    return pairs.groupBy("cohort", "sample_idx").agg(F.round(F.min("dd"), 9).alias("dd"))
+    ``burden`` has ``cohort, sample_idx, feature, value``.  Samples of equal
+    burdens are one point, told apart by all their values, so pairs grow with
+    distinct burdens and not with samples.
+    """
+    vectors = points(burden, "feature", "value")
+    kinds = kept(vectors.groupBy("cohort", "v").agg(F.min("sample_idx").alias("sample_idx")))
+    real = ("TR", "HO")
+    names = [r.cohort for r in kinds.select("cohort").distinct().collect() if r.cohort not in real]  # one row a cohort
+    found = nearest(kinds, asked=real, to=names or ["SYN"], manhattan=True, tile=tile)
+    of_kind = found.select("asked", F.col("sample_idx").alias("least"), F.col("cohort").alias("name"), F.col("dd").alias("dist")).join(kinds.select(F.col("cohort").alias("asked"), F.col("sample_idx").alias("least"), "v"), ["asked", "least"])
+    of_kind = of_kind.select("name", F.col("asked").alias("cohort"), "v", "dist")
+    return vectors.where(F.col("cohort").isin(*real)).join(of_kind, ["cohort", "v"]).select("name", "cohort", "sample_idx", "dist")
 
 
 def principal_components(std: DataFrame, k: int = 10) -> DataFrame:
-    """``std`` replaced by k components, fitted on TRAIN: the same columns, a component for a variant.
+    """``std`` replaced by k components, fitted on centred TRAIN: the same columns, a component for a variant.
 
-    The fit holds a variants-by-variants matrix on the driver, so a panel of many
-    thousand variants must be thinned first.
+    The covariance is never formed: its leading eigenvectors come from products
+    of the samples' table with a few vectors over the variants.  Signs are the
+    solver's; the mean isn't taken off, as distances don't depend on it.
     """
-    vectors = std.groupBy("cohort", "sample_idx").agg(array_to_vector(F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "x"))), lambda s: s["x"])).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="c").fit(vectors.where("cohort = 'TR'"))
-    parts = model.transform(vectors).select("cohort", "sample_idx", F.posexplode(vector_to_array("c")).alias("variant_idx", "x"))
-    return parts.select("cohort", "sample_idx", "variant_idx", "x")
+    train = std.where("cohort = 'TR'")
+    means = train.groupBy("variant_idx").agg(F.avg("x").alias("mean"))
+    centred = kept(train.join(means, "variant_idx").select("sample_idx", F.col("variant_idx").cast("long").alias("id"), (F.col("x") - F.col("mean")).alias("x")))
+
+    width = max(WIDTH, k)  # the first block already has room for all components
+
+    def covariance(v: DataFrame) -> DataFrame:
+        times = weighed_sum("v", F.col("x"), width)
+        of_sample = centred.join(v, "id").groupBy("sample_idx").agg(times.alias("v"))
+        return centred.join(of_sample, "sample_idx").groupBy("id").agg(times.alias("w")).select(F.lit("TR").alias("cohort"), "id", "w")
 
+    _, basis, vectors = leading(centred.select(F.lit("TR").alias("cohort"), "id").distinct(), covariance, k, width=width)
+    if "TR" not in vectors:
+        return std.limit(0)
+    own = F.array(*(F.array(*map(F.lit, row)) for row in vectors["TR"].T.tolist()))
+    told = basis.select("id", F.transform(own, lambda c: F.aggregate(F.zip_with(c, "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)).alias("c"))
+    found = vectors["TR"].shape[1]
+    scores = std.join(told, std["variant_idx"] == told["id"]).groupBy("cohort", "sample_idx").agg(weighed_sum("c", F.col("x"), found).alias("s"))
+    return scores.select("cohort", "sample_idx", F.posexplode("s").alias("variant_idx", "x"))
 
-def spectral(kin: DataFrame, steps: int = 20) -> DataFrame:
-    """``cohort, trace, top, ratio``: the largest eigenvalue of each cohort's pair table by power iteration, against its trace.
 
-    The driver holds one number a sample, which the tasks are sent each step.
+def spectral(std: DataFrame) -> DataFrame:
+    """``cohort, trace, top, ratio``: the largest eigenvalue of each cohort's kinship against its trace.
+
+    Kinship isn't formed: it is applied to a few vectors by way of the variants.
     """
-    both = kin.unionByName(kin.where("i < j").select("cohort", F.col("j").alias("i"), F.col("i").alias("j"), "k")).persist()
-    trace = both.where("i = j").groupBy("cohort").agg(F.sum("k").alias("trace")).toPandas().set_index("cohort")["trace"]
-    vector = both.select("cohort", "i").distinct().withColumn("y", F.lit(1.0) + F.pmod(F.xxhash64("i"), F.lit(97)) / 97.0).toPandas()
-    top: dict[str, float] = {}
-    for _ in range(steps):
-        norm = vector.groupby("cohort")["y"].transform(lambda y: np.sqrt((y**2).sum()))
-        vector["y"] /= np.maximum(norm, 1e-300)
-        now = kin.sparkSession.createDataFrame(vector.rename(columns={"i": "j"}))
-        vector_next = both.join(now, ["cohort", "j"]).groupBy("cohort", "i").agg(F.sum(F.col("k") * F.col("y")).alias("y")).toPandas()
-        joined = vector_next.merge(vector, on=["cohort", "i"], suffixes=("", "_old"))
-        top = {c: float((g["y"] * g["y_old"]).sum()) for c, g in joined.groupby("cohort")}
-        vector = vector_next
-    both.unpersist()
-    rows = [(c, float(trace[c]), top[c], top[c] / (float(trace[c]) + 1e-12)) for c in sorted(top)]
-    return kin.sparkSession.createDataFrame(rows, "cohort string, trace double, top double, ratio double")
+    m = max(1, std.select("variant_idx").distinct().count())
+    table = kept(std.select("cohort", F.col("sample_idx").cast("long").alias("id"), "variant_idx", "x"))
+
+    def apply(v: DataFrame) -> DataFrame:
+        of_variant = table.join(v, ["cohort", "id"]).groupBy("cohort", "variant_idx").agg(weighed_sum("v", F.col("x") / F.lit(float(m))).alias("v"))
+        return table.join(of_variant, ["cohort", "variant_idx"]).groupBy("cohort", "id").agg(weighed_sum("v", F.col("x")).alias("w"))
+
+    values, _, _ = leading(table.select("cohort", "id").distinct(), apply)
+    top = std.sparkSession.createDataFrame([(c, float(v[0])) for c, v in sorted(values.items())], "cohort string, top double")
+    trace = table.groupBy("cohort").agg((F.sum(F.col("x") * F.col("x")) / F.lit(float(m))).alias("trace"))
+    return trace.join(F.broadcast(top), "cohort").select("cohort", "trace", "top", (F.col("top") / (F.col("trace") + 1e-12)).alias("ratio"))  # one row a cohort

@@ -2,13 +2,15 @@
 
 Each function gives named steps; a plan is a chain of steps in which later ones
 read earlier ones by name.  All work on variants and samples is grouped
-aggregates, windows and equi-joins; pairs of samples come from ``kin``, which
-Spark makes with the tiled kernel of :mod:`.kinship`.
+aggregates, windows and equi-joins; pairs of samples come from the tiled kernels
+(``kin``: pairs at or above the least threshold, and each sample with itself;
+``l1``: nearest burdens).  Every cohort that is neither TR nor HO is a synthetic
+one with results of its own.
 """
 
 from __future__ import annotations
 
-from ..functions.dialect import SPARK, Dialect, d
+from ..functions.dialect import Dialect, d
 from ..functions.scalars import clamp01, excess
 
 Steps = dict[str, str]
@@ -47,18 +49,12 @@ def ultra_rare(limit: float) -> Steps:
     return {"ultra": f"select variant_idx from geno where cohort in ('TR', 'HO') group by variant_idx having least({p}, 1 - {p}) + {d(1e-9)} < {d(limit)}"}
 
 
-def kinship_by_join() -> Steps:
-    """``kin``: mean product of standardised values of every pair i <= j of a cohort; the check's way."""
-    return {"kin": """select a.cohort, a.sample_idx as i, b.sample_idx as j, round(sum(a.x * b.x) / max(m.n), 9) as k
-    from std a join std b on a.cohort = b.cohort and a.variant_idx = b.variant_idx and a.sample_idx <= b.sample_idx
-    cross join (select count(distinct variant_idx) as n from std) m
-    where a.cohort in ('HO', 'SYN') group by a.cohort, a.sample_idx, b.sample_idx"""}
-
-
 def tails(thetas: tuple[float, ...]) -> Steps:
-    """``tail``: share of a cohort's pairs at or above each theta."""
-    parts = " union all ".join(f"select cohort, {d(t)} as theta, avg(case when k >= {d(t)} then {d(1.0)} else {d(0.0)} end) as frac from kin where i < j group by cohort" for t in thetas)
-    return {"tail": parts}
+    """``tail``: share of a cohort's pairs at or above each theta; the number of pairs follows from the samples in ``kin``."""
+    counts = ", ".join(f"sum(case when i < j and k >= {d(t)} then 1 else 0 end) as c{n}" for n, t in enumerate(thetas))
+    parts = " union all ".join(f"select cohort, {d(t)} as theta, coalesce(c{n} / nullif(pairs, 0), {d(0.0)}) as frac from tail_count" for n, t in enumerate(thetas))
+    own = "sum(case when i = j then 1 else 0 end)"
+    return {"tail_count": f"select cohort, {own} * ({own} - 1) / {d(2.0)} as pairs, {counts} from kin group by cohort", "tail": parts}
 
 
 def _edge(t: str, theta: float, upper: float, bins: int) -> str:
@@ -69,7 +65,7 @@ def histogram(q: Dialect, theta: float = 0.125, upper: float = 0.5, bins: int =
     """``hist``: counts of tail pairs in equal bins; values above the last edge fall in the last bin, which is closed."""
     return {
         "bin": f"select t, {_edge('t', theta, upper, bins)} as lo, {_edge('(t + 1)', theta, upper, bins)} as hi from {q.series('t', 0, bins - 1)} s",
-        "hist": f"""select c.cohort, b.t, cast(coalesce(sum(h.w), 0) as bigint) as n from bin b cross join (select 'HO' as cohort union all select 'SYN') c
+        "hist": f"""select c.cohort, b.t, cast(coalesce(sum(h.w), 0) as bigint) as n from bin b cross join (select distinct cohort from kin) c
     left join (select cohort, least(k, {d(upper)}) as k, count(*) as w from kin where i < j and k >= {d(theta)} group by cohort, least(k, {d(upper)})) h
       on h.cohort = c.cohort and ((h.k >= b.lo and h.k < b.hi) or (b.t = {bins - 1} and h.k >= b.hi)) group by c.cohort, b.t""",
     }
@@ -113,48 +109,45 @@ def haplotypes(q: Dialect, k: int = 8, stride: int = 4, min_poly: int = 6) -> St
     }
 
 
-def rare_burden(q: Dialect, maf_limit: float) -> Steps:
-    """``rare`` and ``burden``: rare TRAIN variants, and each sample's dosage sum over them by autosome and in all."""
-    return {
-        "rare": f"select variant_idx from maf where maf < greatest({d(maf_limit)}, (select {d(0.5)} / greatest(count(distinct sample_idx), 1) from geno where cohort = 'TR'))",
-        "burden": f"""select g.cohort, g.sample_idx, f.feature, sum(case when r.variant_idx is not null and (f.feature = 'global' or f.feature = g.chrom) then coalesce(g.dosage, {d(0.0)}) else {d(0.0)} end) as value
-    from geno g cross join (select 'global' as feature union all select distinct chrom from geno where {q.to_int('chrom')} between 1 and 22) f
-    left join rare r on r.variant_idx = g.variant_idx group by g.cohort, g.sample_idx, f.feature""",
-    }
+def rare(maf_limit: float) -> Steps:
+    """``rare``: variants whose TRAIN minor frequency is below the limit, or below that of one allele in all."""
+    return {"rare": f"select variant_idx from maf where maf < greatest({d(maf_limit)}, (select {d(0.5)} / greatest(count(distinct sample_idx), 1) from geno where cohort = 'TR'))"}
 
 
-def membership(q: Dialect = SPARK) -> Steps:
-    """``l1``: each real sample's least Manhattan distance to a synthetic one; ``mia``: AUC by mid-ranks, and its risk.
+def rare_burden(q: Dialect, maf_limit: float) -> Steps:
+    """``burden``: each sample's dosage sum over rare variants (``rare``), by autosome and in all.
 
-    Equal burden vectors are told apart no further: distances are between
-    distinct vectors, so the pairs grow with those and not with the samples.
-    Spark tells vectors apart whole; the other dialect's text is the check's and
-    stays as it is (a rounded number, right for few features).
+    Calls are summed by chromosome before features are dealt out, so only sums
+    meet the list of features.
     """
-    code = q.joined("value", "fid") if q.spark else "sum(value * pow(1009, fid))"
+    return rare(maf_limit) | {
+        "rare_sum": f"select g.cohort, g.sample_idx, g.chrom, sum(coalesce(g.dosage, {d(0.0)})) as s from geno g join rare r on r.variant_idx = g.variant_idx group by g.cohort, g.sample_idx, g.chrom",
+        "feature": f"select 'global' as feature union all select chrom from (select variant_idx, min(chrom) as chrom from geno group by variant_idx) v where {q.to_int('chrom')} between 1 and 22 group by chrom",
+        "burden": f"""select p.cohort, p.sample_idx, f.feature, coalesce(sum(case when f.feature = 'global' or f.feature = s.chrom then s.s end), {d(0.0)}) as value
+    from (select distinct cohort, sample_idx from geno) p cross join feature f left join rare_sum s on s.cohort = p.cohort and s.sample_idx = p.sample_idx group by p.cohort, p.sample_idx, f.feature""",
+    }
+
+
+def membership() -> Steps:
+    """``mia``: for each synthetic cohort ``name``, from ``l1(name, cohort, sample_idx, dist)``, the AUC by mid-ranks, and its risk."""
     return {
-        "vec": f"select cohort, sample_idx, {code} as code from (select b.*, dense_rank() over (order by feature) - 1 as fid from burden b) t group by cohort, sample_idx",
-        "kinds": "select cohort, code, min(sample_idx) as s from vec group by cohort, code",
-        "l1_kind": """select real_code, min(dist) as dist from (select a.code as real_code, b.code as syn_code, sum(abs(x.value - y.value)) as dist
-    from kinds a join burden x on x.cohort = a.cohort and x.sample_idx = a.s join burden y on y.cohort = 'SYN' and y.feature = x.feature join kinds b on b.cohort = 'SYN' and b.s = y.sample_idx
-    where a.cohort in ('TR', 'HO') group by a.cohort, a.code, b.code) t group by real_code""",
-        "l1": "select v.cohort, v.sample_idx, l.dist from vec v join l1_kind l on l.real_code = v.code where v.cohort in ('TR', 'HO')",
-        "ranked": "select cohort, rank() over (order by -dist) + (count(*) over (partition by dist) - 1) / cast(2 as double) as mid from l1",
-        "mia": f"""select auc, {clamp01('2 * (auc - ' + d(0.5) + ')')} as r_mia from (select (sum(case when cohort = 'TR' then mid else 0 end) - t * (t + 1) / 2) / nullif(t * h, 0) as auc
-    from (select *, cast(sum(case when cohort = 'TR' then 1 else 0 end) over () as double) as t, cast(sum(case when cohort = 'HO' then 1 else 0 end) over () as double) as h from ranked) x group by t, h) y""",
+        "ranked": f"select name, cohort, rank() over (partition by name order by -dist) + (count(*) over (partition by name, dist) - 1) / {d(2.0)} as mid from l1",
+        "mia": f"""select name, auc, {clamp01('2 * (auc - ' + d(0.5) + ')')} as r_mia from (select name, (s - t * (t + 1) / 2) / nullif(t * h, 0) as auc from (select name, sum(case when cohort = 'TR' then mid else 0 end) as s,
+      cast(sum(case when cohort = 'TR' then 1 else 0 end) as double) as t, cast(sum(case when cohort = 'HO' then 1 else 0 end) as double) as h from ranked group by name) x) y""",
     }
 
 
 def rare_carriers(maf_limit: float, k_minor: int = 1, min_calls: float = 0.8) -> Steps:
-    """``uniq``: share of rare variants with two or more synthetic carriers, against that expected, and the risk."""
+    """``uniq``: for each synthetic cohort ``name``, the share of rare variants with two or more carriers, that expected, and the risk."""
     n = "(select count(distinct sample_idx) from geno where cohort = 'TR')"
     calls = f"greatest(1, cast(floor({d(min_calls)} * {n}) as bigint))"
     return {
-        "carrier": f"""select g.variant_idx, count(g.dosage) as n_eff, sum(case when g.dosage > 0 then 1 else 0 end) as x, max(m.p) as p from geno g join maf m on m.variant_idx = g.variant_idx
+        "carrier": f"""select g.cohort as name, g.variant_idx, count(g.dosage) as n_eff, sum(case when g.dosage > 0 then 1 else 0 end) as x, max(m.p) as p from geno g join maf m on m.variant_idx = g.variant_idx
     join rare r on r.variant_idx = m.variant_idx
-    where g.cohort = 'SYN' and m.nobs >= {calls} and m.maf < greatest({d(maf_limit)}, {k_minor} / (2 * cast(greatest(m.nobs, 1) as double))) group by g.variant_idx having count(g.dosage) >= 2""",
-        "uniq": f"""select n_used, u, u0, {excess('u', 'u0')} as r_uniq from (select count(*) as n_used, coalesce(avg(case when x >= 2 then {d(1.0)} else {d(0.0)} end), {d(0.0)}) as u,
-      coalesce(avg(1 - pow(1 - qq, n_eff) - n_eff * qq * pow(1 - qq, n_eff - 1)), {d(0.0)}) as u0 from (select *, 1 - pow(1 - p, 2) as qq from carrier) c) t""",
+    where g.cohort not in ('TR', 'HO') and m.nobs >= {calls} and m.maf < greatest({d(maf_limit)}, {k_minor} / (2 * cast(greatest(m.nobs, 1) as double))) group by g.cohort, g.variant_idx having count(g.dosage) >= 2""",
+        "uniq": f"""select name, n_used, u, u0, {excess('u', 'u0')} as r_uniq from (select k.name, count(c.variant_idx) as n_used, coalesce(avg(case when c.x >= 2 then {d(1.0)} when c.x is not null then {d(0.0)} end), {d(0.0)}) as u,
+      coalesce(avg(1 - pow(1 - c.qq, c.n_eff) - c.n_eff * c.qq * pow(1 - c.qq, c.n_eff - 1)), {d(0.0)}) as u0
+    from (select distinct cohort as name from geno where cohort not in ('TR', 'HO')) k left join (select *, 1 - pow(1 - p, 2) as qq from carrier) c on c.name = k.name group by k.name) t""",
     }
 
 
@@ -166,15 +159,6 @@ def proximity(q: Dialect, quantile: float = 0.01) -> Steps:
     }
 
 
-def distances_by_join(variants: str = "") -> Steps:
-    """``dist``: each HO sample's distance to the nearest SYN and to the nearest other HO sample; the check's way."""
-    where = f"and a.variant_idx in (select variant_idx from {variants})" if variants else ""
-    return {
-        "pair_d": f"select a.sample_idx as i, b.cohort, b.sample_idx as j, sqrt(sum((a.x - b.x) * (a.x - b.x))) as dd from std a join std b on a.variant_idx = b.variant_idx where a.cohort = 'HO' and b.cohort in ('HO', 'SYN') and a.sample_idx <> b.sample_idx {where} group by a.sample_idx, b.cohort, b.sample_idx",
-        "dist": "select i as sample_idx, round(min(case when cohort = 'SYN' then dd end), 9) as d_syn, round(min(case when cohort = 'HO' then dd end), 9) as d_real from pair_d group by i",
-    }
-
-
 def resamples(q: Dialect, draws: int, source: str = "select distinct sample_idx from geno where cohort = 'HO'") -> Steps:
     """``mult``: how often each individual stands in each draw with replacement; one table serves all bootstraps."""
     return {
@@ -185,56 +169,116 @@ def resamples(q: Dialect, draws: int, source: str = "select distinct sample_idx
 
 
 def resampled_kin() -> Steps:
-    """``kin_b``: pairs of each draw by value, with multiplicity; two copies of one person pair with each other."""
-    return {"kin_b": """select a.b, k.k, cast(case when k.i = k.j then a.c * (a.c - 1) / 2 else a.c * b.c end as double) as w
-    from kin k join mult a on a.sample_idx = k.i join mult b on b.sample_idx = k.j and b.b = a.b where k.cohort = 'HO' and (k.i < k.j or a.c > 1)"""}
+    """``kin_b``: pairs of each draw by value, with multiplicity; two copies of one person pair with each other.
+
+    A draw has as many pairs as there are pairs of people, whatever it holds, so
+    only pairs in ``kin`` (those above the least threshold) are needed.
+    """
+    return {
+        "kin_b": """select a.b, k.k, cast(case when k.i = k.j then a.c * (a.c - 1) / 2 else a.c * b.c end as double) as w
+    from kin k join mult a on a.sample_idx = k.i join mult b on b.sample_idx = k.j and b.b = a.b where k.cohort = 'HO' and (k.i < k.j or a.c > 1)""",
+        "pairs_b": f"select b, sum(c) * (sum(c) - 1) / {d(2.0)} as pairs from mult group by b",
+    }
 
 
-def kinship_excess(thetas: tuple[float, ...]) -> Steps:
-    """``ike``: by theta, the synthetic tail share, its mean over draws of real people, and the risk."""
-    null = " union all ".join(f"select b, {d(t)} as theta, sum(case when k >= {d(t)} then w else 0 end) / sum(w) as f from kin_b group by b" for t in thetas)
+def kinship_excess(thetas: tuple[float, ...], draws: int) -> Steps:
+    """``ike``: by synthetic cohort and theta, the tail share, its mean over draws of real people, and the risk (1 without draws)."""
+    if not draws:
+        return {"ike": f"select t.cohort as name, t.theta, t.frac, cast(null as double) as f0, {clamp01('cast(null as double)')} as r from tail t where t.cohort not in ('TR', 'HO')"}
+    counts = ", ".join(f"sum(case when k >= {d(t)} then w else 0 end) as s{n}" for n, t in enumerate(thetas))
+    null = " union all ".join(f"select {d(t)} as theta, avg(coalesce(s.s{n}, 0) / p.pairs) as f0 from pairs_b p left join tail_b s on s.b = p.b where p.pairs > 0" for n, t in enumerate(thetas))
     return {
-        "ike_null": f"select theta, avg(f) as f0 from ({null}) t group by theta",
-        "ike": f"select t.theta, t.frac, n.f0, {excess('t.frac', 'n.f0')} as r from tail t join ike_null n on n.theta = t.theta where t.cohort = 'SYN'",
+        "tail_b": f"select b, {counts} from kin_b group by b",
+        "ike_null": null,
+        "ike": f"select t.cohort as name, t.theta, t.frac, n.f0, {excess('t.frac', 'n.f0')} as r from tail t join ike_null n on n.theta = t.theta where t.cohort not in ('TR', 'HO')",
     }
 
 
-def replay(theta: float = 0.125, upper: float = 0.5, bins: int = 25) -> Steps:
-    """``replay``: similarity of the tails' histograms, its mean and deviation over draws, and the risk."""
+def _observed() -> Steps:
     return {
+        "tails_both": "select s.cohort as name, s.t, cast(h.n as double) as p, cast(s.n as double) as q from hist s join hist h on h.t = s.t and h.cohort = 'HO' where s.cohort <> 'HO'",
+        **js_similarity("tails_both", ("name",), "m_obs"),
+        "close": "select name, cast(sum(p) as bigint) as n_real_close, cast(sum(q) as bigint) as n_syn_close from tails_both group by name",
+    }
+
+
+def replay(draws: int, theta: float = 0.125, upper: float = 0.5, bins: int = 25) -> Steps:
+    """``replay``: by synthetic cohort, similarity of the tails' histograms, its mean and deviation over draws, the risk, and the tails' sizes.
+
+    Without draws the similarity is its own base and the risk is the similarity.
+    """
+    told = f"c.n_real_close, c.n_syn_close, {bins} as n_bins, {d(upper)} as upper"
+    if not draws:
+        return _observed() | {"replay": f"select o.name, o.m as obs, o.m as base, {d(0.0)} as sd, {clamp01('o.m')} as r_replay, {told} from m_obs o join close c on c.name = o.name"}
+    return _observed() | {
         "hist_b": f"select k.b, b.t, sum(k.w) as n from (select b, least(k, {d(upper)}) as k, w from kin_b where k >= {d(theta)}) k join bin b on (k.k >= b.lo and k.k < b.hi) or (b.t = {bins - 1} and k.k >= b.hi) group by k.b, b.t",
-        "both_b": "select m.b, h.t, coalesce(x.n, 0) as p, cast(h.n as double) as q from (select distinct b from mult) m cross join (select t, n from hist where cohort = 'SYN') h left join hist_b x on x.b = m.b and x.t = h.t",
-        **js_similarity("both_b", ("b",), "m_b"),
-        "tails_both": "select t, cast(max(case when cohort = 'HO' then n end) as double) as p, cast(max(case when cohort = 'SYN' then n end) as double) as q from hist group by t",
-        **js_similarity("tails_both", (), "m_obs"),
-        "replay": f"select m as obs, base, sd, {excess('m', 'base')} as r_replay from m_obs cross join (select avg(m) as base, coalesce(stddev_samp(m), 0) as sd from m_b) n",
+        "both_b": "select h.cohort as name, m.b, h.t, coalesce(x.n, 0) as p, cast(h.n as double) as q from (select distinct b from mult) m cross join (select cohort, t, n from hist where cohort <> 'HO') h left join hist_b x on x.b = m.b and x.t = h.t",
+        **js_similarity("both_b", ("name", "b"), "m_b"),
+        "replay": f"select o.name, o.m as obs, n.base, n.sd, {excess('o.m', 'n.base')} as r_replay, {told} from m_obs o join (select name, avg(m) as base, coalesce(stddev_samp(m), 0) as sd from m_b group by name) n on n.name = o.name join close c on c.name = o.name",
+    }
+
+
+def value_draws(q: Dialect, draws: int, thetas: tuple[float, ...], theta: float = 0.125, upper: float = 0.5, bins: int = 25) -> Steps:
+    """``value_null``: where no people can be drawn, pairs' values are: by synthetic cohort, the mean similarity and mean tail shares over draws.
+
+    ``replay`` draws the synthetic cohort's values, ``excess`` the real one's, as
+    many as the synthetic cohort has.  A value matters by its cell alone (the
+    histogram's bin and the thetas it reaches), so a draw picks a place in the
+    running counts of cells, and pairs are never numbered.
+    """
+    edges = sorted({*thetas, theta, *(theta + t * ((upper - theta) / bins) for t in range(bins))})
+    cell = " + ".join(f"(case when k >= {d(e)} then 1 else 0 end)" for e in edges)
+    lowest = " union all ".join(f"select {n} as cell, {d(e)} as low" for n, e in enumerate([-1e300, *edges]))
+    return {
+        "cell": f"select cohort, cell, cast(count(*) as bigint) as n from (select cohort, {cell} as cell from kin where i < j and k >= {d(min(edges))}) t group by cohort, cell",
+        "cell_all": "select cohort, cell, n from cell union all select t.cohort, 0 as cell, cast(max(t.pairs) - coalesce(max(c.n), 0) as bigint) as n from tail_count t left join (select cohort, sum(n) as n from cell where cell > 0 group by cohort) c on c.cohort = t.cohort group by t.cohort",
+        "cell_sum": "select cohort, cell, sum(n) as n from cell_all group by cohort, cell",
+        "ladder": "select cohort, cell, cast(sum(n) over (partition by cohort order by cell) - n as bigint) as lo, cast(sum(n) over (partition by cohort order by cell) as bigint) as hi from cell_sum where n > 0",
+        "total": "select cohort, max(hi) as n from ladder group by cohort",
+        "wanted": "select s.cohort as name, s.n as size, 'replay' as kind, s.cohort as source, s.n as have from total s where s.cohort <> 'HO' union all select s.cohort, s.n, 'excess', 'HO', h.n from total s cross join (select n from total where cohort = 'HO') h where s.cohort <> 'HO'",
+        "pick": f"select w.name, w.kind, w.source, w.size, d.b, l.slot, {q.draw(f"'v:' || w.kind || ':' || {q.text('d.b')} || ':' || {q.text('l.slot')}")} % w.have as at from wanted w cross join {q.series('b', 0, draws - 1)} d cross join lateral (select {q.unnest_range('w.size')} as slot) l",
+        "cell_b": "select p.name, p.kind, p.b, l.cell, cast(count(*) as double) as n, max(p.size) as size from pick p join ladder l on l.cohort = p.source and p.at >= l.lo and p.at < l.hi group by p.name, p.kind, p.b, l.cell",
+        "low": lowest,
+        "bin_v": f"select c.name, c.b, b.t, sum(c.n) as n from cell_b c join low l on l.cell = c.cell join bin b on (least(l.low, {d(upper)}) + {d(1e-9)} >= b.lo and least(l.low, {d(upper)}) + {d(1e-9)} < b.hi) or (b.t = {bins - 1} and l.low + {d(1e-9)} >= b.hi) where c.kind = 'replay' and l.low + {d(1e-9)} >= {d(theta)} group by c.name, c.b, b.t",
+        "both_v": f"select w.name, d.b, h.t, cast(h.n as double) as p, coalesce(x.n, {d(0.0)}) as q from (select distinct name from wanted) w cross join {q.series('b', 0, draws - 1)} d cross join (select t, n from hist where cohort = 'HO') h left join bin_v x on x.name = w.name and x.b = d.b and x.t = h.t",
+        **js_similarity("both_v", ("name", "b"), "m_v"),
+        "value_null": "select name, 'replay' as kind, cast(null as double) as theta, avg(m) as base from m_v group by name union all "
+        + " union all ".join(f"select name, 'excess', {d(t)}, avg(f) from (select c.name, c.b, sum(case when l.low + {d(1e-9)} >= {d(t)} then c.n else 0 end) / max(c.size) as f from cell_b c join low l on l.cell = c.cell where c.kind = 'excess' group by c.name, c.b) t group by name" for t in thetas),
     }
 
 
-def haplotype_risk(min_poly: int = 6) -> Steps:
-    """``hap_risk``: the synthetic collision rate against its mean over draws of real people.
+def haplotype_risk(draws: int, min_poly: int = 6) -> Steps:
+    """``hap_risk``: by synthetic cohort, the collision rate against its mean over draws of real people (1 without draws, 0 with one person).
 
-    A draw's windows count by its own variety, and missing dosages take its own
-    most frequent value, so both are worked out for each draw; haplotypes are
-    then grouped with multiplicities.
+    A haplotype's code is worked out once a person and window from the calls that
+    are there; a draw's windows count by its own variety, and only missing calls
+    take the draw's own most frequent value.  Codes are then grouped with
+    multiplicities.
     """
+    risk = f"case when h.cohort is null then {d(0.0)} when mean_rho <= c0 or max_rho <= c0 + {d(1e-12)} then {d(0.0)} else {clamp01(f'(mean_rho - c0) / (max_rho - c0 + {d(1e-12)})')} end"
+    people = "(select case when count(distinct sample_idx) > 1 then 'HO' end as cohort from geno where cohort = 'HO') h"
+    if not draws:
+        return {"hap_risk": f"select c.cohort as name, mean_rho as obs, cast(null as double) as base, max_rho as cmax, case when h.cohort is null then {d(0.0)} else {clamp01('cast(null as double)')} end as r_hap from hap_collision c cross join {people} where c.cohort not in ('TR', 'HO')"}
     return {
-        "value_b": "select m.b, a.variant_idx, a.dosage, sum(m.c) as n from autosome a join mult m on m.sample_idx = a.sample_idx where a.cohort = 'HO' and a.dosage is not null group by m.b, a.variant_idx, a.dosage",
-        "usual_b": "select b, variant_idx, dosage, kinds from (select *, row_number() over (partition by b, variant_idx order by n desc, dosage) as rn, count(*) over (partition by b, variant_idx) as kinds from value_b) t where rn = 1",
+        "real_cell": "select sample_idx, variant_idx, dosage from autosome where cohort = 'HO'",
+        "value_b": "select m.b, a.variant_idx, a.dosage, sum(m.c) as n from real_cell a join mult m on m.sample_idx = a.sample_idx where a.dosage is not null group by m.b, a.variant_idx, a.dosage",
+        "usual_b": "select b, variant_idx, min_by(dosage, struct(-n, dosage)) as dosage, count(*) as kinds from value_b group by b, variant_idx",
         "window_b": f"select u.b, w.chrom, w.wid from usual_b u join in_window w on w.variant_idx = u.variant_idx group by u.b, w.chrom, w.wid having sum(case when u.kinds >= 2 then 1 else 0 end) >= {min_poly}",
-        "cell_b": """select m.b, w.chrom, w.wid, m.sample_idx, m.c, sum(coalesce(a.dosage, u.dosage, 0) * pow(8, w.c)) as code
-    from mult m join autosome a on a.sample_idx = m.sample_idx and a.cohort = 'HO' join in_window w on w.variant_idx = a.variant_idx
-    join window_b g on g.b = m.b and g.chrom = w.chrom and g.wid = w.wid left join usual_b u on u.b = m.b and u.variant_idx = a.variant_idx group by m.b, w.chrom, w.wid, m.sample_idx, m.c""",
-        "rate_b": "select b, chrom, wid, sum(n * (n - 1) / 2) / max(total * (total - 1) / 2) as rho from (select b, chrom, wid, code, cast(sum(c) as double) as n from cell_b group by b, chrom, wid, code) g cross join (select cast(count(*) as double) as total from person) p group by b, chrom, wid",
+        "code": "select w.chrom, w.wid, a.sample_idx, sum(coalesce(a.dosage, 0) * pow(64, w.c)) as code from real_cell a join in_window w on w.variant_idx = a.variant_idx group by w.chrom, w.wid, a.sample_idx",
+        "gap": "select w.chrom, w.wid, w.c, a.sample_idx, a.variant_idx from real_cell a join in_window w on w.variant_idx = a.variant_idx where a.dosage is null",
+        "fill_b": "select m.b, g.chrom, g.wid, g.sample_idx, sum(u.dosage * pow(64, g.c)) as more from gap g join mult m on m.sample_idx = g.sample_idx join usual_b u on u.b = m.b and u.variant_idx = g.variant_idx group by m.b, g.chrom, g.wid, g.sample_idx",
+        "hap_b": """select m.b, k.chrom, k.wid, k.code + coalesce(f.more, 0) as code, sum(m.c) as n from code k join mult m on m.sample_idx = k.sample_idx
+    left join fill_b f on f.b = m.b and f.chrom = k.chrom and f.wid = k.wid and f.sample_idx = k.sample_idx group by m.b, k.chrom, k.wid, k.code + coalesce(f.more, 0)""",
+        "rate_b": "select r.b, r.chrom, r.wid, sum(r.n * (r.n - 1) / 2) / max(p.pairs) as rho from hap_b r join window_b g on g.b = r.b and g.chrom = r.chrom and g.wid = r.wid join pairs_b p on p.b = r.b group by r.b, r.chrom, r.wid",
         "null_b": f"select avg(c) as c0 from (select m.b, coalesce(avg(r.rho), {d(0.0)}) as c from (select distinct b from mult) m left join rate_b r on r.b = m.b group by m.b) t",
-        "hap_risk": f"""select mean_rho as obs, c0 as base, max_rho as cmax, case when mean_rho <= c0 or max_rho <= c0 + {d(1e-12)} then {d(0.0)} else {clamp01(f'(mean_rho - c0) / (max_rho - c0 + {d(1e-12)})')} end as r_hap
-    from hap_collision cross join null_b where cohort = 'SYN'""",
+        "hap_risk": f"select c.cohort as name, mean_rho as obs, c0 as base, max_rho as cmax, {risk} as r_hap from hap_collision c cross join null_b cross join {people} where c.cohort not in ('TR', 'HO')",
     }
 
 
 def proximity_draws(q: Dialect, quantile: float = 0.01) -> Steps:
     """``pli_b``: the proximity figures of each draw of the real samples' distances."""
-    spread = "select m.b, x.d_syn, x.d_real from mult m join dist x on x.sample_idx = m.sample_idx cross join (select 0 as z) o join (select id as nth from range(1, 65)) r on r.nth <= m.c" if q.spark else "select m.b, x.d_syn, x.d_real from mult m join dist x on x.sample_idx = m.sample_idx join (select unnest(range(1, 65)) as nth) r on r.nth <= m.c"
+    copies = "explode(sequence(1, cast(m.c as int)))" if q.spark else "unnest(range(0, m.c))"
+    spread = f"select m.b, x.d_syn, x.d_real, {copies} as nth from mult m join dist x on x.sample_idx = m.sample_idx"
     one = d(1.0)
     return {
         "dist_b": spread,

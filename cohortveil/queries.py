@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .functions.dialect import DUCKDB, SPARK, Dialect
 from .functions.scalars import p_format
-from .jobs import diagnostics, generators, scoring
+from .jobs import cohorts, diagnostics, generators, scoring
 from .operators import kernels
 from .operators import relations as rel
-from .sources import adapters, vcf
+from .sources import adapters
 from .sources.shared import kept
 
 Steps = dict[str, str]
@@ -20,8 +22,7 @@ MAF_LIMIT, ALPHA, THETAS = 0.01, 1e-3, (0.10, 0.125, 0.25)
 DRAWS = 20
 
 
-def chain(steps: Steps, select: str) -> str:
-    return "with " + ",\n".join(f"{n} as ({s})" for n, s in steps.items()) + "\n" + select
+chain = oracle.chain
 
 
 def geno(q: Dialect) -> Steps:
@@ -56,41 +57,45 @@ class Job:
     def with_std(self) -> Job:
         return self.run(rel.allele_frequency() | rel.standardised(), "std")
 
-    def with_kin(self) -> Job:
+    def with_kin(self, least: float | None = min(THETAS)) -> Job:
+        """Pairs of all cohorts but TRAIN; those below ``least`` aren't kept."""
         self.with_std()
-        return self.bind("kin", kept(kernels.kinship(self.frames["std"].where("cohort in ('HO', 'SYN')"))))
+        return self.bind("kin", kept(kernels.kinship(self.frames["std"].where("cohort <> 'TR'"), least=least)))
 
-    def with_dist(self, polymorphic: bool = False, components: int = 0) -> Job:
+    def with_draws(self, draws: int = DRAWS) -> Job:
+        """``mult`` of the real people, shared by all that draws them."""
+        return self.bind("mult", kept(self.sql(rel.resamples(SPARK, draws), "select * from mult")))
+
+    def with_eigen(self) -> Job:
+        return self.bind("eigen", kernels.spectral(self.frames["std"].where("cohort <> 'TR'")))
+
+    def with_dist(self, polymorphic: bool = False) -> Job:
         self.with_std()
         std = self.frames["std"]
         if polymorphic:
             std = std.join(self.sql(rel.polymorphic(), "select variant_idx from poly"), "variant_idx", "left_semi")
-        if components:
-            std = kernels.principal_components(std, components)
         return self.bind("dist", kept(kernels.distances(std)))
 
+    def with_components(self, components: int) -> Job:
+        """``poly``, and ``part``: the leading components of all samples, a component for a variant."""
+        self.with_std().bind("poly", kept(self.sql(rel.polymorphic(), "select * from poly")))
+        std = self.frames["std"].join(self.frames["poly"], "variant_idx", "left_semi")
+        return self.bind("part", kept(kernels.principal_components(std, components)))
 
-# -- the same text in both dialects ------------------------------------------------------------
-
-
-def _std(q: Dialect) -> Steps:
-    return geno(q) | rel.allele_frequency() | rel.standardised()
-
-
-def _kin_sql(q: Dialect) -> Steps:
-    return _std(q) | rel.kinship_by_join()
+    def with_component_dist(self, components: int) -> Job:
+        return self.bind("dist", kept(kernels.distances(self.frames["part"].where(F.col("variant_idx") < components))))
 
+    def with_l1(self, maf_limit: float = MAF_LIMIT) -> Job:
+        """``maf``, ``burden`` and ``l1``: rare burdens, and each real sample's nearest synthetic one."""
+        self.bind("maf", kept(self.sql(rel.train_maf(ALPHA), "select * from maf")))
+        self.bind("burden", kept(self.sql(rel.rare_burden(SPARK, maf_limit), "select * from burden")))
+        return self.bind("l1", kernels.nearest_burden(self.frames["burden"]))
 
-def _dist_sql(q: Dialect, polymorphic: bool = False) -> Steps:
-    return _std(q) | (rel.polymorphic() if polymorphic else {}) | rel.distances_by_join("poly" if polymorphic else "")
 
+Spec = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
-def _rare(q: Dialect) -> Steps:
-    return rel.train_maf(ALPHA) | rel.rare_burden(q, MAF_LIMIT)
 
-
-def _tli(q: Dialect) -> Steps:
-    return _rare(q) | rel.membership(q) | rel.rare_carriers(MAF_LIMIT)
+# -- the same text in both dialects: single aggregates over the genotypes ---------------------------
 
 
 TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
@@ -102,12 +107,7 @@ TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "ultra_rare": (lambda q: rel.ultra_rare(MAF_LIMIT), "select variant_idx from ultra"),
     "hap_windows": (lambda q: rel.haplotypes(q), "select cohort, chrom, wid, round(rho, 6) as rho from hap_rate"),
     "hap_collisions": (lambda q: rel.haplotypes(q), "select cohort, round(mean_rho, 6) as mean_rho, round(max_rho, 6) as max_rho from hap_collision"),
-    "rare_burden": (_rare, "select cohort, sample_idx, feature, value from burden"),
-    "mia_nn_l1": (lambda q: _rare(q) | rel.membership(q), "select cohort, sample_idx, dist from l1"),
-    "mia_auc": (lambda q: _rare(q) | rel.membership(q), "select round(auc, 6) as auc, round(r_mia, 6) as r_mia from mia"),
-    "uniq_collision": (_tli, "select n_used, round(u, 6) as u, round(u0, 6) as u0, round(r_uniq, 6) as r_uniq from uniq"),
-    "tli": (_tli, "select round(r_mia, 6) as r_mia, round(r_uniq, 6) as r_uniq, round(greatest(r_mia, r_uniq), 6) as tli from mia cross join uniq"),
-    "hap_risk": (lambda q: rel.haplotypes(q) | rel.resamples(q, DRAWS) | rel.haplotype_risk(), "select round(obs, 6) as obs, round(base, 6) as base, round(cmax, 6) as cmax, round(r_hap, 6) as r_hap from hap_risk"),
+    "train_holdout_split": (lambda q: cohorts.split(q, 0.8), "select cohort, count(*) as n, cast(sum(sample_idx) as bigint) as marks from split group by cohort"),
     "gen_safe": (lambda q: rel.allele_frequency() | generators.safe(q, 80), "select variant_idx, count(*) as n, sum(dosage) as alleles, cast(sum(case when dosage = 2 then 1 else 0 end) as bigint) as hom from safe_geno group by variant_idx"),
     "gen_safe_floor": (lambda q: rel.allele_frequency() | generators.safe(q, 80, 0.05), "select variant_idx, count(*) as n, sum(dosage) as alleles from safe_geno group by variant_idx"),
     "gen_copycat": (lambda q: rel.ultra_rare(MAF_LIMIT) | generators.copycat(q, 100), "select sample_idx, count(dosage) as calls, sum(dosage) as alleles, sum(dosage * variant_idx) as mark from leaky_geno group by sample_idx"),
@@ -117,178 +117,234 @@ TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
 EVENT_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "evt_af": (lambda q: rel.allele_frequency(), "select variant_idx, round(p, 9) as p from af"),
     "evt_hap_collisions": (lambda q: rel.haplotypes(q, min_poly=3), "select cohort, round(mean_rho, 6) as mean_rho, round(max_rho, 6) as max_rho from hap_collision"),
-    "evt_tli": (lambda q: rel.train_maf(ALPHA) | rel.rare_burden(q, 0.02) | rel.membership(q) | rel.rare_carriers(0.02), "select round(auc, 6) as auc, n_used, round(u, 6) as u, round(u0, 6) as u0, round(greatest(r_mia, r_uniq), 6) as tli from mia cross join uniq"),
 }
 
-#: After ``kin``: pairs of samples.
-KIN_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
-    "grm_pairs": (lambda q: {}, "select cohort, i, j, round(k, 6) as k from kin"),
-    "grm_trace": (lambda q: {}, "select cohort, count(*) as pairs, round(sum(case when i = j then k else 0 end), 5) as trace from kin group by cohort"),
-    "kin_tail": (lambda q: rel.tails(THETAS), "select cohort, theta, round(frac, 6) as frac from tail"),
-    "kin_hist": (lambda q: rel.histogram(q), "select cohort, t, n from hist"),
-    "replay_js": (lambda q: rel.histogram(q) | {"tails_both": "select t, cast(max(case when cohort = 'HO' then n end) as double) as p, cast(max(case when cohort = 'SYN' then n end) as double) as q from hist group by t"} | rel.js_similarity("tails_both", (), "m_obs"), "select round(m, 6) as m from m_obs"),
-    "boot_kin": (lambda q: rel.resamples(q, DRAWS) | rel.resampled_kin(), "select b, round(sum(w), 3) as pairs, round(sum(k * w), 3) as mass from kin_b group by b"),
-    "ike_risk": (lambda q: rel.tails(THETAS) | rel.resamples(q, DRAWS) | rel.resampled_kin() | rel.kinship_excess(THETAS), "select theta, round(frac, 6) as frac, round(f0, 6) as f0, round(r, 6) as r from ike"),
-    "replay_risk": (lambda q: rel.histogram(q) | rel.resamples(q, DRAWS) | rel.resampled_kin() | rel.replay(), "select round(obs, 6) as obs, round(base, 6) as base, round(sd, 6) as sd, round(r_replay, 6) as r_replay from replay"),
-}
 
-#: After ``dist``: nearest neighbours.
-DIST_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
-    "nn_dist": (lambda q: {}, "select sample_idx, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real from dist"),
-    "pli_metrics": (lambda q: rel.proximity(q), "select round(rho, 6) as rho, round(r_p, 6) as r_p, round(a, 6) as a, round(r_a, 6) as r_a, round(pli, 6) as pli from pli"),
-    "pli_boot": (lambda q: rel.resamples(q, DRAWS) | rel.proximity_draws(q), "select b, round(rho, 6) as rho, round(a, 6) as a, round(pli, 6) as pli from pli_b"),
-    "per_sample_pli": (lambda q: diagnostics.per_sample(q), "select sample, round(ratio, 6) as ratio, round(margin, 6) as margin, round(s_ratio, 6) as s_ratio, ap_flag, rank_s_ratio, rank_margin from per_sample"),
-    "pli_plot_rows": (lambda q: diagnostics.per_sample(q), "select sample, round(margin, 6) as margin, rank_s_ratio from (" + diagnostics.plot_rows() + ") t"),
-    "pli_diag_driver": (lambda q: rel.proximity(q) | diagnostics.driver(), "select round(pli, 6) as pli, driver from pli_driver"),
-    "pli_describe": (lambda q: {}, ""),
-}
+def _same(source: Callable[[Dialect], Steps], steps: Callable[[Dialect], Steps], select: str) -> Spec:
+    return lambda spark, sf_dir: Job(spark, sf_dir, source).sql(steps(SPARK), select), chain(source(DUCKDB) | steps(DUCKDB), select)
 
 
-def _describe(q: Dialect) -> str:
-    ps = ", ".join(f"round({q.percentile('d_syn', p)}, 6) as {n}" for p, n in ((0.025, "p2_5"), (0.5, "p50"), (0.975, "p97_5")))
-    return f"select count(*) as n, round(avg(d_syn), 6) as mean, round(stddev_samp(d_syn), 6) as sd, round(min(d_syn), 6) as low, {ps}, round(max(d_syn), 6) as high from dist"
+# -- kernels and rewritten steps, against the check's own joins ----------------------------------
 
 
-# -- scores: candidates, two anchors ------------------------------------------------------------
+def _on(job: Callable[[SparkSession, str], Job], steps: Steps, select: str, check: Steps, check_select: str | None = None, source: Callable[[Dialect], Steps] = geno) -> Spec:
+    return lambda spark, sf_dir: job(spark, sf_dir).sql(steps, select), chain(source(DUCKDB) | check, check_select or select)
 
-SCORE_SAMPLES = 60
-SCORE_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
-    "score_components": (lambda q: {}, "select name, role, pli, kri, tli from scores"),
-    "weights_fit": (lambda q: scoring.fit(q), "select round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(loss, 9) as loss from weights"),
-    "score_raw": (lambda q: scoring.fit(q) | scoring.scored(), "select name, role, round(r_raw, 6) as r_raw from scored"),
-    "score_calibrated": (lambda q: scoring.fit(q) | scoring.scored(), "select name, round(r_raw, 6) as r_raw, round(score, 4) as score from scored"),
-    "boot_scores": (lambda q: scoring.fit(q) | scoring.scored() | scoring.jittered(q, 100) | scoring.draws_fixed() | scoring.draw_stats(q), "select name, round(mean_r, 6) as mean_r, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g, round(lo_g, 4) as lo_g, round(hi_g, 4) as hi_g from stats"),
-    "pairwise_p": (lambda q: scoring.fit(q) | scoring.scored() | scoring.jittered(q, 100) | scoring.draws_fixed() | scoring.draw_stats(q), "select pair, round(mean_diff, 4) as mean_diff, round(lo, 4) as lo, round(hi, 4) as hi, round(p, 6) as p from pairs"),
-    "kendall": (lambda q: scoring.fit(q) | scoring.scored() | scoring.jittered(q, 100) | scoring.draws_fixed() | scoring.rankings(q) | scoring.tau_null(), "select round(mean_tau, 6) as mean_tau, round(sd_tau, 6) as sd_tau, round(lo, 6) as lo, round(hi, 6) as hi, round(p, 6) as p from tau cross join tau_p"),
-    "grid_search": (lambda q: scoring.jittered(q, 10) | scoring.search(q) | scoring.rankings(q, keys=("eps", "lam", "gamma"), permutations=1), "select t.eps, t.lam, t.gamma, round(t.mean_tau, 6) as mean_tau, round(t.sd_tau, 6) as sd_tau, m.ranking as modal_rank, round(m.share, 6) as modal_prop from tau t join modal m on m.rn = 1 and m.eps = t.eps and m.lam = t.lam and m.gamma = t.gamma"),
-}
 
+_STD_KIN = oracle.standardised() | oracle.pairs()
 
-def _generated(q: Dialect) -> Steps:
-    return rel.allele_frequency() | rel.ultra_rare(MAF_LIMIT) | generators.safe(q, SCORE_SAMPLES) | generators.copycat(q, SCORE_SAMPLES) | scoring.profile(q)
 
+def _kin(spark: SparkSession, sf_dir: str) -> Job:
+    return Job(spark, sf_dir).with_kin()
 
-_ALL_STD = "select g.cohort, g.sample_idx, g.variant_idx, (coalesce(g.dosage, 2 * a.p) - 2 * a.p) / (sqrt(2 * a.p * (1 - a.p)) + 1e-6) as x from cohorts g join af a on a.variant_idx = g.variant_idx"
 
+def _kin_whole(spark: SparkSession, sf_dir: str) -> Job:
+    return Job(spark, sf_dir).with_kin(None)
 
-def _scores_sql(q: Dialect) -> Steps:
-    return geno(q) | _generated(q) | {
-        "std": _ALL_STD,
-        "kin": "select a.cohort, a.sample_idx as i, b.sample_idx as j, round(sum(a.x * b.x) / max(m.n), 9) as k from std a join std b on a.cohort = b.cohort and a.variant_idx = b.variant_idx and a.sample_idx <= b.sample_idx cross join (select count(distinct variant_idx) as n from std) m where a.cohort <> 'TR' group by 1, 2, 3",
-        "near": "select cohort, i as sample_idx, round(min(dd), 9) as dd from (select b.cohort, a.sample_idx as i, b.sample_idx as j, sqrt(sum((a.x - b.x) * (a.x - b.x))) as dd from std a join std b on a.variant_idx = b.variant_idx where a.cohort = 'HO' and b.cohort <> 'TR' and a.sample_idx <> b.sample_idx group by 1, 2, 3) t group by cohort, i",
-    } | rel.train_maf(ALPHA) | scoring.components(q)
 
+def _kin_drawn(spark: SparkSession, sf_dir: str) -> Job:
+    return _kin(spark, sf_dir).with_draws()
 
-def scores_frame(spark: SparkSession, sf_dir: str) -> Job:
-    """A job with ``scores`` bound: components of three candidates and the anchors, by the kernels."""
-    job = Job(spark, sf_dir)
-    job.run(_generated(SPARK), "cohorts").run(rel.allele_frequency(), "af")
-    job.bind("std", job.sql({}, _ALL_STD).where("cohort <> 'TR'"))
-    std = job.frames["std"]
-    job.bind("kin", kernels.kinship(std)).bind("near", kernels.nearest(std))
-    job.run(rel.train_maf(ALPHA) | scoring.components(SPARK), "scores")
-    return job.bind("scores", kept(job.frames["scores"]))
+
+def _burdens(spark: SparkSession, sf_dir: str) -> Job:
+    return Job(spark, sf_dir).with_l1()
+
+
+def _event_burdens(spark: SparkSession, sf_dir: str) -> Job:
+    return Job(spark, sf_dir, events_geno).with_l1(0.02)
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> Job:
+    return Job(spark, sf_dir).with_dist(polymorphic=True)
 
 
-# -- registration -------------------------------------------------------------------------------
+_HAP = rel.haplotypes(SPARK) | {"pairs_b": rel.resampled_kin()["pairs_b"]} | rel.haplotype_risk(DRAWS)
+_IKE = rel.tails(THETAS) | rel.resampled_kin() | rel.kinship_excess(THETAS, DRAWS)
+_REPLAY = rel.histogram(SPARK) | rel.resampled_kin() | rel.replay(DRAWS)
+_MIA_CHECK = oracle.frequencies(ALPHA) | oracle.burden(MAF_LIMIT) | oracle.membership()
+_TLI_CHECK = _MIA_CHECK | oracle.unique_carriers(MAF_LIMIT)
+_DIST_CHECK = oracle.standardised() | oracle.distances(True)
+_KRI = _IKE | _REPLAY | _HAP | scoring.spectral_risk()
+_KRI_CHECK = _STD_KIN | oracle.draws(DRAWS) | oracle.kinship_excess(THETAS) | oracle.replay() | oracle.haplotype_risk() | oracle.spectral()
 
 
-def _plain(source, name: str, spec):
-    steps, select = spec
+def _rounded(*columns: str, plain: tuple[str, ...] = (), source: str) -> str:
+    return "select " + ", ".join([*plain, *(f"round({c}, 6) as {c}" for c in columns)]) + f" from {source}"
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Job(spark, sf_dir, source).sql(steps(SPARK), select)
 
-    return query, lambda: chain(source(DUCKDB) | steps(DUCKDB), select)
+def _describe(q: Dialect, x: str, source: str) -> str:
+    ps = ", ".join(f"round({q.percentile(x, p)}, 6) as {n}" for p, n in ((0.025, "p2_5"), (0.5, "p50"), (0.975, "p97_5")))
+    return f"select count(*) as n, round(avg({x}), 6) as mean, round(stddev_samp({x}), 6) as sd, round(min({x}), 6) as low, {ps}, round(max({x}), 6) as high from {source}"
 
 
-def _on_kin(name: str, spec):
-    steps, select = spec
+_PER_SAMPLE = "select sample, round(ratio, 6) as ratio, round(margin, 6) as margin, round(s_ratio, 6) as s_ratio, ap_flag, rank_s_ratio, rank_margin from per_sample"
+_PLI = _rounded("rho", "r_p", "a", "r_a", "pli", source="pli")
+_TLI = "select round(r_mia, 6) as r_mia, round(r_uniq, 6) as r_uniq, round(greatest(r_mia, r_uniq), 6) as tli from mia m cross join uniq u"
+_EVT_TLI = "select round(auc, 6) as auc, n_used, round(u, 6) as u, round(u0, 6) as u0, round(greatest(r_mia, r_uniq), 6) as tli from mia m cross join uniq u"
+_KRI_ROW = "select round(r_replay, 6) as r_replay, round(r_ike, 6) as r_ike, round(r_hap, 6) as r_hap, round(r_spec, 6) as r_spec, round(greatest(r_replay, r_ike, r_hap, r_spec), 6) as kri from replay cross join (select max(r) as r_ike from ike) i cross join hap_risk cross join {}"
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Job(spark, sf_dir).with_kin().sql(steps(SPARK), select)
+KERNEL: dict[str, Spec] = {
+    "rare_burden": _on(lambda spark, sf_dir: Job(spark, sf_dir), rel.train_maf(ALPHA) | rel.rare_burden(SPARK, MAF_LIMIT), "select cohort, sample_idx, feature, value from burden", oracle.frequencies(ALPHA) | oracle.burden(MAF_LIMIT)),
+    "mia_nn_l1": _on(_burdens, {}, "select cohort, sample_idx, dist from l1", _MIA_CHECK),
+    "mia_auc": _on(_burdens, rel.membership(), "select round(auc, 6) as auc, round(r_mia, 6) as r_mia from mia", _MIA_CHECK),
+    "uniq_collision": _on(lambda spark, sf_dir: Job(spark, sf_dir), rel.train_maf(ALPHA) | rel.rare(MAF_LIMIT) | rel.rare_carriers(MAF_LIMIT), _rounded("u", "u0", "r_uniq", plain=("n_used",), source="uniq"), _TLI_CHECK),
+    "tli": _on(_burdens, rel.rare(MAF_LIMIT) | rel.membership() | rel.rare_carriers(MAF_LIMIT), _TLI, _TLI_CHECK),
+    "evt_tli": _on(_event_burdens, rel.rare(0.02) | rel.membership() | rel.rare_carriers(0.02), _EVT_TLI, oracle.frequencies(ALPHA) | oracle.burden(0.02) | oracle.membership() | oracle.unique_carriers(0.02), source=events_geno),
+    "hap_risk": _on(lambda spark, sf_dir: Job(spark, sf_dir).with_draws(), _HAP, _rounded("obs", "base", "cmax", "r_hap", source="hap_risk"), rel.resamples(DUCKDB, DRAWS) | oracle.haplotype_risk()),
+    "grm_pairs": _on(_kin_whole, {}, "select cohort, i, j, round(k, 6) as k from kin", _STD_KIN),
+    "grm_trace": _on(_kin_whole, {}, "select cohort, count(*) as pairs, round(sum(case when i = j then k else 0 end), 5) as trace from kin group by cohort", _STD_KIN),
+    "kin_tail": _on(_kin, rel.tails(THETAS), "select cohort, theta, round(frac, 6) as frac from tail", _STD_KIN | oracle.tails(THETAS)),
+    "kin_hist": _on(_kin, rel.histogram(SPARK), "select cohort, t, n from hist where n > 0", _STD_KIN | oracle.replay()),
+    "replay_js": _on(_kin, rel.histogram(SPARK) | rel.replay(0), "select round(obs, 6) as m from replay", _STD_KIN | oracle.draws(1) | oracle.replay()),
+    "boot_kin": _on(_kin_drawn, rel.resampled_kin(), f"select b, round(sum(w), 3) as pairs, round(sum(k * w), 3) as mass from kin_b where k >= {min(THETAS)} group by b", _STD_KIN | oracle.draws(DRAWS)),
+    "ike_risk": _on(_kin_drawn, _IKE, _rounded("frac", "f0", "r", plain=("theta",), source="ike"), _STD_KIN | oracle.draws(DRAWS) | oracle.kinship_excess(THETAS)),
+    "replay_risk": _on(_kin_drawn, _REPLAY, _rounded("obs", "base", "sd", "r_replay", plain=("n_real_close", "n_syn_close"), source="replay"), _STD_KIN | oracle.draws(DRAWS) | oracle.replay()),
+    "value_boot": _on(_kin, rel.tails(THETAS) | rel.histogram(SPARK) | rel.value_draws(SPARK, DRAWS, THETAS), "select kind, theta, round(base, 6) as base from value_null", _STD_KIN | oracle.value_null(DRAWS, THETAS)),
+    "kri_no_draws": _on(_kin, rel.tails(THETAS) | rel.histogram(SPARK) | rel.kinship_excess(THETAS, 0) | rel.replay(0) | rel.haplotypes(SPARK) | rel.haplotype_risk(0), "select round(r_replay, 6) as r_replay, r_ike, r_hap from replay cross join (select max(r) as r_ike from ike) i cross join hap_risk", _STD_KIN | oracle.draws(1) | oracle.replay(), "select round(obs, 6) as r_replay, 1::double as r_ike, 1::double as r_hap from replay"),
+    "spectral": _on(lambda spark, sf_dir: Job(spark, sf_dir).with_std().with_eigen(), scoring.spectral_risk(), _rounded("s", "s0", "r_spec", source="spec"), _STD_KIN | oracle.spectral(), _rounded("s", "s0", "r_spec", source="spectral_risk")),
+    "kri": _on(lambda spark, sf_dir: _kin_drawn(spark, sf_dir).with_eigen(), _KRI, _KRI_ROW.format("spec"), _KRI_CHECK, _KRI_ROW.format("spectral_risk")),
+    "nn_dist": _on(_distances, {}, "select sample_idx, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real from dist", _DIST_CHECK),
+    "pli_metrics": _on(_distances, rel.proximity(SPARK), _PLI, _DIST_CHECK | oracle.proximity()),
+    "pli_boot": _on(lambda spark, sf_dir: _distances(spark, sf_dir).with_draws(), rel.proximity_draws(SPARK), _rounded("rho", "a", "pli", plain=("b",), source="pli_b"), _DIST_CHECK | rel.resamples(DUCKDB, DRAWS) | rel.proximity_draws(DUCKDB)),
+    "per_sample_pli": _on(_distances, diagnostics.per_sample(SPARK), _PER_SAMPLE, _DIST_CHECK | diagnostics.per_sample(DUCKDB)),
+    "pli_plot_rows": _on(_distances, diagnostics.per_sample(SPARK), "select sample, round(margin, 6) as margin, rank_s_ratio from (" + diagnostics.plot_rows() + ") t", _DIST_CHECK | diagnostics.per_sample(DUCKDB)),
+    "pli_scatter_rows": _on(_distances, diagnostics.per_sample(SPARK) | diagnostics.scatter(), "select sample, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real, below, labelled, round(frac, 6) as frac from scatter", _DIST_CHECK | diagnostics.per_sample(DUCKDB) | diagnostics.scatter()),
+    "pli_diag_driver": _on(_distances, rel.proximity(SPARK) | diagnostics.driver(), "select round(pli, 6) as pli, driver from pli_driver", _DIST_CHECK | oracle.proximity() | diagnostics.driver()),
+    "pli_describe": _on(_distances, {}, _describe(SPARK, "d_syn", "dist"), _DIST_CHECK, _describe(DUCKDB, "d_syn", "dist")),
+}
 
-    return query, lambda: chain(_kin_sql(DUCKDB) | steps(DUCKDB), select)
 
+# -- scores: candidates and two anchors ------------------------------------------------------------
 
-def _on_dist(name: str, spec):
-    steps, select = spec
+SCORE_SAMPLES, BOOT, GRID_BOOT = 60, 1000, 600
+SYNTHETIC = ("G0", "G1", "G2", "LEAKY", "SAFE")
+_DRAWN = lambda q: scoring.fit(q) | scoring.scored() | scoring.jittered(q, BOOT) | scoring.draws_fixed()
+_KEYS = ("eps", "lam", "gamma")
+_GRID = lambda q: scoring.jittered(q, GRID_BOOT) | scoring.search(q) | scoring.rankings(q, keys=_KEYS) | scoring.tau_null(_KEYS)
+_REFIT = lambda q: scoring.jittered(q, BOOT) | scoring.search(q, (0.02,), (0.80,), (1e-3,)) | scoring.draw_stats(q)
+_W_STATS = ", ".join(f"round({w}_{f}, 6) as {w}_{f}" for w in scoring.W for f in ("mean", "sd"))
+_ON = lambda a, b: f"{a}.eps = {b}.eps and {a}.lam = {b}.lam and {a}.gamma = {b}.gamma"
+
+SCORE_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
+    "score_components": (lambda q: {}, "select name, role, pli, kri, tli from scores"),
+    "weights_fit": (lambda q: scoring.fit(q), "select round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(loss, 9) as loss from weights"),
+    "targets_from_anchors": (lambda q: scoring.targets(), "select eps, lam from targets"),
+    "score_raw": (lambda q: scoring.fit(q) | scoring.scored(), "select name, role, round(r_raw, 6) as r_raw from scored"),
+    "score_calibrated": (lambda q: scoring.fit(q) | scoring.scored(), "select name, round(r_raw, 6) as r_raw, round(score, 4) as score from scored"),
+    "summary_rows": (lambda q: scoring.fit(q) | scoring.scored(), "select name, round(score, 4) as score, row_number() over (order by round(score, 6) desc, ord) as place from scored where role = 'candidate'"),
+    "boot_scores": (lambda q: _DRAWN(q) | scoring.draw_stats(q), "select name, round(mean_r, 6) as mean_r, round(sd_r, 6) as sd_r, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g, round(lo_g, 4) as lo_g, round(hi_g, 4) as hi_g from stats"),
+    "boot_refit": (_REFIT, "select name, round(mean_r, 6) as mean_r, round(sd_r, 6) as sd_r, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g from stats"),
+    "boot_weights": (_REFIT, f"select n_boot, {_W_STATS} from weight_stats"),
+    "boot_bars": (lambda q: _DRAWN(q) | scoring.draw_stats(q), "select name, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g, row_number() over (order by round(mean_g, 6), name) as place from stats"),
+    "pairwise_p": (lambda q: _DRAWN(q) | scoring.draw_stats(q), "select pair, round(mean_diff, 4) as mean_diff, round(lo, 4) as lo, round(hi, 4) as hi, round(p, 6) as p from pairs"),
+    "kendall": (lambda q: _DRAWN(q) | scoring.rankings(q) | scoring.tau_null(), "select r.ranking as baseline, round(mean_tau, 6) as mean_tau, round(sd_tau, 6) as sd_tau, round(lo, 6) as lo, round(hi, 6) as hi, round(null_mean, 6) as null_mean, round(null_sd, 6) as null_sd, round(p, 6) as p from tau cross join tau_p cross join (select ranking from rank_text where b = 0) r"),
+    "grid_search": (_GRID, f"select t.eps, t.lam, t.gamma, round(t.mean_tau, 6) as mean_tau, round(t.sd_tau, 6) as sd_tau, round(t.lo, 6) as tau_ci_lo, round(t.hi, 6) as tau_ci_hi, round(p.p, 6) as p_tau, m.ranking as modal_rank, round(m.share, 6) as modal_prop, w.n_boot, {_W_STATS} from tau t join tau_p p on {_ON('p', 't')} join modal m on m.rn = 1 and {_ON('m', 't')} join weight_stats w on {_ON('w', 't')}"),
+}
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Job(spark, sf_dir).with_dist(polymorphic=True).sql(steps(SPARK), select or _describe(SPARK))
 
-    return query, lambda: chain(_dist_sql(DUCKDB, True) | steps(DUCKDB), select or _describe(DUCKDB))
+def _generated(q: Dialect) -> Steps:
+    return rel.allele_frequency() | rel.ultra_rare(MAF_LIMIT) | generators.safe(q, SCORE_SAMPLES) | generators.copycat(q, SCORE_SAMPLES) | scoring.profile(q)
 
 
-def _on_scores(name: str, spec):
-    steps, select = spec
+def components(job: Job, maf_limit: float = MAF_LIMIT, draws: int = DRAWS) -> Job:
+    """Binds ``scores``: all sub-risks of each synthetic cohort of the job's ``geno``, by the kernels."""
+    job.with_kin().with_draws(draws).with_eigen().with_l1(maf_limit)
+    near = kernels.nearest(kernels.points(job.frames["std"].where("cohort <> 'TR'")))
+    job.bind("near", near.select("cohort", "sample_idx", "dd"))
+    steps = _KRI | rel.rare(maf_limit) | rel.membership() | rel.rare_carriers(maf_limit) | scoring.proximity_of(SPARK) | scoring.components()
+    return job.bind("scores", kept(job.sql(steps, "select * from scores")))
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scores_frame(spark, sf_dir).sql(steps(SPARK), select)
 
-    return query, lambda: chain(_scores_sql(DUCKDB) | steps(DUCKDB), select)
+_SCORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def weights_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores_frame(spark, sf_dir).sql(scoring.fit(SPARK), scoring.fold_fit())
+def scores_frame(spark: SparkSession, sf_dir: str) -> Job:
+    """A job with ``scores`` bound: components of three candidates and the anchors.
 
+    They are worked out once for an application and folder: the queries on
+    scores share the written table, a row a cohort.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, str(SCORE_SAMPLES))
+    if key not in _SCORED:
+        job = Job(spark, sf_dir)
+        job.bind("geno", kept(job.sql(_generated(SPARK), "select * from cohorts")))
+        _SCORED[key] = components(job).frames["scores"]
+    return Job(spark, sf_dir).bind("scores", _SCORED[key])
 
-def pairwise_p_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _on_scores("", SCORE_TEXT["pairwise_p"])[0](spark, sf_dir).select("pair", p_format(F.col("p"), 100).alias("p_text"))
 
+def _scores_check() -> Steps:
+    return geno(DUCKDB) | _generated(DUCKDB) | oracle.components(SYNTHETIC, DRAWS, THETAS, ALPHA, MAF_LIMIT)
 
-def spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top eigenvalues, and the risk that the synthetic one stands out more."""
-    found = kernels.spectral(Job(spark, sf_dir).with_kin().frames["kin"])
-    s = F.max(F.when(F.col("cohort") == "SYN", F.col("ratio")))
-    s0 = F.max(F.when(F.col("cohort") == "HO", F.col("ratio")))
-    return found.agg(s.alias("s"), s0.alias("s0")).select("s", "s0", F.when(F.col("s") <= F.col("s0"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("s") - F.col("s0")) / (F.col("s") + 1e-12)))).alias("r_spec"))
 
+def _on_scores(steps: Callable[[Dialect], Steps], select: str) -> Spec:
+    return lambda spark, sf_dir: scores_frame(spark, sf_dir).sql(steps(SPARK), select), chain(_scores_check() | steps(DUCKDB), select)
 
-def kri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four sub-risks of the kinship index, and their maximum."""
-    job = Job(spark, sf_dir).with_kin()
-    steps = rel.tails(THETAS) | rel.histogram(SPARK) | rel.resamples(SPARK, DRAWS) | rel.resampled_kin() | rel.kinship_excess(THETAS) | rel.replay() | rel.haplotypes(SPARK) | rel.haplotype_risk()
-    three = job.sql(steps, "select r_replay, r_ike, r_hap from replay cross join (select max(r) as r_ike from ike) i cross join hap_risk")
-    return three.crossJoin(spectral(spark, sf_dir).select("r_spec")).withColumn("kri", F.greatest("r_replay", "r_ike", "r_hap", "r_spec"))
+
+def weights_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_frame(spark, sf_dir).sql(scoring.fit(SPARK), scoring.fold_fit())
+
+
+def pairwise_p_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_scores(*SCORE_TEXT["pairwise_p"])[0](spark, sf_dir).select("pair", p_format(F.col("p"), BOOT).alias("p_text"))
 
 
 def pli_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Job(spark, sf_dir).with_dist(polymorphic=True, components=10).sql(rel.proximity(SPARK), "select rho, r_p, a, r_a, pli from pli")
+    """The index over principal components, with what it was computed from."""
+    job = Job(spark, sf_dir).with_components(10).with_component_dist(10)
+    kept_snps = job.sql({}, "select count(*) as kept_snps from poly")
+    found = job.sql(rel.proximity(SPARK), "select rho, r_p, a, r_a, pli from pli")
+    return found.crossJoin(kept_snps).withColumns({"n_components": F.lit(10), "quantile": F.lit(0.01), "filtered_monomorphic": F.lit(True)})  # one row each
+
+
+STABILITY, SEEDS = (5, 10, 20), (123, 124, 125, 126, 127)
 
 
 def pli_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index by number of components and quantile: one fit a number of components, all quantiles from it."""
-    out = None
-    for k in (5, 10, 20):
-        job = Job(spark, sf_dir).with_dist(polymorphic=True, components=k)
+    """The index by number of components, quantile and seed: one fit of the most components, whose first ones serve the smaller numbers.
+
+    The fit is exact, so seeds, which a randomised one would need, change nothing.
+    """
+    out, job = None, Job(spark, sf_dir).with_components(max(STABILITY))
+    for k in STABILITY:
+        job.with_component_dist(k)
         for quantile in (0.005, 0.01, 0.02):
-            one = job.sql(rel.proximity(SPARK, quantile), f"select {k} as components, {quantile}D as quantile, rho, a, pli from pli")
+            one = job.sql(rel.proximity(SPARK, quantile), f"select {k} as components, {quantile}D as quantile, rho, r_p, a, r_a, pli, kept_snps from pli cross join (select count(*) as kept_snps from poly) k")
             out = one if out is None else out.unionByName(one)
-    return out
+    return out.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
 
 
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genotypes written as VCF lines and read again, in one plan."""
-    rows = Job(spark, sf_dir).frames["geno"].withColumns({"ref": F.lit("A"), "alt": F.lit("C")})
-    read = vcf.vcf_lines(rows).select("variant_idx", F.split("value", "\t").alias("f")).where(F.size("f") >= 10)
-    calls = read.select("variant_idx", F.explode(F.slice("f", 10, 1 << 30)).alias("call")).select("variant_idx", vcf.dosage(F.col("call")).alias("dosage"))
-    return calls.groupBy("variant_idx").agg(F.count("*").alias("n"), F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
+    """Genotypes written as a VCF file and read again."""
+    read = cohorts.through_vcf(Job(spark, sf_dir).frames["geno"], "all")
+    return read.groupBy("variant_idx").agg(F.count("*").alias("n"), F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
+
+
+def vcf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From VCF files to the three indices: real, synthetic and anchor cohorts written, read, aligned on the variants, split and scored."""
+    job = Job(spark, sf_dir)
+    made = kept(job.sql(_generated(SPARK), "select * from cohorts"))
+    real = cohorts.through_vcf(made.where("cohort in ('TR', 'HO')"), "real")
+    others = {name: cohorts.through_vcf(made.where(F.col("cohort") == name), name) for name in SYNTHETIC}
+    job.bind("geno", kept(cohorts.aligned(real, others)))
+    job.bind("geno", kept(job.sql(cohorts.split(SPARK, 0.8, "REAL") | cohorts.divided(), "select * from divided")))
+    return components(job).sql({}, "select name, role, pli, kri, tli from scores")
 
 
-_VCF_SQL = "select variant_idx, count(*) as n, count(dosage) as calls, sum(dosage) as alleles from geno group by variant_idx"
+_VCF_CHECK = geno(DUCKDB) | _generated(DUCKDB) | {
+    "renumbered": "select case when cohort in ('TR', 'HO') then 'REAL' else cohort end as cohort, dense_rank() over (partition by case when cohort in ('TR', 'HO') then 'REAL' else cohort end order by sample_idx) - 1 as sample_idx, variant_idx, chrom, pos, dosage from cohorts",
+    "halves": f"select sample_idx, case when row_number() over (order by {DUCKDB.draw("'split:' || cast(sample_idx as varchar)")}, sample_idx) <= floor(count(*) over () * 0.8::double) then 'TR' else 'HO' end as cohort from (select distinct sample_idx from renumbered where cohort = 'REAL') p",
+    "cohorts_2": "select coalesce(h.cohort, r.cohort) as cohort, r.sample_idx, r.variant_idx, r.chrom, r.pos, r.dosage from renumbered r left join halves h on r.cohort = 'REAL' and h.sample_idx = r.sample_idx",
+}
+_VCF_CHECK |= {n: re.sub(r"\bcohorts\b", "cohorts_2", s) for n, s in oracle.components(SYNTHETIC, DRAWS, THETAS, ALPHA, MAF_LIMIT).items()}
 
 
 def _build() -> tuple[dict, dict]:
-    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    sql: dict[str, str] = {}
-    groups = ((TEXT, lambda n, s: _plain(geno, n, s)), (EVENT_TEXT, lambda n, s: _plain(events_geno, n, s)), (KIN_TEXT, _on_kin), (DIST_TEXT, _on_dist), (SCORE_TEXT, _on_scores))
-    for texts, make in groups:
-        for name, spec in texts.items():
-            found[name], told = make(name, spec)
-            sql[name] = told()
-    found |= {f.__name__: f for f in (spectral, kri, pli_pca, pli_stability, vcf_round_trip, weights_fold, pairwise_p_text)}
-    sql["vcf_round_trip"] = chain(geno(DUCKDB), _VCF_SQL)
+    specs: dict[str, Spec] = {n: _same(geno, *s) for n, s in TEXT.items()} | {n: _same(events_geno, *s) for n, s in EVENT_TEXT.items()} | KERNEL | {n: _on_scores(*s) for n, s in SCORE_TEXT.items()}
+    found = {n: query for n, (query, _) in specs.items()}
+    sql = {n: text for n, (_, text) in specs.items()}
+    found |= {f.__name__: f for f in (pli_pca, pli_stability, vcf_round_trip, vcf_scores, weights_fold, pairwise_p_text)}
+    sql["vcf_round_trip"] = chain(geno(DUCKDB), "select variant_idx, count(*) as n, count(dosage) as calls, sum(dosage) as alleles from geno group by variant_idx")
+    sql["vcf_scores"] = chain(_VCF_CHECK, "select name, role, pli, kri, tli from scores")
     return found, sql
 
 
@@ -296,7 +352,6 @@ QUERIES, ORACLE_SQL = _build()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each sub-risk of the kinship index that SQL expresses, over ``sf_dir``."""
-    job = Job(spark, sf_dir).with_kin()
-    steps = rel.tails(THETAS) | rel.histogram(SPARK) | rel.resamples(SPARK, DRAWS) | rel.resampled_kin() | rel.kinship_excess(THETAS) | rel.replay() | rel.haplotypes(SPARK) | rel.haplotype_risk()
-    return job.sql(steps, "select 'replay' as risk, obs, base, r_replay as r from replay union all select 'excess ' || cast(theta as string), frac, f0, r from ike union all select 'haplotypes', obs, base, r_hap from hap_risk")
+    """One row for each sub-risk of the kinship index that draws real people, over ``sf_dir``."""
+    steps = _IKE | _REPLAY | _HAP
+    return _kin_drawn(spark, sf_dir).sql(steps, "select 'replay' as risk, obs, base, r_replay as r from replay union all select 'excess ' || cast(theta as string), frac, f0, r from ike union all select 'haplotypes', obs, base, r_hap from hap_risk")

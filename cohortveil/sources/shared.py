@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one below the warehouse.
+
+    A warehouse that is a folder of this machine only serves a local session: on
+    a cluster the setting is required.
+    """
+    context = spark.sparkContext
+    told = context.getConf().get("spark.checkpoint.dir")
+    if told:
+        return told
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not context.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{warehouse}/checkpoints"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names (below the warehouse if it is unset) and cut off from its lineage."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
+    """``df`` written as Parquet below the shared folder and read again, cut off from its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -60,11 +60,51 @@ def test_nearest_neighbours_with_exact_copies(spark):
             assert got[i] == pytest.approx((np.linalg.norm(syn - ho[i], axis=1).min(), np.linalg.norm(others - ho[i], axis=1).min()), abs=1e-8)
 
 
-def test_top_eigenvalue(spark):
-    k = np.array([[2.0, 1.0, 0.0], [1.0, 3.0, 1.0], [0.0, 1.0, 1.0]])
-    kin = spark.createDataFrame([("HO", i, j, float(k[i, j])) for i in range(3) for j in range(i, 3)], "cohort string, i long, j long, k double")
-    r = kernels.spectral(kin, 40).first()
-    assert r.trace == 6 and r.top == pytest.approx(np.linalg.eigvalsh(k)[-1], abs=1e-6)
+@pytest.mark.parametrize("n, m", [(3, 7), (40, 25), (30, 90)])
+def test_top_eigenvalues_and_components(spark, n, m):
+    """Against a dense solver: two cohorts at once, also with fewer samples than a block has vectors."""
+    rng = np.random.default_rng(n)
+    x = {"HO": rng.normal(size=(n, m)), "SYN": rng.normal(size=(n + 2, m)) @ np.diag(np.linspace(1, 1.02, m))}
+    cells = [(c, i, j, float(v)) for c, rows in x.items() for (i, j), v in np.ndenumerate(rows)]
+    std = spark.createDataFrame(cells, "cohort string, sample_idx long, variant_idx int, x double")
+    for r in kernels.spectral(std).collect():
+        k = x[r.cohort] @ x[r.cohort].T / m
+        assert r.trace == pytest.approx(np.trace(k)) and r.top == pytest.approx(np.linalg.eigvalsh(k)[-1], rel=1e-6)
+    train = std.withColumn("cohort", F.expr("case when cohort = 'HO' then 'TR' else cohort end"))
+    most = min(4, n - 1)
+    got = np.zeros((n + 2, most))
+    for r in kernels.principal_components(train, most).where("cohort = 'SYN'").collect():
+        got[r.sample_idx, r.variant_idx] = r.x
+    _, _, axes = np.linalg.svd(x["HO"] - x["HO"].mean(0), full_matrices=False)
+    want = x["SYN"] @ axes[:most].T
+    assert np.allclose(np.abs(got), np.abs(want), atol=2e-3)
+
+
+def test_pairs_below_the_least_are_left_out(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20, 30))
+    std = spark.createDataFrame([("SYN", i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "cohort string, sample_idx long, variant_idx int, x double")
+    whole = {(r.i, r.j): r.k for r in kernels.kinship(std, 6, 7).collect()}
+    some = {(r.i, r.j): r.k for r in kernels.kinship(std, 6, 7, 0.1).collect()}
+    assert some == {p: k for p, k in whole.items() if k >= 0.1 or p[0] == p[1]} and len(whole) == 210
+
+
+def test_equal_numbers_in_two_cohorts_are_two_samples(spark):
+    """Holdout 0 and synthetic 0 are the same genome: an exact leak, not a sample and itself."""
+    rows = [("HO", 0, 0.0, 0.0), ("HO", 1, 5.0, 5.0), ("SYN", 0, 0.0, 0.0), ("SYN", 1, 9.0, 9.0)]
+    std = spark.createDataFrame([(c, i, j, v) for c, i, *x in rows for j, v in enumerate(x)], "cohort string, sample_idx long, variant_idx int, x double")
+    for tile in (512, 1):
+        got = {r.sample_idx: (r.d_syn, r.d_real) for r in kernels.distances(std, tile).collect()}
+        assert got[0] == (0, pytest.approx(50**0.5)) and got[1] == (pytest.approx(32**0.5), pytest.approx(50**0.5))
+
+
+def test_copies_of_samples_with_equal_numbers(spark):
+    g = spark.createDataFrame([(c, i, 0, "1", 0, v) for c, i, v in (("TR", 0, 0.0), ("TR", 1, 1.0), ("HO", 0, 2.0), ("HO", 1, 2.0))], "cohort string, sample_idx long, variant_idx int, chrom string, pos int, dosage double")
+    none = spark.createDataFrame([], "variant_idx int")
+    from cohortveil.jobs import generators
+
+    got = run(spark, generators.copycat(SPARK, 40, 1.0, 0.0, 0.0, 0.0), "select sample_idx, count(*) as n from leaky_geno group by sample_idx", geno=g, ultra=none)
+    assert len(got) == 40 and all(r["n"] == 1 for r in got)
 
 
 def test_proximity(spark):
@@ -108,22 +148,39 @@ def test_haplotype_windows(spark):
 
 def test_membership_auc(spark):
     burden = spark.createDataFrame([("TR", i, "global", float(v)) for i, v in enumerate((0, 1, 1, 3))] + [("HO", 10 + i, "global", float(v)) for i, v in enumerate((1, 2, 3))] + [("SYN", 20, "global", 0.0)], "cohort string, sample_idx long, feature string, value double")
-    (r,) = run(spark, rel.membership(), "select * from mia", burden=burden)
+    (r,) = run(spark, rel.membership(), "select * from mia", l1=kernels.nearest_burden(burden))
     assert r["auc"] == pytest.approx(0.708333, abs=1e-6)
 
 
 def test_membership_tells_wide_vectors_apart(spark):
-    """23 features: vectors that differ only in the first, and values of 1,009 that a number would carry over."""
+    """23 features: vectors that differ only in the first, values beyond 1,009, and two synthetic cohorts."""
     features = [f"{k:02d}" for k in range(23)]
-    vectors = {("TR", 0): [0, 0] + [900] * 21, ("TR", 1): [3, 0] + [900] * 21, ("HO", 2): [1009, 0] + [7] * 21, ("HO", 3): [0, 1] + [7] * 21, ("SYN", 4): [0, 0] + [900] * 21, ("SYN", 5): [0, 1] + [7] * 21}
+    vectors = {("TR", 0): [0, 0] + [900] * 21, ("TR", 1): [3, 0] + [900] * 21, ("HO", 2): [1009, 0] + [7] * 21, ("HO", 0): [0, 1] + [7] * 21, ("SYN", 0): [0, 0] + [900] * 21, ("SYN", 5): [0, 1] + [7] * 21, ("OTHER", 9): [1, 1] + [7] * 21}
     burden = spark.createDataFrame([(c, i, f, float(x)) for (c, i), v in vectors.items() for f, x in zip(features, v, strict=True)], "cohort string, sample_idx long, feature string, value double")
-    got = {r["sample_idx"]: r["dist"] for r in run(spark, rel.membership(), "select * from l1", burden=burden)}
-    assert got == {0: 0, 1: 3, 2: 1010, 3: 0}
+    for tile in (512, 2):
+        got = {(r.name, r.cohort, r.sample_idx): r.dist for r in kernels.nearest_burden(burden, tile).collect()}
+        assert {k[1:]: v for k, v in got.items() if k[0] == "SYN"} == {("TR", 0): 0, ("TR", 1): 3, ("HO", 2): 1010, ("HO", 0): 0}
+        assert {k[1:]: v for k, v in got.items() if k[0] == "OTHER"} == {("TR", 0): 2 + 893 * 21, ("TR", 1): 3 + 893 * 21, ("HO", 2): 1009, ("HO", 0): 1}
+
+
+def test_draws_with_many_copies(spark):
+    """A draw may hold one person more than 64 times."""
+    mult = spark.createDataFrame([(0, 1, 200), (0, 2, 1)], "b int, sample_idx long, c long")
+    dist = spark.createDataFrame([(1, 1.0, 2.0), (2, 9.0, 1.0)], "sample_idx long, d_syn double, d_real double")
+    (r,) = run(spark, rel.proximity_draws(SPARK), "select count(*) as n, sum(d_syn) as s from dist_b", mult=mult, dist=dist)
+    assert (r["n"], r["s"]) == (201, 209)
+
+
+def test_without_draws(spark):
+    kin = spark.createDataFrame([("HO", 0, 1, 0.2), ("SYN", 0, 1, 0.2)] + [(c, i, i, 1.0) for c in ("HO", "SYN") for i in (0, 1)], "cohort string, i long, j long, k double")
+    steps = rel.tails((0.1,)) | rel.histogram(SPARK) | rel.kinship_excess((0.1,), 0) | rel.replay(0)
+    (r,) = run(spark, steps, "select i.r, p.r_replay, p.obs, p.n_real_close, p.n_syn_close from ike i join replay p on p.name = i.name", kin=kin)
+    assert (r["r"], r["obs"], r["n_real_close"], r["n_syn_close"]) == (1, pytest.approx(1), 1, 1) and r["r_replay"] == r["obs"]
 
 
 def test_no_rare_variant(spark):
     g = geno(spark, {"TR": [[1, 1], [1, 2]], "SYN": [[1, 0], [0, 1]]})
-    (r,) = run(spark, rel.train_maf(0) | rel.rare_burden(SPARK, 1e-3) | rel.rare_carriers(1e-3), "select * from uniq", geno=g)
+    (r,) = run(spark, rel.train_maf(0) | rel.rare(1e-3) | rel.rare_carriers(1e-3), "select * from uniq", geno=g)
     assert (r["n_used"], r["u"], r["u0"], r["r_uniq"]) == (0, 0, 0, 0)
 
 
@@ -146,8 +203,8 @@ def test_clamp_and_calibration(spark):
 
 
 def test_p_text(spark):
-    got = spark.createDataFrame([(0.0,), (0.0123,), (1.0,), (0.00999,)], "p double").select(p_format(F.col("p"), 1000).alias("t"), p_format(F.col("p")).alias("u")).collect()
-    assert [r.t for r in got] == ["<1x10^-3", "1.2x10^-2", "1.0x10^0", "1.0x10^-2"] and got[0].u == "<1x10^-∞"
+    got = spark.createDataFrame([(0.0,), (0.0123,), (1.0,), (0.00999,), (0.03446,), (0.996,)], "p double").select(p_format(F.col("p"), 1000).alias("t"), p_format(F.col("p")).alias("u")).collect()
+    assert [r.t for r in got] == ["<1x10^-3", "1.2x10^-2", "1.0x10^0", "10.0x10^-3", "3.5x10^-2", "10.0x10^-1"] and got[0].u == "<1x10^-∞"
 
 
 # Component scores of seven cohorts and what pooling makes of them.
@@ -179,11 +236,36 @@ def test_weights_and_scores(spark):
         assert got[name] == pytest.approx((raw, score), abs=1e-4)
 
 
+def test_the_first_anchor_of_a_role_counts(spark):
+    more = TABLE + [("safe2", "safe anchor", 0.9, 0.9, 0.9, 0, 0), ("leaky2", "leaky anchor", 0.1, 0.1, 0.1, 0, 0)]
+    one, two = (run(spark, scoring.fit(SPARK) | scoring.scored(), "select name, r_raw, score from scored where role = 'candidate' order by name", scores=scores(spark, t)) for t in (TABLE, more))
+    assert one == two
+    one, two = (run(spark, scoring.jittered(SPARK, 3), "select * from jit order by b", scores=scores(spark, t)) for t in (TABLE, more))
+    assert one == two
+
+
+def test_refitted_weights_follow_the_search(spark):
+    """Every configuration's weights are those that its own fit finds, with the anchors as they are."""
+    table = scores(spark)
+    got = {(r["eps"], r["lam"], r["gamma"]): (r["w1"], r["w2"], r["w3"]) for r in run(spark, scoring.jittered(SPARK, 1, 0.0) | scoring.search(SPARK), "select * from best", scores=table)}
+    assert len(got) == 60
+    for eps, lam, gamma in list(got)[::13]:
+        (w,) = run(spark, scoring.fit(SPARK, eps, lam, gamma), "select w1, w2, w3 from weights", scores=table)
+        assert got[eps, lam, gamma] == pytest.approx((w["w1"], w["w2"], w["w3"]))
+
+
+def test_a_given_table_is_scored(spark):
+    table = spark.createDataFrame([(n, r, p, k, t) for n, r, p, k, t, *_ in TABLE], "name string, role string, pli double, kri double, tli double")
+    got = {r["name"]: r["score"] for r in run(spark, scoring.given() | scoring.fit(SPARK) | scoring.scored(), "select * from scored", given=table)}
+    assert got["safe"] == 0 and got["leaky"] == 100 and 0 < got["H1"] < 100
+
+
 def test_rank_agreement(spark):
     draw = spark.createDataFrame([(b, n, o, float(s)) for b, order in enumerate(("ABCD", "ABDC", "DCBA")) for o, (n, s) in enumerate(sorted((c, 10 - i) for i, c in enumerate(order)))], "b int, name string, ord int, score double")
-    got = {r["b"]: r["tau"] for r in run(spark, scoring.rankings(SPARK), "select * from tau_b", draw=draw)}
+    names = draw.select("name", "ord").distinct().withColumn("role", F.lit("candidate"))
+    got = {r["b"]: r["tau"] for r in run(spark, scoring.rankings(SPARK), "select * from tau_b", draw=draw, scores=names)}
     assert got[0] == 1 and got[1] == pytest.approx(2 / 3) and got[2] == -1
-    assert [r["ranking"] for r in run(spark, scoring.rankings(SPARK), "select ranking from rank_text order by b", draw=draw)] == ["A > B > C > D", "A > B > D > C", "D > C > B > A"]
+    assert [r["ranking"] for r in run(spark, scoring.rankings(SPARK), "select ranking from rank_text order by b", draw=draw, scores=names)] == ["A > B > C > D", "A > B > D > C", "D > C > B > A"]
 
 
 def test_synthetic_copy_of_the_holdout_is_the_worst_case(spark):

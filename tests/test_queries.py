@@ -17,7 +17,7 @@ def duck():
     return con
 
 
-SLOW = {n for n in queries.SCORE_TEXT if n not in ("score_calibrated", "grid_search")}
+SLOW = {n for n in queries.SCORE_TEXT if n not in ("score_components", "score_calibrated", "kendall", "boot_weights")} | {"vcf_scores"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - SLOW))

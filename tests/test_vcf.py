@@ -56,3 +56,21 @@ def test_stream_of_lines(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.pos, r.alt_alleles, r.calls) for r in spark.table("counts").collect()} == {(100, 4.0, 2), (90, 2.0, 1), (5, 5.0, 3)}
+
+
+def test_cohorts_are_aligned_on_the_real_panel(spark, tmp_path):
+    """Another order, a missing and a foreign variant, chr or not: cells follow the real file's variants."""
+    from cohortveil.jobs import cohorts
+
+    head = HEAD.replace("\ts3", "")
+    real = head + "chr2\t7\t.\tA\tC\t.\tPASS\t.\tGT\t0/1\t1/1\n" "1\t5\t.\tG\tT\t.\tPASS\t.\tGT\t0/0\t./.\n" "1\t6\t.\tG\tT\t.\tPASS\t.\tGT\t1/1\t0/1\n"
+    other = head + "1\t6\t.\tG\tT\t.\tPASS\t.\tGT\t0/1\t0/0\n" "1\t5\t.\tG\tA\t.\tPASS\t.\tGT\t1/1\t1/1\n" "chr2\t7\t.\tA\tC\t.\tPASS\t.\tGT\t1/1\t0/0\n"
+    frames = []
+    for name, text in (("real", real), ("other", other)):
+        (tmp_path / f"{name}.vcf").write_text(text)
+        frames.append(vcf.read_genotypes(vcf.read_lines(spark, str(tmp_path / f"{name}.vcf"))))
+    got = {(r.cohort, r.sample_idx, r.variant_idx): (r.chrom, r.dosage) for r in cohorts.aligned(frames[0], {"SYN": frames[1]}).collect()}
+    assert {k[1:]: v for k, v in got.items() if k[0] == "REAL"} == {(0, 0): ("2", 1), (1, 0): ("2", 2), (0, 1): ("1", 0), (1, 1): ("1", None), (0, 2): ("1", 2), (1, 2): ("1", 1)}
+    assert {k[1:]: v for k, v in got.items() if k[0] == "SYN"} == {(0, 0): ("2", 2), (1, 0): ("2", 0), (0, 1): ("1", None), (1, 1): ("1", None), (0, 2): ("1", 1), (1, 2): ("1", 0)}
+    with pytest.raises(ValueError):
+        cohorts.aligned(frames[0], {"SYN": frames[1].where("pos < 0")})
