@@ -149,13 +149,31 @@ def test_language_model(spark, head):
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in nothing)
 
 
-def test_all_training_words_teach_the_mixing_weights(spark, monkeypatch):
+def test_all_training_tokens_teach_the_mixing_weights(spark, monkeypatch):
     rows, learned, inner = lm_docs(random.Random(6)), [], lm_score._learned
     monkeypatch.setattr(lm_score, "_learned", lambda *args: learned.append(inner(*args)) or learned[-1])
     lm_score.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 10 == 0, learn_words=50)
     c = Counter(w for i, t, _ in rows if i % 10 for w in [*brute.words(brute.lower(t)), "\n"])
     assert len(c) > 500
-    assert learned[0].all.sum() == pytest.approx(sum(8 * min(n, lm_score.WHOLE_FROM) * (len(w.encode()) + (w != "\n")) for w, n in c.items()))
+    assert learned[0].all.sum() == pytest.approx(sum(8 * n * (len(w.encode()) + (w != "\n")) for w, n in c.items()), rel=1e-6)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = lm_docs(random.Random(8), 200) + [(2000 + i, None, None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = []
+    for parts, shuffles in ((1, "4"), (7, "23")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        found.append({r.doc_id: r.score for r in lm_score.score(docs.repartition(parts), F.col("doc_id") % 10 == 0, learn_words=300).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0].keys() == found[1].keys() and all(found[0][i] == pytest.approx(found[1][i], abs=1e-6) for i in found[0])
+
+
+def test_held_out_texts_teach_nothing(spark):
+    rows = lm_docs(random.Random(9), 200)
+    other = [(i, "quite other words" if i % 10 == 0 else t, lang) for i, t, lang in rows]
+    one, two = ({r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(r, "doc_id long, text string, lang string"), F.col("doc_id") % 10 == 0).collect()} for r in (rows, other))
+    assert all(one[i] == pytest.approx(two[i], abs=1e-9) for i in one if i % 10)
 
 
 def test_words_of_small_groups_count_fully(spark):
@@ -168,26 +186,77 @@ def test_words_of_small_groups_count_fully(spark):
         assert sum(r.score for r in own) > sum(r.base_score - 0.25 * r.n_tokens for r in own), g
 
 
-def test_adaptive_mixture_is_a_probability():
-    """Over all words that could come next, known and rare, the probabilities sum to one at most."""
+def small_model(words, group=-1):
+    """What the own contexts of each word predict, with empty tables."""
     import numpy as np
 
-    table = np.array([[0.5, 0.3, 0.2, -1.0], [0.1, 0.1, 0.8, -1.0]])
-    prior = np.array([np.concatenate((p[0] * np.array([0.6, 0.3, 0.1]), p[1:])) for p in lm_score.PRIOR])
-    ids = np.array([11, 22, 33, 44], dtype=np.uint64)
-    for past in ([], [0, 1, 0], [3, 3, 0, 1, 0, 1, 2]):
-        whole = lambda own: 10 ** lm_score.adaptive(ids[own], np.zeros(len(own), np.int64), table[:, own], prior, 1)[0]
-        p0 = whole(past) if past else 1.0
-        total = sum(whole([*past, k]) for k in range(4))
-        assert total <= p0 * (1 + 1e-9) and total > 0.5 * p0
+    layout = lm_score.Layout(10)
+    return lm_score.word_guesses(words, np.full(len(words), group), layout, np.zeros(layout.slots), np.zeros(layout.slots, np.uint8), lm_score.Mixer())
 
 
 def test_words_bits_are_a_code():
     """Without counts every bit costs one bit: four bytes for three letters and a space, one for the end."""
     import numpy as np
 
-    flat = lm_score.word_bits([b"abc", lm_score.END], np.zeros(lm_score._SLOTS), np.zeros(lm_score._SLOTS, np.uint8), lm_score.Mixer())
-    assert flat[0] == pytest.approx(32, rel=0.05) and flat[1] == pytest.approx(8, rel=0.05)
+    guess, _, data, lengths = small_model([b"abc", lm_score.END])
+    assert lengths.tolist() == [4, 1] and data.tobytes() == b"abc \n"
+    assert np.log1p(np.exp(-guess)).sum() / math.log(2) == pytest.approx(40, rel=0.05)
+
+
+def online_by_hand(texts, guess_of):
+    """The same mixing bit by bit, with dictionaries."""
+    import numpy as np
+
+    out = []
+    for text in texts:
+        edges = lm_score.runs(np.array([len(text)]))
+        weights, pace, past, total = lm_score.PAST_START.copy(), np.full(lm_score.PAST_START.shape, lm_score.PAST_PACE), {}, 0.0
+        for a, b in zip(edges[:-1], edges[1:]):
+            run, sums, many = text[a:b], np.zeros(weights.shape), np.zeros(len(weights))
+            met = {}
+            for word in run:
+                told = word + b" " if word != lm_score.END else word
+                for k, byte in enumerate(told):
+                    own, (last, times) = guess_of(word)[k], past.get(told[:k], (0, 0))
+                    met.setdefault(told[:k], []).append(byte)
+                    gate = min(int(math.log2(max(times, 1))), 2) * 3 + min(k, 2)
+                    for nth in range(8):
+                        if not times:
+                            total -= math.log1p(math.exp(-own[nth]))
+                            continue
+                        alike = byte >> (8 - nth) == last >> (8 - nth)
+                        same = byte >> (7 - nth) == last >> (7 - nth)
+                        seen = float(lm_score.PAST_GUESS[min(times, 255)]) * ((1 if same else -1) if alike else 0)
+                        mixed = min(12, max(-12, weights[gate, 0] * own[nth] + weights[gate, 1] * seen))
+                        total -= math.log1p(math.exp(-mixed))
+                        error = 1 / (1 + math.exp(mixed))
+                        sums[gate] += error * np.array([own[nth], seen])
+                        many[gate] += 1
+            slope = sums / np.maximum(many, 1)[:, None]
+            pace += slope**2
+            weights += lm_score.PAST_RATE * slope / np.sqrt(pace)
+            for node, found in met.items():
+                last, times = past.get(node, (0, 0))
+                past[node] = (found[-1], (0 if set(found) != {last} else times) + found.count(found[-1]))
+        out.append(total)
+    return out
+
+
+def test_online_mixing_by_hand():
+    """Against dictionaries and loops; and a text costs the same alone and beside others."""
+    import numpy as np
+
+    rng = random.Random(4)
+    words = [b"ab", b"abc", b"b", "é".encode(), b"abcd", lm_score.END]
+    guess, nodes, data, lengths = small_model(words)
+    guess = guess + np.random.default_rng(1).normal(size=guess.shape).astype(np.float32)
+    first = np.cumsum(lengths) - lengths
+    texts = [[rng.randrange(5) for _ in range(n)] + [5] for n in (0, 1, 7, 40, 150)]
+    run = lambda some: lm_score.online(np.concatenate([np.array(t) for t in some]), np.repeat(np.arange(len(some)), [len(t) for t in some]), len(some), first, lengths, guess, nodes, data)
+    together = run(texts)
+    assert together == pytest.approx([run([t])[0] for t in texts], abs=1e-9)
+    by_word = {w: guess[f : f + n].astype(float) for w, f, n in zip(words, first.tolist(), lengths.tolist(), strict=True)}
+    assert together == pytest.approx(online_by_hand([[words[i] for i in t] for t in texts], by_word.get), rel=1e-4)
 
 
 def toxic_docs(rng, n):
