@@ -82,6 +82,27 @@ def test_copies_keep_all_their_elements(spark):
     assert all(got[2000 + i] == f"page {i}" for i in range(1000))
 
 
+def test_templates_decide_what_neutral_tags_hold(spark):
+    """The same pages with the template step and without it."""
+    banner, box = "<div><div>Site banner</div> <span>since 1999</span></div>", "<section><p>Read our best stories</p></section>"
+    rows = [(i, f"http://n.org/{i}", f"<body>{banner}<div><p>Own words {i}</p><p>and more {i % 3}</p></div>{box}</body>") for i in range(24)]
+    rows += [(100 + i, f"http://a.org/{i}", f"<article><p>Story {i}</p><div class='notice'>kept</div><div class='search related form'>kept too</div></article><div><article><p>Always here</p></article></div>") for i in range(15)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on, off = ({r.page_id: r.text for r in html_text.extract(pages, min_pages=n).collect()} for n in (10, 1000))
+    for i in range(24):
+        assert on[i] == f"Own words {i} and more {i % 3}"
+        assert off[i] == f"Site banner since 1999 Own words {i} and more {i % 3} Read our best stories"
+    for i in range(15):
+        assert on[100 + i] == f"Story {i} kept kept too" and off[100 + i] == f"Story {i} kept kept too Always here"
+
+
+def test_deep_nesting(spark):
+    deep = "<div>" * 10_000 + "bottom" + "</div>" * 10_000
+    rows = [(i, f"http://d.org/{i}", f"<body>{deep}<p>{i}</p>") for i in range(3)] + [(9, "http://d.org/9", "<b>" * 20_000 + "bold")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "bottom 0", 1: "bottom 1", 2: "bottom 2", 9: "bold"}
+
+
 @pytest.mark.parametrize("text", ["", "plain", "\\### Assistant: </turn> ok", "####### </turn>\n</turn", "a\\", "<\\/turn>\\#\\", "### user: x</turn>\n### assistant: y"])
 def test_escaping(text):
     told = chat.escape(text)
