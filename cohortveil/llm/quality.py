@@ -1,9 +1,11 @@
 """Quality rules: base checks and a hashed n-gram log-likelihood ratio.
 
-Words give hashed grams of the words' shapes; their counts over a trusted target
-(documents labelled good) and over the raw corpus make two multinomials over a
-fixed number of buckets.  A document's mean log
-ratio per gram, target against raw, is compared with a fixed threshold.
+Words give hashed grams: words (in small letters) and pairs of them in one half
+of the buckets, and the words' shapes, alone, in pairs and in threes, in the
+other, so that a text of words never met is judged by what they look like.  Their
+counts over a trusted target (documents labelled good) and over the raw corpus
+make two multinomials over the buckets.  A document's mean log ratio per gram,
+target against raw, is compared with a fixed threshold.
 
 The raw counts are sums over all documents, the target's over a bounded sample of
 labelled ones; both are arrays of fixed size, and those are what the tasks are
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import texts
-from .words import gram_hashes, mix, utf8_views, word_hashes, word_spans
+from .words import LOWER, gram_hashes, mix, utf8_views, word_hashes, word_spans
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 _FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 _SYMBOL = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 _CODE_POINT = np.array([not 0x80 <= b <= 0xBF for b in range(256)])
@@ -42,16 +44,16 @@ def _shape_hashes(view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def gram_buckets(view: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """The bucket of each gram: pairs of word shapes, and whether a word pair follows itself or an earlier copy of it."""
+    """The bucket of each gram: of words and pairs of words; of shapes, alone and in pairs and threes, and of a word said again at once."""
     if not len(starts):
         return np.zeros(0, np.int64)
+    small = word_hashes(LOWER[view], starts, ends)
     shapes = _shape_hashes(view, starts, ends)
-    pairs = gram_hashes(shapes, 2, 3)
-    trios = gram_hashes(shapes, 3, 4)
-    same = np.flatnonzero(hashes[1:] == hashes[:-1])
-    again = mix(np.full(len(same), 77, np.uint64))
-    grams = np.concatenate((shapes, pairs, trios, again))
-    return (grams % np.uint64(buckets)).astype(np.int64)
+    again = mix(np.full(int((hashes[1:] == hashes[:-1]).sum()), 77, np.uint64))
+    words = np.concatenate((mix(small), gram_hashes(small, 2, 2)))
+    kinds = np.concatenate((shapes, gram_hashes(shapes, 2, 3), gram_hashes(shapes, 3, 4), again))
+    half = np.uint64(buckets // 2)
+    return np.concatenate((words % half, kinds % half + half)).astype(np.int64)
 
 
 def base_figures(view: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, int, int]:

@@ -133,6 +133,29 @@ def test_quality(spark):
     assert quality.judge(frame(spark, docs).limit(0), labels).count() == 0
 
 
+def test_quality_of_documents_held_out(spark):
+    """Fitted on the labels of even ids, judged on those of odd ids: nearly all good ones stay and no bad one."""
+    from cohortveil.llm.tables import table
+
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels.where("doc_id % 2 = 0")).collect() if not r.base_failed}
+    told = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 1").collect()}
+    good, bad = ([kept[i] for i, q in told.items() if q == want and i in kept] for want in (1, 0))
+    assert len(good) > 100 and len(bad) > 5 and sum(good) >= 0.98 * len(good) and not any(bad)
+
+
+def test_quality_ratio_by_hand(spark):
+    """Words and pairs of words count in both multinomials, and nothing else where all words look alike."""
+    import math
+
+    rows = [(i, " ".join(("good", "word") * 6)) for i in range(4)] + [(10 + i, " ".join(("evil", "word") * 6)) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    got = {r.doc_id: r.llr for r in quality.judge(frame(spark, rows), labels, smoothing=1e-9).collect()}
+    n = 12 + 11 + 12 + 11 + 10  # grams of a document
+    word, pair = math.log(6 / n) - math.log(6 * 16 / (16 * n)), math.log(4)
+    assert got[0] == pytest.approx((6 * pair + 6 * word + 11 * pair) / n, abs=1e-3) and got[10] < -5
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice((None, "a", "b", "b", "b", "c", "é", "zz")), rng.choice((0, 1, 5, 20, 200))) for i in range(900)] + [(1, "a", 5), (None, "a", 7)]
