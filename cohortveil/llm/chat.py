@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 _END = "</turn>\n"
 _HEAD = re.compile(r"### ((?:[^\\:]|\\.)*): ", re.S)
 
-WINDOWS = "conv_id long, window int, text string, n_turns int, n_repeated int, n_tokens long, loss array<struct<start:int,end:int>>"
+WINDOWS = "window int, text string, n_turns int, n_repeated int, n_tokens long, loss array<struct<start:int,end:int>>"
 
 
 def escape(text: str) -> str:
@@ -102,10 +102,10 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 25
                 for nth, (text, n, again, n_tokens, loss) in enumerate(write_windows(list(zip(roles, texts, counts, strict=True)), budget, history)):
                     for name, value in zip(rows, (conv, nth, text, n, again, n_tokens, [{"start": a, "end": b} for a, b in loss]), strict=True):
                         rows[name].append(value)
-            kinds = {"conv_id": pa.int64(), "window": pa.int32(), "text": pa.string(), "n_turns": pa.int32(), "n_repeated": pa.int32(), "n_tokens": pa.int64(), "loss": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+            kinds = {"conv_id": batch.column("conv_id").type, "window": pa.int32(), "text": pa.string(), "n_turns": pa.int32(), "n_repeated": pa.int32(), "n_tokens": pa.int64(), "loss": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
             yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds[n]) for n in rows], names=list(rows))
 
-    return listed.mapInArrow(write, WINDOWS)
+    return listed.mapInArrow(write, f"conv_id {dict(listed.dtypes)['conv_id']}, {WINDOWS}")
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -125,4 +125,4 @@ def read_back(windows: DataFrame) -> DataFrame:
                 loss.append("".join(learned))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(loss, pa.string()), batch.column("formatted_chars")], names=["conv_id", "n_turns", "turns_text", "loss_text", "formatted_chars"])
 
-    return per_conv.mapInArrow(read, "conv_id long, n_turns long, turns_text string, loss_text string, formatted_chars long")
+    return per_conv.mapInArrow(read, f"conv_id {dict(per_conv.dtypes)['conv_id']}, n_turns long, turns_text string, loss_text string, formatted_chars long")

@@ -114,13 +114,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: in
     """Columns ``carry`` of each row of ``docs`` (the id, if not given), then n_words, n_hit, item_ids (sorted text forms), spans (of hit words, from and to)."""
     bounded_batches(docs.sparkSession)
     carry = [id_col] if carry is None else [c for c in carry if c not in _FIGURES]
-    rows = docs.select(*carry, F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*carry).alias("_row"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("text"))
     windows, prints = _item_windows(items, window, gram)
-    schema = T.StructType([rows.schema[c] for c in carry] + _FIELDS)
-    if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        return _by_broadcast(rows, windows, prints, window, gram, schema)
-    return _by_shuffle(rows, windows, prints, window, gram, schema)
+    schema = T.StructType([rows.schema["_row"]] + _FIELDS)
+    few = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
+    found = (_by_broadcast if few else _by_shuffle)(rows, windows, prints, window, gram, schema)
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in carry), *_FIGURES)
 
 
 def _by_broadcast(rows: DataFrame, windows: DataFrame, prints: DataFrame, window: int, gram: int, schema: T.StructType) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import texts
+from .tables import fresh, texts
 from .words import LOWER, gram_hashes, mix, utf8_views, word_hashes, word_spans
 
 BUCKETS = 1 << 15
@@ -124,14 +124,15 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.2, min_words
     raw, target = gram_counts(rows.join(F.broadcast(good), "doc_id", "left"), "trusted", buckets)  # at most max_trusted ids
     ratio = np.log((target + smoothing) / (target.sum() + smoothing * buckets)) - np.log((raw + smoothing) / (raw.sum() + smoothing * buckets)) if target.sum() else np.zeros(buckets)
     shared = rows.sparkSession.sparkContext.broadcast(ratio)
-    whole = docs.select(*carry, F.col(text_col).alias("_text"))
+    (own_text,) = fresh(carry, "_text")
+    whole = docs.select(*carry, F.col(text_col).alias(own_text))
     schema = T.StructType([whole.schema[c] for c in carry] + _figures_schema())
 
     def score(batches):
         table = shared.value
         for batch in batches:
             out = []
-            for view in utf8_views(batch.column("_text")):
+            for view in utf8_views(batch.columns[-1]):
                 starts, ends, hashes, chars, symbols, lines, repeat = base_figures(view)
                 grams = gram_buckets(view, starts, ends, hashes, buckets)
                 llr = float(table[grams].mean()) if len(grams) else 0.0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import bounded_batches, checkpointed
+from .tables import bounded_batches, checkpointed, fresh
 from .words import covered, gram_hashes, mix, utf8_views, word_hashes, word_spans
 
 #: Segments of an anchor beyond which its suffixes are dealt by the whole window.
@@ -89,7 +89,7 @@ def _anchor_rows(window: int, gram: int):
     return emit
 
 
-def _segment_rows(window: int, gram: int, text_col: str):
+def _segment_rows(window: int, gram: int, text_col: str, own_key: str, own_anchors: str):
     """``part, key, start, offset, n, segment, weight``: a segment for each listed anchor; of a heavy one, a row for each suffix.
 
     Heavy suffixes have no segment; their part is the whole window's hash, and
@@ -102,7 +102,7 @@ def _segment_rows(window: int, gram: int, text_col: str):
         for batch in batches:
             parts, keys, starts, offsets, counts, segments = [], [], [], [], [], []
             heavy: list[tuple[np.ndarray, ...]] = []
-            for key, view, listed in zip(batch.column("_key").to_pylist(), utf8_views(batch.column(batch.schema.get_field_index(text_col))), batch.column("_anchors").to_pylist(), strict=True):
+            for key, view, listed in zip(batch.column(own_key).to_pylist(), utf8_views(batch.column(batch.schema.get_field_index(text_col))), batch.column(own_anchors).to_pylist(), strict=True):
                 begin, end = word_spans(view)
                 words = word_hashes(view, begin, end)
                 found, place, first, last = anchors(words, window, gram)
@@ -192,25 +192,30 @@ def _trees(window: int):
         return pa.RecordBatch.from_arrays([pa.array(table["key"].to_numpy()[kept]), pa.array(table["start"].to_numpy()[kept]), pa.array(mask[kept])], names=["key", "start", "mask"])
 
     def emit(batches):
-        held = None
+        held: list[pa.Table] = []  # rows of one part
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            table = pa.Table.from_batches([batch])
             part = table["part"].to_numpy()
-            whole = int(np.searchsorted(part, part[-1])) if len(part) else 0
-            if whole:
-                yield grow(table.slice(0, whole))
-            held = table.slice(whole)
-        if held is not None and held.num_rows:
-            yield grow(held)
+            if not len(part):
+                continue
+            begin = int(np.searchsorted(part, part[-1]))
+            if held and (begin or held[0]["part"][0].as_py() != part[0]):
+                yield grow(pa.concat_tables([*held, table.slice(0, begin)]))
+                held = []
+            elif begin:
+                yield grow(table.slice(0, begin))
+            held.append(table.slice(begin))
+        if held:
+            yield grow(pa.concat_tables(held))
 
     return emit
 
 
-def _removed(window: int, text_col: str):
+def _removed(window: int, text_col: str, own_key: str, own_found: str):
     def emit(batches):
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for view, found in zip(utf8_views(batch.column(batch.schema.get_field_index(text_col))), batch.column("_found").to_pylist(), strict=True):
+            for view, found in zip(utf8_views(batch.column(batch.schema.get_field_index(text_col))), batch.column(own_found).to_pylist(), strict=True):
                 words = view.tobytes().split()
                 n_words.append(len(words))
                 if not found:
@@ -224,7 +229,7 @@ def _removed(window: int, text_col: str):
                 n_removed.append(int(out.sum()))
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[0::2], edges[1::2], strict=True)])
                 kept.append(b" ".join(compress(words, (~out).tolist())))
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_key", "_found")}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in (own_key, own_found)}
             columns |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -239,7 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, most_segme
     if not _EDGE <= gram <= window <= gram + 40:
         raise ValueError("gram and window don't fit together")
     bounded_batches(docs.sparkSession)
-    rows = docs.drop("n_words", "n_removed", "kept_text", "removed").withColumns({"_key": F.xxhash64(id_col, text_col)})
+    own_key, own_anchors, own_found = fresh(docs.columns, "_key", "_anchors", "_found")
+    rows = docs.drop("n_words", "n_removed", "kept_text", "removed").withColumn(own_key, F.xxhash64(id_col, text_col))
     listed = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(_anchor_rows(window, gram), "anchor long, key long, place int, weight byte")
     by = F.when(F.col("weight") == 0, F.xxhash64("key", "place")).otherwise(F.col("anchor"))
     weighed = listed.withColumn("part", by).withColumn("total", F.sum("weight").over(Window.partitionBy("part")))
@@ -248,12 +254,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, most_segme
     if crowded.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
         crowded = F.broadcast(crowded)
     flagged = repeated.join(crowded, "anchor", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    of_doc = flagged.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("place", "heavy")).alias("_anchors"))
-    chosen = rows.join(of_doc, "_key")  # all columns, so that this and the last join read one shuffle of the rows
-    segments = chosen.mapInArrow(_segment_rows(window, gram, text_col), "part long, key long, start int, offset int, n long, segment binary, weight byte")
+    of_doc = flagged.groupBy(F.col("key").alias(own_key)).agg(F.collect_set(F.struct("place", "heavy")).alias(own_anchors))
+    chosen = rows.join(of_doc, own_key)  # all columns, so that this and the last join read one shuffle of the rows
+    segments = chosen.mapInArrow(_segment_rows(window, gram, text_col, own_key, own_anchors), "part long, key long, start int, offset int, n long, segment binary, weight byte")
     found = segments.repartition("part").sortWithinPartitions("part").mapInArrow(_trees(window), "key long, start int, mask long")
-    of_key = found.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "mask")).alias("_found"))
-    fields = [f for f in rows.schema.fields if f.name != "_key"]
+    of_key = found.groupBy(F.col("key").alias(own_key)).agg(F.collect_set(F.struct("start", "mask")).alias(own_found))
+    fields = [f for f in rows.schema.fields if f.name != own_key]
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", spans)]
-    return rows.join(of_key, "_key", "left").mapInArrow(_removed(window, text_col), T.StructType(fields + more))
+    return rows.join(of_key, own_key, "left").mapInArrow(_removed(window, text_col, own_key, own_found), T.StructType(fields + more))

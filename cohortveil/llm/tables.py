@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with more underscores before those that ``columns`` has (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lowers the session's Arrow batches to ``rows``, so that a batch of long texts fits a Python worker's memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -32,14 +42,25 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return texts(docs, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage by files in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests, one below the warehouse.
 
-    Where that setting is absent, as in tests, a folder below the warehouse is used.
+    A warehouse that is a folder of this machine only serves a local session: on
+    a cluster the setting is required.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    told = context.getConf().get("spark.checkpoint.dir")
+    if told:
+        return told
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not context.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{warehouse}/checkpoints"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage by files in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        where = context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -69,35 +69,50 @@ def domain_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("url").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), "rule_verdict")).alias("best")).select("url", "best.rule", "best.rule_verdict")
 
 
-def pattern_verdicts(urls: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
+def compiled(patterns: DataFrame) -> DataFrame:
+    """``pattern, verdict, regex, tokens`` of a frame of patterns, with the same rules as :func:`pattern_regex` and :func:`pattern_tokens`.
+
+    The expression is for lower-case URLs, as Java reads it.  A pattern without a
+    whole literal word can't be filed; it has no tokens.
+    """
+    small = F.lower("pattern")
+    quoted = F.regexp_replace(small, r"([\\.+?(){}\[\]|$])", r"\\$1")
+    separator = r"(?:^|$|[^a-z0-9_%.-]|(?<![a-z0-9])|(?![a-z0-9]))"
+    regex = F.concat(F.lit("(?s)"), F.array_join(F.split(F.replace(quoted, F.lit("*"), F.lit(".*")), r"\^", -1), separator))
+    return patterns.select("pattern", "verdict", regex.alias("regex"), F.regexp_extract_all(small, F.lit(r"((?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*]))"), 1).alias("tokens"))
+
+
+def pattern_verdicts(urls: DataFrame, patterns: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
     """``url, pattern_verdict`` of each distinct URL that a pattern fits; block wins over allow.
 
-    Each pattern is filed under that of its literal tokens which the fewest
-    URLs hold.  Only URLs with this token are tried with its expression.
+    ``patterns`` are (pattern, verdict), a list or a frame.  Each pattern is filed
+    under that of its literal tokens which the fewest URLs hold.  Only URLs with
+    this token are tried with its expression.
     """
-    listed = [(p, pattern_regex(p), v, pattern_tokens(p)) for p, v in patterns]
-    if bare := [p for p, _, _, found in listed if not found]:
-        raise ValueError(f"patterns without a whole literal word: {bare}")
     spark = urls.sparkSession
-    rules = spark.createDataFrame(listed, "pattern string, regex string, verdict string, tokens array<string>")
+    told = patterns if isinstance(patterns, DataFrame) else spark.createDataFrame(list(patterns), "pattern string, verdict string")
+    rules = compiled(told.select("pattern", "verdict").where("pattern is not null").distinct())
+    if bare := [r.pattern for r in rules.where("size(tokens) = 0").select("pattern").limit(10).collect()]:
+        raise ValueError(f"patterns without a whole literal word: {bare}")
     url_tokens = urls.select("url", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([a-z0-9]+)"), 1))).alias("token"))
     literals = rules.select("pattern", F.explode("tokens").alias("token"))
     counts = url_tokens.join(_small(literals.select("token").distinct()), "token").groupBy("token").count()
     rarest = literals.join(counts, "token", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("least"))
-    index = rarest.join(rules, "pattern").select(F.col("least.token").alias("token"), "regex", "verdict")
+    index = rarest.join(rules, "pattern").select(F.col("least.token").alias("token"), "regex", "verdict")  # a pattern no URL can fit has count 0 and meets none
     fits = url_tokens.join(_small(index), "token").where(F.expr("lower(url) rlike regex"))
     return fits.groupBy("url").agg(F.max("verdict").alias("pattern_verdict"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], patterns: Sequence[tuple[str, str]] = PATTERNS, url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, patterns: Sequence[tuple[str, str]] | DataFrame = PATTERNS, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with columns host, path, rule (null if none fits) and verdict.
 
-    ``rules`` are (host, path, verdict).  The verdict is the longest rule's,
+    ``rules`` are (host, path, verdict), a list or a frame, and so are
+    ``patterns`` (pattern, verdict).  The verdict is the longest rule's,
     else the patterns', else the default.  Columns of ``pages`` with one of
     those names are replaced.
     """
     spark = pages.sparkSession
-    table = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
+    table = rules.select("host", "path", "verdict").distinct() if isinstance(rules, DataFrame) else spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
     urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     by_rule, by_pattern = domain_verdicts(urls, table), pattern_verdicts(urls, patterns)
     found = by_rule.join(by_pattern, "url", "full").select(F.col("url").alias("_url"), F.col("rule").alias("_rule"), F.coalesce("rule_verdict", "pattern_verdict").alias("_verdict"))

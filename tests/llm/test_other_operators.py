@@ -36,6 +36,29 @@ def test_urls(spark):
         url_filter.pattern_verdicts(pages.select("url"), [("*x*", "block")])
 
 
+@pytest.mark.parametrize("limit", [100_000, 10])
+def test_thousands_of_rules_and_patterns_from_frames(spark, monkeypatch, limit):
+    """Sent to the tasks or shuffled, the verdicts are those of trying every rule and pattern on every URL."""
+    import re
+
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+    rng = random.Random(3)
+    hosts = [f"h{i}.{tld}" for i in range(700) for tld in ("com", "org", "net")]
+    rules = [(rng.choice(hosts), f"/{rng.choice('abc')}", rng.choice(("allow", "block"))) for _ in range(2000)]
+    rules = [(h, p, v) for (h, p), v in {(h, p): v for h, p, v in rules}.items()]
+    patterns = [(f"^w{i}^*^x{i % 9}" + ("^" if i % 2 else ".y^"), rng.choice(("allow", "block"))) for i in range(3000)] + [("^a+b(c^", "block"), ("^up^[1]^", "block")]
+    urls = [(i, f"http://{rng.choice(('', 'www.'))}{rng.choice(hosts)}/{rng.choice('abcd')}/W{rng.randrange(3200)}/q-x{rng.randrange(10)}{rng.choice(('', '.y/', '/'))}") for i in range(400)] + [(900, "http://z.zz/a+b(c"), (901, "http://z.zz/up/[1]")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame(patterns, "pattern string, verdict string")).collect()}
+    tried = [(re.compile(url_filter.pattern_regex(p)), v) for p, v in patterns]
+    for i, url in urls:
+        host, path = re.match(r"http://([^/]*)(.*)", url.lower()).groups()
+        path = url[len("http://") + len(host) :]
+        fits = sorted(((len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), reverse=True)
+        found = {v for r, v in tried if r.search(url.lower())}
+        assert got[i] == ((fits[0][1], fits[0][2]) if fits else (None, "block" if "block" in found else "allow")), url
+
+
 def test_pattern_index_tries_the_rarest_token_only(spark):
     assert url_filter.pattern_tokens("^login^*^return_to=") == ["login", "return", "to"]
     assert url_filter.pattern_tokens("^ads^") == ["ads"] and url_filter.pattern_tokens("ads*") == []
@@ -137,6 +160,11 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_chat_with_ids_of_text(spark):
+    turns = spark.createDataFrame([("x", 0, "user", "a"), ("x", 1, "assistant", "b"), (None, 0, "assistant", "c")], "conv_id string, turn long, role string, text string")
+    assert {r.conv_id: r.loss_text for r in chat.read_back(chat.format_conversations(turns)).collect()} == {"x": "b", None: "c"}
+
+
 def lm_docs(rng, n=300):
     syllables = {"x": ["ba", "do", "ki", "lu", "me"], "y": ["zz", "qa", "wé", "xo", "vu"]}
     rows = []
@@ -219,7 +247,7 @@ def test_words_bits_are_a_code():
     """Without counts every bit costs one bit: four bytes for three letters and a space, one for the end."""
     import numpy as np
 
-    guess, _, data, lengths = small_model([b"abc", lm_score.END])
+    guess, _, _, data, lengths = small_model([b"abc", lm_score.END])
     assert lengths.tolist() == [4, 1] and data.tobytes() == b"abc \n"
     assert np.log1p(np.exp(-guess)).sum() / math.log(2) == pytest.approx(40, rel=0.05)
 
@@ -269,11 +297,11 @@ def test_online_mixing_by_hand():
 
     rng = random.Random(4)
     words = [b"ab", b"abc", b"b", "é".encode(), b"abcd", lm_score.END]
-    guess, nodes, data, lengths = small_model(words)
+    guess, _, nodes, data, lengths = small_model(words)
     guess = guess + np.random.default_rng(1).normal(size=guess.shape).astype(np.float32)
-    first = np.cumsum(lengths) - lengths
+    alone, first = -np.log1p(np.exp(-guess)).sum(1), np.cumsum(lengths) - lengths
     texts = [[rng.randrange(5) for _ in range(n)] + [5] for n in (0, 1, 7, 40, 150)]
-    run = lambda some: lm_score.online(np.concatenate([np.array(t) for t in some]), np.repeat(np.arange(len(some)), [len(t) for t in some]), len(some), first, lengths, guess, nodes, data)
+    run = lambda some: lm_score.online(np.concatenate([np.array(t) for t in some]), np.repeat(np.arange(len(some)), [len(t) for t in some]), len(some), first, lengths, guess, alone, nodes, data)
     together = run(texts)
     assert together == pytest.approx([run([t])[0] for t in texts], abs=1e-9)
     by_word = {w: guess[f : f + n].astype(float) for w, f, n in zip(words, first.tolist(), lengths.tolist(), strict=True)}

@@ -41,7 +41,7 @@ def test_quality_rules(stages, spark):
 
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
-    classes = brute.classes([(r["doc_id"], r["text"]) for r in before], 4, 80)
+    classes = brute.classes([(r["doc_id"], r["text"]) for r in before], 5, 80)  # stages take shingles of five words
     assert sorted(r["doc_id"] for r in after) == sorted(set(classes.values()))
 
 

@@ -55,8 +55,8 @@ def test_substring_dedup_of_rows_repeated_whole(spark):
 def test_substring_dedup_edges(spark):
     empty = frame(spark, corpus()).limit(0)
     assert substring_dedup.remove_repeats(empty).count() == 0
-    clash = frame(spark, [(1, "a b"), (None, None)]).withColumns({"key": F.lit(1), "n_words": F.lit(9), "part": F.lit(2), "anchor": F.lit(3)})
-    assert sorted(r.n_words for r in substring_dedup.remove_repeats(clash).collect()) == [0, 2]
+    clash = frame(spark, [(1, "a b"), (None, None)]).withColumns({"key": F.lit(1), "n_words": F.lit(9), "part": F.lit(2), "anchor": F.lit(3), "_key": F.lit(4), "_found": F.lit(5), "_anchors": F.lit(6)})
+    assert sorted((r.n_words, r._key, r._found, r._anchors) for r in substring_dedup.remove_repeats(clash).collect()) == [(0, 4, 5, 6), (2, 4, 5, 6)]
     with pytest.raises(ValueError):
         substring_dedup.remove_repeats(empty, window=5, gram=4)
 
@@ -74,6 +74,9 @@ def test_decontamination(spark, limit):
         want.append((i, n, len(hit), sorted(map(str, found))))
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got) == sorted(want)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in got)
+    clash = frame(spark, docs[:5]).withColumns({"_text": F.lit(1), "_key": F.lit(2), "_row": F.lit(3), "spans": F.lit(4)})
+    told = decontaminate.find_leaks(clash, bench, broadcast_windows=limit, carry=clash.columns).collect()
+    assert len(told) == 5 and {(r._text, r._key, r._row) for r in told} == {(1, 2, 3)}
     none = decontaminate.find_leaks(frame(spark, docs), bench.limit(0), broadcast_windows=limit)
     assert none.agg(F.max("n_hit")).first()[0] == 0
 
@@ -133,6 +136,12 @@ def test_quality(spark):
     assert quality.judge(frame(spark, docs).limit(0), labels).count() == 0
 
 
+def test_quality_with_clashing_columns(spark):
+    docs = frame(spark, [(1, "a b c"), (2, None)]).withColumns({"_text": F.lit(7), "llr": F.lit(8)})
+    got = quality.judge(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), carry=docs.columns).collect()
+    assert sorted((r.doc_id, r._text, r.n_words) for r in got) == [(1, 7, 3), (2, 7, 0)]
+
+
 def test_quality_of_documents_held_out(spark):
     """Fitted on the labels of even ids, judged on those of odd ids: nearly all good ones stay and no bad one."""
     from cohortveil.llm.tables import table
