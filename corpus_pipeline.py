@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortveil.llm import decontaminate, mixing, near_dup, quality, substring_dedup
-from cohortveil.llm.tables import table
+from cohortveil.llm.tables import shared_folder, table
 
 #: SQL can't express the quality rules' hashed multinomials; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -26,9 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id."""
-    first = near_dup.group(docs).where("is_first").select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    """One document of each group of texts alike in 0.8 of their shingles of five words: the one with the least id."""
+    first = near_dup.group(docs, width=5).where("is_first").select(F.col("key").alias("_first"), F.col("doc_id").alias("_first_id")).distinct()
+    rows = docs.withColumn("_row", F.struct(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").alias("id")))
+    kept = rows.join(first, (F.col("_row.key") == F.col("_first")) & F.col("_row.id").eqNullSafe(F.col("_first_id")), "left_semi")
+    return kept.dropDuplicates(["_row"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +61,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over all documents.  Stages are written below ``spark.checkpoint.dir`` (else the warehouse)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage, over all documents.  Stages are written to the folder that :func:`shared_folder` names."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for nth, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{nth}-{name}")
