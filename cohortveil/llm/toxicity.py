@@ -9,8 +9,9 @@ phrase (word pairs that clean documents hold) doesn't count.  The sum of
 weights, alone and by length, goes through a logistic curve.
 
 Lexicon, phrases and curve are fitted on a bounded sample of labelled rows
-(``max_toxic`` and ``max_clean`` rows with the least hashes of their ids); all
-documents are scored.  A null or empty text has no match and takes the curve's
+(``max_toxic`` and ``max_clean`` rows with the least hashes of their ids), and
+each holds at most ``max_terms`` terms, those that most documents of the sample
+hold; all documents are scored.  A null or empty text has no match and takes the curve's
 lowest score.  Without toxic rows the lexicon is empty and all scores are 0.
 """
 
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_toxic: int =
     usable = labels.where("toxic is not null and doc_id is not null").where(may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda label, most: usable.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
     picked = docs.join(F.broadcast(pick(1, max_toxic).unionByName(pick(0, max_clean))), "doc_id").select("text", "toxic")  # at most max_toxic + max_clean ids
-    sample = checkpointed(_sketched(picked).dropDuplicates(["sketch", "toxic"]).select("text", "toxic"))
+    sample = checkpointed(_sketched(picked).groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))  # the least text of near copies
     n_toxic, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_toxic or n_toxic == n_all:
         return {}, (), np.array([0.0, 0.0, 0.0, -30.0])
