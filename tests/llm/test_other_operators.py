@@ -286,7 +286,7 @@ def online_by_hand(texts, guess_of):
             weights += lm_score.PAST_RATE * slope / np.sqrt(pace)
             for node, found in met.items():
                 last, times = past.get(node, (0, 0))
-                past[node] = (found[-1], (0 if set(found) != {last} else times) + found.count(found[-1]))
+                past[node] = (found[-1], times + 1 if found[-1] == last else 1)
         out.append(total)
     return out
 
