@@ -12,7 +12,7 @@ Lexicon, phrases and curve are fitted on a bounded sample of labelled rows
 (``max_toxic`` and ``max_clean`` rows with the least hashes of their ids), and
 each holds at most ``max_terms`` terms, those that most documents of the sample
 hold; all documents are scored.  A null or empty text has no match and takes the curve's
-lowest score.  Without toxic rows the lexicon is empty and all scores are 0.
+lowest score.  Without toxic rows, or terms that tell them, the lexicon is empty and all scores are 0.
 """
 
 from __future__ import annotations
@@ -158,6 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_toxic: int =
     strong = {t: o for t, o in odds.items() if o >= min_odds}
     # a word's beginning stands for the longer ones that say no more
     lexicon = {t: o for t, o in strong.items() if not any(strong.get(t[:k], 0) >= o - 1e-9 or strong.get(t[:k], 0) >= min_odds + 1.5 for k in range(4, len(t)))}
+    if not lexicon:  # no term tells the labels apart
+        return {}, (), np.array([0.0, 0.0, 0.0, -30.0])
     found = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def phrases(folded: str, label: int) -> set[str]:

@@ -340,6 +340,12 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), told, learn).count() == 0
 
 
+def test_toxicity_without_a_telling_term(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    assert all(r.score < 1e-9 for r in toxicity.score(docs, labels, F.lit(True)).collect())
+
+
 def test_exception_phrases(spark):
     rows = [(i, "walk the dog you trash now") for i in range(0, 200, 2)] + [(i, f"put trash bin {i} near the tree house") for i in range(1, 200, 2)]
     lexicon = {" trash ": 3.0}
