@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm_score, mixing, near_dup, oracle, quality, substring_dedup, toxicity, url_filter
+from . import chat, decontaminate, html_text, lm_score, mixing, near_dup, oracle, quality, substring_dedup, token_align, toxicity, url_filter
 from .tables import table
 
+#: Where the vocabularies of public tokenizers lie, on the driver alone.
+TOKENIZERS = "/opt/tokenizers"
 DOMAIN_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
@@ -65,6 +67,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-_ALL = (op1_substring_dedup, op2_lm_scoring, op3_quality_rules, op4_chat_formatting, op5_decontamination, op6_source_mixing, op7_url_filters, op8_html_extraction, op9_near_dup, op10_toxicity)
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda text: F.when(text == "", "").otherwise(F.sha2(text, 256))
+    found = token_align.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model", groups=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+_ALL = (op1_substring_dedup, op2_lm_scoring, op3_quality_rules, op4_chat_formatting, op5_decontamination, op6_source_mixing, op7_url_filters, op8_html_extraction, op9_near_dup, op10_toxicity, op11_token_alignment)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = oracle.oracle_sql(DOMAIN_RULES)
