@@ -79,5 +79,22 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, l.component_id,
 """
 
 
+OP13 = rf"""
+with recursive crc as (select list(list_reduce(list_prepend(b, range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t from (select unnest(range(256)) as b) s),
+runs as (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as r from documents),
+small as (select id, {_SMALL.format("r")} as w, count(*) as n from runs where length(r) >= 7 group by all),
+hashed as (select w, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || w, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [192 + (ord(c)::bigint >> 6), 128 + (ord(c)::bigint & 63)] end))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) as h from small cross join crc),
+slipped as (select case when h % 31 = 0 then w[: h % length(w)] || w[h % length(w) + 2 :] else w end as word, n from hashed),
+voc as (select word, cast(sum(n) as bigint) as n from slipped where length(word) >= 7 group by word having sum(n) >= 2),
+less as (select word, i, word[: i - 1] || word[i + 1 :] as v from (select word, unnest(range(1, length(word) + 1)) as i from voc) t),
+shorter as (select distinct l.word as a, l.v as b from less l semi join voc on voc.word = l.v),
+near as (select a.word as a, b.word as b from less a join less b on a.v = b.v and a.i = b.i and a.word <> b.word union all select a, b from shorter union all select b, a from shorter),
+best as (select a, b, n, k from (select a, b, n, row_number() over (partition by a order by n desc, b) as nth, count(*) over (partition by a) as k from near join voc on voc.word = near.b) t where nth = 1),
+told as (select v.word, v.n, coalesce(b.k, 0) as n_near, case when b.n >= 10 * v.n then b.b end as form, case when b.n >= 10 * v.n then b.n end as form_n from voc v left join best b on b.a = v.word),
+led as (select word, word as root from told union select led.word, told.form from led join told on told.word = led.root where told.form is not null)
+select t.word, t.form, (select l.root from led l join told x on x.word = l.root where l.word = t.word and x.form is null) as root, t.n, t.n_near, t.form_n from told t
+"""
+
+
 def oracle_sql(rules) -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op6_source_mixing": OP6, "op7_url_filters": _op7(rules), "op9_near_dup": OP9}
+    return {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op6_source_mixing": OP6, "op7_url_filters": _op7(rules), "op9_near_dup": OP9, "op13_spelling_variants": OP13}
