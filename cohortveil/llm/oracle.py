@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import PHRASES, SHARE, TEMPLATES, WIDTH, _pieces
 from .mixing import WORD
 from .url_filter import PATTERNS, pattern_regex
 
@@ -79,6 +80,25 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, l.component_id,
 """
 
 
+def _op12() -> str:
+    told = ", ".join(f"({n}, '{label}', [{', '.join(f"'{w}'" for w in dict.fromkeys(words))}])" for n, label, words in _pieces(TEMPLATES, WIDTH))
+    phrases = ", ".join(f"('{phrase}', {len(phrase.split())}, '{label}')" for phrase, label in PHRASES)
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_SMALL.format("coalesce(text, '')")}, '{_PLAIN}') as w from documents),
+piece(piece, label, set) as (values {told}),
+phrase(phrase, n, label) as (values {phrases}),
+base as (select d.rid, p.label, s.s - 1 as place from d cross join phrase p, lateral (select unnest(range(1, len(d.w) - p.n + 2)) as s) s where array_to_string(d.w[s.s : s.s + p.n - 1], ' ') = p.phrase),
+based as (select rid, count(*) as n, min(place) as low, max(place) as high, list(distinct label) as labels from base group by rid),
+block as (select rid, b, list_distinct(w[b * {WIDTH} + 1 : (b + 2) * {WIDTH}]) as own from (select rid, w, unnest(range(0, (len(w) + {WIDTH - 1}) // {WIDTH})) as b from d) t),
+met as (select rid, b, piece, label, set, held / size as share, size from (select rid, b, piece, label, set, len(list_intersect(own, set)) as held, len(set) as size from block cross join piece) t where held >= ceil(size * {SHARE}::double - 1e-9::double)),
+best as (select rid, label, share from met x where not exists (select 1 from met y where y.rid = x.rid and abs(y.b - x.b) <= 1 and y.piece <> x.piece and len(list_intersect(x.set, y.set)) >= x.size * {SHARE}::double - 1e-9::double and (y.share > x.share or y.share = x.share and (y.size > x.size or y.size = x.size and y.piece < x.piece)))),
+found as (select rid, max(share) as score, list(distinct label) as labels from best group by rid)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(b.n, 0) as bigint) as n_base, cast(b.low as bigint) as first_word, cast(b.high as bigint) as last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels, array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(f.labels, []))), ',') as labels, coalesce(f.score, 0::double) as score
+from d left join based b on b.rid = d.rid left join found f on f.rid = d.rid
+"""
+
+
 OP13 = rf"""
 with recursive crc as (select list(list_reduce(list_prepend(b, range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t from (select unnest(range(256)) as b) s),
 runs as (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as r from documents),
@@ -97,4 +117,4 @@ select t.word, t.form, (select l.root from led l join told x on x.word = l.root
 
 
 def oracle_sql(rules) -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op6_source_mixing": OP6, "op7_url_filters": _op7(rules), "op9_near_dup": OP9, "op13_spelling_variants": OP13}
+    return {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op6_source_mixing": OP6, "op7_url_filters": _op7(rules), "op9_near_dup": OP9, "op12_license_scan": _op12(), "op13_spelling_variants": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm_score, mixing, near_dup, oracle, quality, spelling, substring_dedup, token_align, toxicity, url_filter
+from . import chat, decontaminate, html_text, license_scan, lm_score, mixing, near_dup, oracle, quality, spelling, substring_dedup, token_align, toxicity, url_filter
 from .tables import table
 
 #: Where the vocabularies of public tokenizers lie, on the driver alone.
@@ -73,10 +73,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.counted_words(table(spark, sf_dir, "documents")))
 
 
-_ALL = (op1_substring_dedup, op2_lm_scoring, op3_quality_rules, op4_chat_formatting, op5_decontamination, op6_source_mixing, op7_url_filters, op8_html_extraction, op9_near_dup, op10_toxicity, op11_token_alignment, op13_spelling_variants)
+_ALL = (op1_substring_dedup, op2_lm_scoring, op3_quality_rules, op4_chat_formatting, op5_decontamination, op6_source_mixing, op7_url_filters, op8_html_extraction, op9_near_dup, op10_toxicity, op11_token_alignment, op12_license_scan, op13_spelling_variants)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = oracle.oracle_sql(DOMAIN_RULES)
