@@ -103,6 +103,8 @@ def phrases(docs: DataFrame, known: Sequence[tuple[str, str]] = PHRASES, words:
     for n, (phrase, label) in enumerate(known):
         told = phrase.split(" ")
         seen = F.col(low).rlike(f"(?:^|{_GAP}){_GAP.join(told)}(?:$|{_GAP})")
+        for word in told:  # far cheaper, and most texts lack one
+            seen = F.contains(F.col(low), F.lit(word)) & seen
         out = out.withColumn(f"_at{n}", F.when(seen, _starts(F.col(words), told)).otherwise(F.array().cast("array<int>")))
         places.append((f"_at{n}", label))
     every = F.concat(*(name for name, _ in places))
@@ -120,7 +122,7 @@ def matches(keyed: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
     spark, pieces = keyed.sparkSession, _pieces(templates, width)
     told = _literals(spark, ("piece", "label", "token"), [(n, label, w) for n, label, words in pieces for w in dict.fromkeys(words)])
     vocabulary = sorted({w for _, _, words in pieces for w in words})
-    count = keyed.select(F.explode("words").alias("token")).where(F.col("token").isin(vocabulary)).groupBy("token").count()
+    count = keyed.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("token")).groupBy("token").count()
     ranked = told.select("token").distinct().join(count, "token", "left").select("token", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
     order = [r.token for r in ranked.orderBy("count", "token").collect()]  # the templates' words, rarest first
     rank = F.create_map(*(F.lit(x) for pair in ((w, n) for n, w in enumerate(order)) for x in pair))
