@@ -6,6 +6,7 @@ other dialect is the check's SQL.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 
@@ -52,6 +53,16 @@ class Dialect:
     def ranking(self, value: str, order: str) -> str:
         return f"array_join(transform(array_sort(collect_list(struct({order} as o, {value} as v))), x -> x.v), ' > ')" if self.spark else f"string_agg({value}, ' > ' order by {order})"
 
+    def p_text(self, p: str, draws: int, digits: int = 1) -> str:
+        """A p value as ``m x10^e`` text, rounded to one digit more first; ``<1x10^-k`` at 0, k from the number of draws."""
+        if self.spark:
+            parts = f"split(format_string('%.{digits + 1}e', {p}), 'e')"
+            told = f"concat(format_number(cast(get({parts}, 0) as double), {digits}), 'x10^', cast(cast(get({parts}, 1) as int) as string))"
+        else:
+            parts = f"string_split(format('{{:.{digits + 1}e}}', {p}), 'e')"
+            told = f"format('{{:.{digits}f}}', cast({parts}[1] as double)) || 'x10^' || cast(cast({parts}[2] as int) as varchar)"
+        return f"case when {p} <= 0 then '<1x10^-{math.ceil(math.log10(draws))}' else {told} end"
+
     def int_div(self, a: str, b: str) -> str:
         return f"({a} div {b})" if self.spark else f"({a} // {b})"
 

@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
 from ..functions.dialect import Dialect, d
 from ..functions.scalars import calibrate, clamp01, noisy_or
 from ..operators.relations import Steps
@@ -32,9 +36,14 @@ def components() -> Steps:
     }
 
 
+def listed(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """A user's rows ``name, pli, kri, tli, role`` with their place in the list, ``ord``."""
+    return spark.createDataFrame([(*row, place) for place, row in enumerate(rows)], "name string, pli double, kri double, tli double, role string, ord long")
+
+
 def given(name: str = "given") -> Steps:
-    """``scores`` from a user's table ``name, pli, kri, tli, role`` bound as ``name``, in the order of its names."""
-    return {"scores": f"select name, role, row_number() over (order by name) as ord, cast(pli as double) as pli, cast(kri as double) as kri, cast(tli as double) as tli from {name}"}
+    """``scores`` from a user's table ``name, pli, kri, tli, role, ord`` bound as ``name``: the first anchor of a role and ties go by ``ord``."""
+    return {"scores": f"select name, role, row_number() over (order by ord, name) as ord, cast(pli as double) as pli, cast(kri as double) as kri, cast(tli as double) as tli from {name}"}
 
 
 def spectral_risk() -> Steps:
@@ -131,12 +140,13 @@ def draws_fixed() -> Steps:
 
 
 def draw_stats(q: Dialect) -> Steps:
-    """``stats``: mean, deviation and interval of each candidate; ``pairs``: two-sided tests of all differences."""
+    """``stats``: mean, deviation and intervals of each candidate, raw and calibrated; ``pairs``: two-sided tests of all differences."""
     lo, hi = q.percentile("score", 0.025), q.percentile("score", 0.975)
     dlo, dhi = q.percentile("diff", 0.025), q.percentile("diff", 0.975)
+    rlo, rhi = q.percentile("r_raw", 0.025), q.percentile("r_raw", 0.975)
     share = lambda op: f"avg(case when diff {op} 0 then {d(1.0)} else {d(0.0)} end)"
     return {
-        "stats": f"select name, avg(r_raw) as mean_r, stddev_samp(r_raw) as sd_r, avg(score) as mean_g, stddev_samp(score) as sd_g, {lo} as lo_g, {hi} as hi_g from draw group by name",
+        "stats": f"select name, avg(r_raw) as mean_r, stddev_samp(r_raw) as sd_r, {rlo} as lo_r, {rhi} as hi_r, avg(score) as mean_g, stddev_samp(score) as sd_g, {lo} as lo_g, {hi} as hi_g from draw group by name",
         "diffs": "select a.b, a.name || ' - ' || c.name as pair, a.score - c.score as diff from draw a join draw c on c.b = a.b and a.ord < c.ord",
         "pairs": f"select pair, avg(diff) as mean_diff, {dlo} as lo, {dhi} as hi, least({d(1.0)}, 2 * least({share('>=')}, {share('<=')})) as p from diffs group by pair",
     }

@@ -1,10 +1,10 @@
-"""Leading eigenpairs of a symmetric operator whose vectors are DataFrames.
+"""Leading eigenpairs of a symmetric, non-negative operator whose vectors are packed DataFrames (see ``blocks``).
 
-A block of vectors is a frame ``cohort, id, v`` (``v``: a few numbers for each
-id).  The operator is applied by joins and sums in Spark; the block Krylov basis
-is kept in the checkpoint folder and grows until the leading eigenvalue settles.
-Only the basis' inner products, whose number doesn't depend on the number of
-ids, reach the driver.
+A basis and what the operator makes of it stand side by side, ``q`` and ``aq``.
+Each step takes the best approximations that the basis holds, and adds what they
+lack (their residuals) to it.  A full basis is restarted from its best vectors.
+The residuals bound the eigenvalues' error, so the solver ends when these are
+small or the space is spent, and never silently before.
 """
 
 from __future__ import annotations
@@ -12,128 +12,73 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
+from .blocks import changed, inner, noise
 
-WIDTH = 16
+WIDTH, MOST = 16, 8
 
 
-def weighed_sum(vectors: str, by: Column, width: int = WIDTH) -> Column:
-    """The sum over rows of arrays of ``width`` numbers times a weight, element by element; to be aggregated."""
-    return F.array(*(F.sum(F.get(vectors, F.lit(i)) * by) for i in range(width)))
+def scaling(gram: np.ndarray, least: float = 1e-10, floor: float = 0.0) -> np.ndarray:
+    """What makes vectors of these inner products orthonormal; columns of directions that are spent (shorter than ``floor``, or dependent but for ``least``) are 0."""
+    length = np.sqrt(np.maximum(np.diag(gram), 0))
+    unit = np.where(length > floor, 1 / np.where(length > floor, length, 1.0), 0.0)
+    values, vectors = np.linalg.eigh(unit[:, None] * (gram + gram.T) / 2 * unit)
+    good = values > least
+    return unit[:, None] * vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)
 
 
-def _products(frame: DataFrame, left: str, right: str) -> dict[str, np.ndarray]:
-    """For each cohort the inner products of the vectors in ``left`` and those in ``right``, summed over ids."""
-
-    def multiply(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            names = np.array(batch.column("cohort").to_pylist(), dtype=object)
-            if len(names):
-                a, b = (_rows(batch, c) for c in (left, right))
-                for name in set(names.tolist()):
-                    own = names == name
-                    sums[name] = sums.get(name, 0.0) + a[own].T @ b[own]
-        flat = [(name, i, j, float(x)) for name, s in sums.items() for (i, j), x in np.ndenumerate(s)]
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in flat], kind) for k, kind in enumerate(kinds)], names=["cohort", "i", "j", "x"])
-
-    got = frame.select("cohort", *{left, right}).mapInArrow(multiply, "cohort string, i int, j int, x double").groupBy("cohort", "i", "j").agg(F.sum("x").alias("x"))
-    cells: dict[str, list] = {}
-    for r in got.collect():  # (basis size) x (block width) numbers a cohort
-        cells.setdefault(r.cohort, []).append((r.i, r.j, r.x))
-    out = {}
-    for cohort, found in cells.items():
-        i, j, x = (np.array(c) for c in zip(*found, strict=True))
-        out[cohort] = np.zeros((i.max() + 1, j.max() + 1))
-        out[cohort][i, j] = x
-    return out
-
-
-def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    """A batch's arrays of equal length as one matrix."""
-    return np.array(batch.column(column).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
-
-
-def _changed(frame: DataFrame, change: Callable[[str, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``cohort, id, q, w`` with ``w`` replaced by ``change(cohort, q, w)``."""
-
-    def move(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = np.array(batch.column("cohort").to_pylist(), dtype=object)
-            q, w = _rows(batch, "q"), _rows(batch, "w")
-            out: list = [None] * len(names)
-            for name in set(names.tolist()):
-                own = np.flatnonzero(names == name)
-                for i, row in zip(own.tolist(), change(name, q[own], w[own]).tolist(), strict=True):
-                    out[i] = row
-            yield pa.RecordBatch.from_arrays([batch.column("cohort"), batch.column("id"), batch.column("q"), pa.array(out, pa.list_(pa.float64()))], names=["cohort", "id", "q", "w"])
-
-    return frame.select("cohort", "id", "q", "w").mapInArrow(move, "cohort string, id long, q array<double>, w array<double>")
-
-
-def _scaling(gram: np.ndarray, scale: float) -> np.ndarray:
-    """What makes vectors of these inner products orthonormal; columns of directions that are spent are 0."""
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    good = values > 1e-14 * max(scale, 1e-300)
-    return vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)
-
-
-def _orthonormal(frame: DataFrame, scales: dict[str, float]) -> DataFrame:
-    """``cohort, id, q, w`` with ``w`` made orthogonal to ``q`` and orthonormal in itself (twice, against rounding)."""
+def _orthonormal(frame: DataFrame, size: int, width: int, floors: dict[str, float]) -> DataFrame:
+    """``q, aq, w`` with ``w`` made orthogonal to ``q`` and orthonormal in itself (twice, against rounding)."""
+    columns = {"q": size, "aq": size, "w": width}
     for nth in range(2):
-        found = _products(frame.select("cohort", F.concat("q", "w").alias("q"), "w"), "q", "w")
+        joint = changed(frame, lambda cohort, m: {"w": m["w"], "b": np.hstack((m["q"], m["w"]))}, columns, ("w", "b"))
+        found = inner(joint, "b", "w", (size + width, width))
 
-        def change(cohort: str, q: np.ndarray, w: np.ndarray, found=found, nth=nth) -> np.ndarray:
-            off, own = found[cohort][: q.shape[1]], found[cohort][q.shape[1] :]
-            return (w - q @ off) @ _scaling(own - off.T @ off, scales.get(cohort, 1.0) if nth == 0 else 1e2)
+        def change(cohort: str, m: dict, found=found, nth=nth) -> dict:
+            off, own = found[cohort][:size], found[cohort][size:]
+            return m | {"w": (m["w"] - m["q"] @ off) @ scaling(own - off.T @ off, *((1e-10, floors.get(cohort, 0.0)) if nth == 0 else (1e-4, 1e-4)))}
 
-        frame = _changed(frame, change)
+        frame = changed(frame, change, columns, ("q", "aq", "w"))
     return kept(frame)
 
 
-def leading(ids: DataFrame, apply: Callable[[DataFrame], DataFrame], k: int = 1, tolerance: float = 1e-7, most_blocks: int = 24, width: int = WIDTH) -> tuple[dict[str, np.ndarray], DataFrame, dict[str, np.ndarray]]:
-    """The ``k`` largest eigenvalues of each cohort, the basis ``cohort, id, q`` and the eigenvectors' coefficients in it.
+def leading(rows: DataFrame, apply: Callable[[DataFrame, int], DataFrame], k: int = 1, tolerance: float = 1e-7, width: int = WIDTH, most: int = MOST, steps: int = 200) -> tuple[dict[str, np.ndarray], DataFrame, int]:
+    """The ``k`` largest eigenvalues of each cohort (fewer if its space is smaller) and their vectors ``cohort, st, ids, v``, with how many columns these have.
 
-    ``ids`` has cohort and id; ``apply`` takes ``cohort, id, v`` to ``cohort, id, w``
-    (ids that it leaves out are 0).  Blocks are added until the eigenvalues change
-    by less than ``tolerance`` of the largest, or the space is spent.
+    ``rows`` has ``cohort, st, ids``; ``apply`` takes ``cohort, st, ids, v`` and the
+    number of its columns to the operator's products.  A residual is small at
+    ``tolerance`` of the largest eigenvalue.  ``most`` blocks of ``width`` vectors
+    fill a basis.  If ``steps`` don't suffice that is an error.
     """
-    start = F.array(*(F.xxhash64("id", F.lit(i)) / F.lit(float(1 << 63)) for i in range(width)))
-    basis = _orthonormal(ids.select("cohort", "id", F.array().cast("array<double>").alias("q"), start.alias("w")), {})
-    basis = basis.select("cohort", "id", F.col("w").alias("q"))
-    inner: dict[str, np.ndarray] = {}
-    values: dict[str, np.ndarray] = {}
-    for nth in range(most_blocks):
-        last = basis.select("cohort", "id", F.slice("q", nth * width + 1, width).alias("v"))
-        zero = F.array(*[F.lit(0.0)] * width)
-        told = kept(basis.join(apply(last), ["cohort", "id"], "left").select("cohort", "id", "q", F.coalesce("w", zero).alias("w")))
-        column, scales = _products(told, "q", "w"), {}
-        settled = True
-        for cohort, c in column.items():
-            old = inner.get(cohort, np.zeros((0, 0)))
-            whole = np.zeros((len(c), len(c)))
-            whole[: len(old), : len(old)] = old
-            whole[:, -width:] = c
-            whole[-width:, :] = c.T
-            inner[cohort] = whole
-            found = np.linalg.eigvalsh((whole + whole.T) / 2)[::-1][:k]
-            before = values.get(cohort)
-            scales[cohort] = float(np.abs(found).max() ** 2)
-            settled &= before is not None and len(before) == len(found) and bool(np.abs(found - before).max() <= tolerance * max(np.abs(found).max(), 1e-300))
-            values[cohort] = found
-        if settled or nth + 1 == most_blocks:
+    width = max(width, k)
+    start = changed(rows.withColumn("v", rows["ids"]), lambda cohort, m: {"v": noise(m["v"].view(np.int64), np.arange(width) + 1)}, {"v": 1}, ("v",))
+    empty = changed(start, lambda cohort, m: {"q": m["v"][:, :0], "aq": m["v"][:, :0], "w": m["v"]}, {"v": width}, ("q", "aq", "w"))
+    frame, size = _orthonormal(empty, 0, width, {}), 0
+    for _ in range(steps):
+        made = apply(frame.select("cohort", "st", "ids", F.col("w").alias("v")), width).select("cohort", "st", F.col("v").alias("aw"))
+        joined = frame.join(made, ["cohort", "st"], "left").select("cohort", "st", "ids", "q", "aq", "w", "aw")
+        grown = changed(joined, lambda cohort, m: {"q": np.hstack((m["q"], m["w"])), "aq": np.hstack((m["aq"], m["aw"]))}, {"q": size, "aq": size, "w": width, "aw": width}, ("q", "aq"))
+        frame, size = kept(grown), size + width
+        ritz = {c: np.linalg.eigh((h + h.T) / 2) for c, h in inner(frame, "q", "aq", (size, size)).items()}
+        best = {c: (values[::-1], vectors[:, ::-1]) for c, (values, vectors) in ritz.items()}
+
+        def lack(cohort: str, m: dict, best=best) -> dict:
+            values, vectors = best[cohort]
+            return m | {"w": m["aq"] @ vectors[:, :width] - (m["q"] @ vectors[:, :width]) * values[:width]}
+
+        frame = changed(frame, lack, {"q": size, "aq": size}, ("q", "aq", "w"))
+        norms = {c: np.sqrt(np.maximum(np.diag(g), 0)) for c, g in inner(frame, "w", "w", (width, width)).items()}
+        floors = {c: 1e-13 * abs(float(values[0])) for c, (values, _) in best.items()}
+        if all(norms[c][:k].max(initial=0) <= tolerance * max(abs(float(values[0])), 1e-300) for c, (values, _) in best.items()):
             break
-        told = _orthonormal(told, scales)
-        basis = told.select("cohort", "id", F.concat("q", "w").alias("q"))
-    vectors = {}
-    for cohort, whole in inner.items():
-        _, own = np.linalg.eigh((whole + whole.T) / 2)
-        vectors[cohort] = own[:, ::-1][:, :k]
-    return values, basis, vectors
+        if size + width > most * width:
+            keep = 2 * width
+            frame, size = changed(frame, lambda cohort, m, best=best: {"q": m["q"] @ best[cohort][1][:, :keep], "aq": m["aq"] @ best[cohort][1][:, :keep], "w": m["w"]}, {"q": size, "aq": size, "w": width}, ("q", "aq", "w")), keep
+        frame = _orthonormal(frame, size, width, floors)
+    else:
+        raise ArithmeticError(f"the {k} largest eigenvalues aren't settled after {steps} steps")
+    vectors = changed(frame, lambda cohort, m, best=best: {"v": m["q"] @ best[cohort][1][:, :k]}, {"q": size, "aq": size, "w": width}, ("v",))
+    return {c: values[:k] for c, (values, _) in best.items()}, vectors, k

@@ -1,8 +1,8 @@
-"""Array kernels for what is linear algebra: pair products, nearest neighbours, PCA and the top eigenvalue.
+"""Array kernels for what is linear algebra: pair products, nearest neighbours, components and the top eigenvalue.
 
-Samples are dealt to tiles by a hash of their id and variants to blocks; a task
-holds one block of two tiles at a time, whatever the cohort's size and the
-panel's width.
+Pair products, components and eigenvalues multiply the packed table of
+``blocks``; nearest neighbours deal points to tiles by a hash of their id.  A
+task holds two tiles at a time, whatever the cohort's size and the panel's width.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .eigen import WIDTH, leading, weighed_sum
-
-TILE, BLOCK = 512, 8192
+from .blocks import BLOCK, TILE, Blocks, changed, inner, noise, numbers, packed, rows_of, times, transposed_times, whole
+from .eigen import leading, scaling
 
 
 def _tile(n: int, tile: int) -> tuple[int, Column]:
@@ -30,28 +29,26 @@ def _tile(n: int, tile: int) -> tuple[int, Column]:
 class _Pair:
     """Products of two tiles' samples (one tile with itself if they are the same), summed block by block."""
 
-    def __init__(self, same: bool, width: int) -> None:
-        self.same, self.width, self.at, self.sums = same, width, ({}, {}), np.zeros((0, 0))
-
-    def add(self, rows: list[tuple[bool, int, np.ndarray, np.ndarray]]) -> None:
-        """A block's rows: on the second side or not, sample, places in the block and their values."""
-        for second, sample, _, _ in rows:
-            index = self.at[second and not self.same]
-            index.setdefault(sample, len(index))
-        sizes = [len(self.at[0]), len(self.at[0 if self.same else 1])]
-        sides = [np.zeros((n, self.width)) for n in sizes[: 1 if self.same else 2]]
-        for second, sample, at, x in rows:
-            side = second and not self.same
-            sides[side][self.at[side][sample], at] = x
-        if self.sums.shape != tuple(sizes):
-            grown = np.zeros(sizes)
-            grown[: self.sums.shape[0], : self.sums.shape[1]] = self.sums
-            self.sums = grown
-        self.sums += sides[0] @ sides[-1].T
+    def __init__(self, same: bool) -> None:
+        self.same, self.ids, self.sums = same, [np.zeros(0, np.int64)] * 2, np.zeros((0, 0))
+
+    def add(self, sides: list[tuple[np.ndarray, np.ndarray] | None]) -> None:
+        """A block's matrices: the first tile's samples and values, and the second's."""
+        if self.same:
+            sides = [sides[0], sides[0]]
+        if sides[0] is None or sides[1] is None:
+            return  # one side has no calls here: products of 0
+        ids = [np.union1d(old, new[0]) for old, new in zip(self.ids, sides, strict=True)]
+        at = [np.searchsorted(now, old) for now, old in zip(ids, self.ids, strict=True)]
+        if [len(x) for x in ids] != [len(x) for x in self.ids]:
+            grown = np.zeros((len(ids[0]), len(ids[1])))
+            grown[np.ix_(*at)] = self.sums
+            self.ids, self.sums = ids, grown
+        here = [np.searchsorted(now, side[0]) for now, side in zip(ids, sides, strict=True)]
+        self.sums[np.ix_(*here)] += sides[0][1] @ sides[1][1].T
 
     def pairs(self, m: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = [np.fromiter(index, np.int64, len(index)) for index in self.at]
-        a, b = ids[0][:, None], ids[0 if self.same else 1][None, :]
+        a, b = self.ids[0][:, None], self.ids[1][None, :]
         k = self.sums / m
         wanted = a <= b if self.same else np.ones(k.shape, np.bool_)
         if least is not None:
@@ -60,39 +57,36 @@ class _Pair:
         return np.minimum(i, j)[wanted], np.maximum(i, j)[wanted], k[wanted]
 
 
-def kinship(std: DataFrame, tile: int = TILE, block: int = BLOCK, least: float | None = None) -> DataFrame:
+def kinship(std: DataFrame | Blocks, tile: int = TILE, block: int = BLOCK, least: float | None = None) -> DataFrame:
     """``cohort, i, j, k`` for i <= j: mean over all variants of the product of standardised values.
 
     With ``least``, of pairs of two samples only those of at least this value; a
     sample with itself is always there, so numbers of pairs follow from it.
-    Cells of a sample's block are packed before they are copied to its tiles.
+    Blocks are copied to the tiles that their own meets.
     """
-    n, m = std.agg(F.approx_count_distinct("sample_idx"), F.countDistinct("variant_idx")).first()
-    tiles, of = _tile(n, tile)
-    cell = F.struct((F.col("variant_idx") % block).cast("int").alias("at"), "x")
-    packed = std.groupBy("cohort", "sample_idx", F.floor(F.col("variant_idx") / block).alias("vb")).agg(F.collect_list(cell).alias("c"))
-    packed = packed.select("cohort", "sample_idx", "vb", F.col("c.at").alias("at"), F.col("c.x").alias("x"), of.alias("t"))
-    spread = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    spread = spread.select("cohort", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "vb", (F.col("t") > F.col("o")).alias("second"), "sample_idx", "at", "x")
+    blocks = std if isinstance(std, Blocks) else packed(std, tile, block)
+    m, width = blocks.variants, blocks.width
+    others = blocks.frame.select("cohort", F.col("st").alias("o")).distinct()  # a row a tile
+    spread = blocks.frame.join(F.broadcast(others), "cohort")
+    spread = spread.select("cohort", F.least("st", "o").alias("ta"), F.greatest("st", "o").alias("tb"), "vb", (F.col("st") > F.col("o")).alias("second"), "ids", "m")
 
     def products(batches):
-        key, vb, pair, rows = None, None, None, []
+        key, vb, pair, sides = None, None, None, [None, None]
         for batch in batches:
             out = []
-            at, x = batch.column("at"), batch.column("x")
-            for nth, (cohort, ta, tb, own, second, sample) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cohort", "ta", "tb", "vb", "second", "sample_idx")), strict=True)):
+            for nth, (cohort, ta, tb, own, second) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cohort", "ta", "tb", "vb", "second")), strict=True)):
                 if ((cohort, ta, tb), own) != (key, vb):
                     if pair:
-                        pair.add(rows)
+                        pair.add(sides)
                     if (cohort, ta, tb) != key:
                         if pair:
                             out.append((key[0], pair.pairs(m, least)))
-                        key, pair = (cohort, ta, tb), _Pair(ta == tb, block)
-                    vb, rows = own, []
-                rows.append((second, sample, at[nth].values.to_numpy(), x[nth].values.to_numpy()))
+                        key, pair = (cohort, ta, tb), _Pair(ta == tb)
+                    vb, sides = own, [None, None]
+                sides[second] = (np.array(whole(batch.column("ids"), nth)), np.array(numbers(batch.column("m"), nth, width)))
             yield from map(told, out)
         if pair:
-            pair.add(rows)
+            pair.add(sides)
             yield told((key[0], pair.pairs(m, least)))
 
     def told(found):
@@ -109,16 +103,17 @@ def points(std: DataFrame, key: str = "variant_idx", value: str = "x") -> DataFr
     return std.groupBy("cohort", "sample_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("o"), F.col(value).alias("x")))), lambda s: s["x"]).alias("v"))
 
 
-def nearest(known: DataFrame, asked: Sequence[str] = ("HO",), to: Sequence[str] | None = None, manhattan: bool = False, tile: int = TILE) -> DataFrame:
-    """``asked, sample_idx, cohort, dd``: from each sample of the asked cohorts, the distance to the nearest one of every cohort (of ``to``, if given).
+def nearest(known: DataFrame, asked: Sequence[str] = ("HO",), to: Sequence[str] | None = None, manhattan: bool = False, tile: int = TILE, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, asked, sample_idx, cohort, dd``: from each sample of the asked cohorts, the distance to the nearest one of every cohort (of ``to``, if given).
 
-    ``known`` has ``cohort, sample_idx, v``.  A sample isn't its own neighbour;
-    one of another cohort is, whatever its number.
+    ``known`` has ``cohort, sample_idx, v`` and, for several spaces at once, their
+    names ``by`` (whole numbers).  A sample isn't its own neighbour; one of
+    another cohort is, whatever its number.
     """
-    tiles, of = _tile(known.count(), tile)
+    tiles, of = _tile(known.count() if not by else known.groupBy(*by).count().agg(F.max("count")).first()[0] or 0, tile)
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = known.where(F.col("cohort").isin(*asked)).select(F.lit(True).alias("asks"), "cohort", "sample_idx", "v", of.alias("qt")).withColumn("rt", every)
-    right = (known if to is None else known.where(F.col("cohort").isin(*to))).select(F.lit(False).alias("asks"), "cohort", "sample_idx", "v", of.alias("rt")).withColumn("qt", every)
+    left = known.where(F.col("cohort").isin(*asked)).select(*by, F.lit(True).alias("asks"), "cohort", "sample_idx", "v", of.alias("qt")).withColumn("rt", every)
+    right = (known if to is None else known.where(F.col("cohort").isin(*to))).select(*by, F.lit(False).alias("asks"), "cohort", "sample_idx", "v", of.alias("rt")).withColumn("qt", every)
 
     def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if manhattan:
@@ -144,17 +139,25 @@ def nearest(known: DataFrame, asked: Sequence[str] = ("HO",), to: Sequence[str]
                 for column, values in zip(out, (names[met].tolist(), ids[met].tolist(), [cohort] * len(met), exact[met].tolist()), strict=True):
                     column += values
         kinds = (object, "int64", object, "float64")  # plain objects: Arrow's chunked texts don't go back to Spark
-        return pd.DataFrame({name: pd.Series(values, dtype=kind) for name, values, kind in zip(("asked", "sample_idx", "cohort", "dd"), out, kinds, strict=True)})
+        told = pd.DataFrame({name: pd.Series(values, dtype=kind) for name, values, kind in zip(("asked", "sample_idx", "cohort", "dd"), out, kinds, strict=True)})
+        for name in by:
+            told[name] = np.full(len(told), part[name].iloc[0], np.int64)
+        return told
 
-    tasks = left.unionByName(right).groupBy("qt", "rt")  # two tiles at most, and the asked ones once more
-    pairs = tasks.applyInPandas(least, "asked string, sample_idx long, cohort string, dd double")
-    return pairs.groupBy("asked", "sample_idx", "cohort").agg(F.round(F.min("dd"), 9).alias("dd"))
+    tasks = left.unionByName(right).groupBy(*by, "qt", "rt")  # two tiles at most, and the asked ones once more
+    pairs = tasks.applyInPandas(least, "asked string, sample_idx long, cohort string, dd double" + "".join(f", {name} long" for name in by))
+    return pairs.groupBy(*by, "asked", "sample_idx", "cohort").agg(F.round(F.min("dd"), 9).alias("dd"))
 
 
-def distances(std: DataFrame, tile: int = TILE) -> DataFrame:
-    """``sample_idx, d_syn, d_real`` of each HO sample: to the nearest SYN one and the nearest other HO one (Euclidean)."""
+def distances_of(known: DataFrame, synthetic: str = "SYN", tile: int = TILE, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, sample_idx, d_syn, d_real`` of each HO point of ``known``: to the nearest synthetic one and the nearest other HO one (Euclidean)."""
     least = lambda cohort: F.min(F.when(F.col("cohort") == cohort, F.col("dd")))
-    return nearest(points(std.where("cohort in ('HO', 'SYN')")), tile=tile).groupBy("sample_idx").agg(least("SYN").alias("d_syn"), least("HO").alias("d_real"))
+    return nearest(known.where(F.col("cohort").isin("HO", synthetic)), tile=tile, by=by).groupBy(*by, "sample_idx").agg(least(synthetic).alias("d_syn"), least("HO").alias("d_real"))
+
+
+def distances(std: DataFrame, tile: int = TILE) -> DataFrame:
+    """:func:`distances_of` over all variants."""
+    return distances_of(points(std.where("cohort in ('HO', 'SYN')")), tile=tile)
 
 
 def nearest_burden(burden: DataFrame, tile: int = TILE) -> DataFrame:
@@ -174,47 +177,122 @@ def nearest_burden(burden: DataFrame, tile: int = TILE) -> DataFrame:
     return vectors.where(F.col("cohort").isin(*real)).join(of_kind, ["cohort", "v"]).select("name", "cohort", "sample_idx", "dist")
 
 
-def principal_components(std: DataFrame, k: int = 10) -> DataFrame:
-    """``std`` replaced by k components, fitted on centred TRAIN: the same columns, a component for a variant.
+def centred(std: DataFrame) -> Blocks:
+    """Packed blocks of all cohorts with TRAIN's mean taken off each variant."""
+    means = std.where("cohort = 'TR'").groupBy("variant_idx").agg(F.avg("x").alias("mean"))
+    return packed(std.join(means, "variant_idx").select("cohort", "sample_idx", "variant_idx", (F.col("x") - F.col("mean")).alias("x")))
 
-    The covariance is never formed: its leading eigenvectors come from products
-    of the samples' table with a few vectors over the variants.  Signs are the
-    solver's; the mean isn't taken off, as distances don't depend on it.
-    """
-    train = std.where("cohort = 'TR'")
-    means = train.groupBy("variant_idx").agg(F.avg("x").alias("mean"))
-    centred = kept(train.join(means, "variant_idx").select("sample_idx", F.col("variant_idx").cast("long").alias("id"), (F.col("x") - F.col("mean")).alias("x")))
 
-    width = max(WIDTH, k)  # the first block already has room for all components
+def _points(vectors: DataFrame, columns: int) -> DataFrame:
+    """``cohort, sample_idx, v`` of ``cohort, st, ids, v``: an array a sample."""
+
+    def unpack(batches):
+        for batch in batches:
+            for n, cohort in enumerate(batch.column("cohort").to_pylist()):
+                ids, v = whole(batch.column("ids"), n), numbers(batch.column("v"), n)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * columns, pa.int32()), pa.array(v))
+                yield pa.RecordBatch.from_arrays([pa.array([cohort] * len(ids), pa.string()), pa.array(ids), lists], names=["cohort", "sample_idx", "v"])
+
+    return vectors.mapInArrow(unpack, "cohort string, sample_idx long, v array<double>")
+
 
-    def covariance(v: DataFrame) -> DataFrame:
-        times = weighed_sum("v", F.col("x"), width)
-        of_sample = centred.join(v, "id").groupBy("sample_idx").agg(times.alias("v"))
-        return centred.join(of_sample, "sample_idx").groupBy("id").agg(times.alias("w")).select(F.lit("TR").alias("cohort"), "id", "w")
+def component_points(blocks: Blocks, k: int = 10, tolerance: float = 1e-10) -> DataFrame:
+    """``cohort, sample_idx, v`` (at most k numbers): all samples of :func:`centred` blocks on TRAIN's leading components, fitted exactly.
 
-    _, basis, vectors = leading(centred.select(F.lit("TR").alias("cohort"), "id").distinct(), covariance, k, width=width)
-    if "TR" not in vectors:
-        return std.limit(0)
-    own = F.array(*(F.array(*map(F.lit, row)) for row in vectors["TR"].T.tolist()))
-    told = basis.select("id", F.transform(own, lambda c: F.aggregate(F.zip_with(c, "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)).alias("c"))
-    found = vectors["TR"].shape[1]
-    scores = std.join(told, std["variant_idx"] == told["id"]).groupBy("cohort", "sample_idx").agg(weighed_sum("c", F.col("x"), found).alias("s"))
-    return scores.select("cohort", "sample_idx", F.posexplode("s").alias("variant_idx", "x"))
+    The covariance is never formed: the eigenvectors of the samples' products
+    come from products with a few vectors.  Signs are the solver's.
+    """
+    train = blocks.of("cohort = 'TR'")
+    values, vectors, found = leading(rows_of(train), lambda v, n: times(train, transposed_times(train, v, n), n), k, tolerance)
+    if "TR" not in values:
+        return blocks.frame.sparkSession.createDataFrame([], "cohort string, sample_idx long, v array<double>")
+    top = values["TR"]
+    scale = np.where(top > 1e-12 * top[0], 1 / np.sqrt(np.maximum(top, 1e-300)), 0.0)
+    axes = changed(transposed_times(train, vectors, found), lambda cohort, m: {"v": m["v"] * scale}, {"v": found}, ("v",))
+    return _points(times(blocks, kept(axes.select("vb", "v")), found), found)
+
+
+def randomised_component_points(blocks: Blocks, fits: Sequence[tuple[int, int]], more: int = 10, power: int | None = None) -> DataFrame:
+    """``fit, cohort, sample_idx, v``: all samples on components by randomised fits, each (number of components, seed).
+
+    Each fit sketches TRAIN's variants with its own normal numbers (by the hash of
+    seed, variant and column), sharpens the sketch by ``power`` products with the
+    data and back (7 for few components, else 4), and takes the components from
+    the small matrix that is left.  All fits go through the same passes.
+    """
+    train = blocks.of("cohort = 'TR'")
+    samples = int(rows_of(train).agg(F.sum(F.length("ids"))).first()[0] or 0) // 8
+    if not samples:
+        return blocks.frame.sparkSession.createDataFrame([], "fit long, cohort string, sample_idx long, v array<double>")
+    smaller = min(samples, blocks.variants)
+    sizes = [min(k + more, smaller) for k, _ in fits]
+    to = np.cumsum(sizes)
+    spans = [slice(int(b) - n, int(b)) for b, n in zip(to, sizes, strict=True)]
+    columns = int(to[-1])
+    power = power if power is not None else 7 if max(k for k, _ in fits) < 0.1 * smaller else 4
+    width = blocks.width
+
+    def sketch(batches):
+        for batch in batches:
+            for vb in batch.column("vb").to_pylist():
+                at = (vb * width + np.arange(width))[:, None]
+                v = np.hstack([noise(seed, at, np.arange(n)[None, :]) for (_, seed), n in zip(fits, sizes, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([vb], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["vb", "v"])
+
+    def by_fit(grams: dict[str, np.ndarray], make) -> np.ndarray:
+        out = np.zeros((columns, columns))
+        for span in spans:
+            out[span, span] = make(grams["TR"][span, span])
+        return out
+
+    def scaled(frame: DataFrame, by: np.ndarray) -> DataFrame:
+        return changed(frame, lambda cohort, m: {"v": m["v"] @ by}, {"v": columns}, ("v",))
+
+    def orthonormal(frame: DataFrame, passes: int = 1) -> DataFrame:
+        for nth in range(passes):
+            frame = scaled(frame, by_fit(inner(frame, "v", "v", (columns, columns)), lambda g, nth=nth: scaling(g, 1e-14 if nth == 0 else 1e-4)))
+        return frame
+
+    base = kept(times(train, train.frame.select("vb").distinct().mapInArrow(sketch, "vb int, v binary"), columns))
+    for _ in range(power):
+        base = kept(times(train, transposed_times(train, orthonormal(base), columns), columns))
+    base = kept(orthonormal(base, 2))
+    found = kept(transposed_times(train, base, columns))
+    grams, parts, kinds = inner(found, "v", "v", (columns, columns)), [], []
+    for nth, ((k, _), span) in enumerate(zip(fits, spans, strict=True)):
+        values, vectors = np.linalg.eigh(grams["TR"][span, span])
+        own = vectors[:, ::-1][:, :k] * np.where(values[::-1][:k] > 1e-20 * max(values[-1], 1e-300), 1 / np.sqrt(np.maximum(values[::-1][:k], 1e-300)), 0.0)
+        part = np.zeros((columns, own.shape[1]))
+        part[span] = own
+        parts.append(part)
+        kinds.append((nth, own.shape[1]))
+    last = np.hstack(parts)
+    axes = kept(changed(found, lambda cohort, m: {"v": m["v"] @ last}, {"v": columns}, ("v",)).select("vb", "v"))
+    every = _points(times(blocks, axes, last.shape[1]), last.shape[1])
+    starts = np.cumsum([0] + [n for _, n in kinds]).tolist()
+    of_fit = F.explode(F.array(*(F.struct(F.lit(nth).cast("long").alias("fit"), F.slice("v", starts[nth] + 1, n).alias("v")) for nth, n in kinds)))
+    return every.select("cohort", "sample_idx", of_fit.alias("f")).select("f.fit", "cohort", "sample_idx", "f.v")
 
 
-def spectral(std: DataFrame) -> DataFrame:
+def principal_components(std: DataFrame, k: int = 10) -> DataFrame:
+    """``std`` replaced by k components, fitted on centred TRAIN: the same columns, a component for a variant."""
+    return component_points(centred(std), k).select("cohort", "sample_idx", F.posexplode("v").alias("variant_idx", "x"))
+
+
+def spectral(std: DataFrame | Blocks) -> DataFrame:
     """``cohort, trace, top, ratio``: the largest eigenvalue of each cohort's kinship against its trace.
 
     Kinship isn't formed: it is applied to a few vectors by way of the variants.
     """
-    m = max(1, std.select("variant_idx").distinct().count())
-    table = kept(std.select("cohort", F.col("sample_idx").cast("long").alias("id"), "variant_idx", "x"))
+    blocks = std if isinstance(std, Blocks) else packed(std)
+    m = max(1, blocks.variants)
+    values, _, _ = leading(rows_of(blocks), lambda v, n: changed(times(blocks, transposed_times(blocks, v, n), n), lambda cohort, x: {"v": x["v"] / m}, {"v": n}, ("v",)))
+    top = blocks.frame.sparkSession.createDataFrame([(c, float(v[0])) for c, v in sorted(values.items())], "cohort string, top double")
 
-    def apply(v: DataFrame) -> DataFrame:
-        of_variant = table.join(v, ["cohort", "id"]).groupBy("cohort", "variant_idx").agg(weighed_sum("v", F.col("x") / F.lit(float(m))).alias("v"))
-        return table.join(of_variant, ["cohort", "variant_idx"]).groupBy("cohort", "id").agg(weighed_sum("v", F.col("x")).alias("w"))
+    def squares(batches):
+        for batch in batches:
+            sums = [float((numbers(batch.column("m"), n) ** 2).sum()) / m for n in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("cohort"), pa.array(sums, pa.float64())], names=["cohort", "s"])
 
-    values, _, _ = leading(table.select("cohort", "id").distinct(), apply)
-    top = std.sparkSession.createDataFrame([(c, float(v[0])) for c, v in sorted(values.items())], "cohort string, top double")
-    trace = table.groupBy("cohort").agg((F.sum(F.col("x") * F.col("x")) / F.lit(float(m))).alias("trace"))
+    trace = blocks.frame.select("cohort", "m").mapInArrow(squares, "cohort string, s double").groupBy("cohort").agg(F.sum("s").alias("trace"))
     return trace.join(F.broadcast(top), "cohort").select("cohort", "trace", "top", (F.col("top") / (F.col("trace") + 1e-12)).alias("ratio"))  # one row a cohort

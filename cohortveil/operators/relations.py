@@ -282,6 +282,6 @@ def proximity_draws(q: Dialect, quantile: float = 0.01) -> Steps:
     one = d(1.0)
     return {
         "dist_b": spread,
-        "pli_b": f"""select b, rho, a, greatest({clamp01('1 - rho')}, greatest({d(0.0)}, {d(0.5)} - a) / {d(0.5)}) as pli from (
-      select b, {q.percentile('d_syn', quantile)} / greatest({q.percentile('d_real', quantile)}, {d(1e-12)}) as rho, avg(case when d_real < d_syn then {one} else {d(0.0)} end) as a from dist_b group by b) t""",
+        "pli_b": f"""select b, rho, r_p, a, r_a, greatest(r_p, r_a) as pli from (select b, rho, {clamp01('1 - rho')} as r_p, a, greatest({d(0.0)}, {d(0.5)} - a) / {d(0.5)} as r_a from (
+      select b, {q.percentile('d_syn', quantile)} / greatest({q.percentile('d_real', quantile)}, {d(1e-12)}) as rho, avg(case when d_real < d_syn then {one} else {d(0.0)} end) as a from dist_b group by b) t) r""",
     }

@@ -15,7 +15,7 @@ Steps = dict[str, str]
 
 
 def chain(steps: Steps, select: str) -> str:
-    return "with " + ",\n".join(f"{n} as {'materialized ' if n.startswith('pow_') else ''}({s})" for n, s in steps.items()) + "\n" + select
+    return "with recursive " + ",\n".join(f"{n} as {'materialized ' if n.startswith('pow_') else ''}({s})" for n, s in steps.items()) + "\n" + select
 
 
 def standardised() -> Steps:
@@ -32,11 +32,29 @@ def pairs() -> Steps:
     cross join (select count(distinct variant_idx) as n from std) m where a.cohort <> 'TR' group by a.cohort, a.sample_idx, b.sample_idx"""}
 
 
-def distances(polymorphic: bool = False) -> Steps:
-    """``dist`` and ``near``: each HO sample's distance to the nearest sample of each cohort but itself."""
-    some = "join (select variant_idx from std where cohort = 'TR' group by variant_idx having var_pop(x) > 1e-8::double) v on v.variant_idx = a.variant_idx" if polymorphic else ""
+def components_of(source: str = "std", k: int = 10, squarings: int = 26) -> Steps:
+    """``part``: all samples on TRAIN's leading components, a component for a variant; one after the other, each by squaring what is left of the covariance."""
+    trace = lambda m: f"list_sum(list_transform(range(1, len({m}) + 1), lambda i: {m}[i][i]))"
     return {
-        "pair_d": f"select a.sample_idx as i, b.cohort, b.sample_idx as j, sqrt(sum((a.x - b.x) * (a.x - b.x))) as dd from std a {some} join std b on a.variant_idx = b.variant_idx where a.cohort = 'HO' and b.cohort <> 'TR' and (a.sample_idx <> b.sample_idx or b.cohort <> 'HO') group by a.sample_idx, b.cohort, b.sample_idx",
+        "varied": f"select variant_idx, avg(x) as mean, dense_rank() over (order by variant_idx) as v from {source} where cohort = 'TR' group by variant_idx having var_pop(x) > 1e-8::double",
+        "moved": f"select s.cohort, s.sample_idx, c.v, s.x - c.mean as x from {source} s join varied c using (variant_idx)",
+        "cov": "select list(r order by i) as m from (select i, list(c order by j) as r from (select a.v as i, b.v as j, sum(a.x * b.x) as c from moved a join moved b on a.sample_idx = b.sample_idx and a.cohort = 'TR' and b.cohort = 'TR' group by all) t group by i) u",
+        "axes": f"""select 1 as c, 0 as s, m as rest, list_transform(m, lambda r: list_transform(r, lambda x: x / t)) as p, []::double[] as axis from (select m, {trace("m")} as t from cov) z
+    union all select * from (select case when turned then c + 1 else c end, case when turned then 0 else s + 1 end, rest, list_transform(q, lambda r: list_transform(r, lambda x: x / t)), axis from (
+      select c, s, turned, rest, q, axis, {trace("q")} as t from (select c, s, turned, rest, axis, case when turned then rest else list_transform(p, lambda r: list_transform(p, lambda o: list_dot_product(r, o))) end as q from (
+        select c, s, turned, p, axis, case when turned then list_transform(range(1, len(rest) + 1), lambda i: list_transform(range(1, len(rest) + 1), lambda j: rest[i][j] - value * axis[i] * axis[j])) else rest end as rest from (
+          select *, case when turned then list_dot_product(axis, list_transform(rest, lambda r: list_dot_product(r, axis))) end as value from (
+            select c, s, rest, p, s = {squarings} as turned, case when s = {squarings} then list_transform(p[top], lambda x: x / sqrt(p[top][top])) else []::double[] end as axis from (
+              select *, list_position(list_transform(range(1, len(p) + 1), lambda i: p[i][i]), list_max(list_transform(range(1, len(p) + 1), lambda i: p[i][i]))) as top from axes where c <= {k} and c <= len(rest)) a) b) d) e) f) g) h""",
+        "part": "select m.cohort, m.sample_idx, a.c as variant_idx, sum(m.x * a.axis[m.v]) as x from moved m cross join (select c - 1 as c, axis from axes where len(axis) > 0) a group by all",
+    }
+
+
+def distances(source: str = "part") -> Steps:
+    """``dist`` and ``near``: each HO sample's distance to the nearest sample of each cohort but itself, over components or plain values."""
+    some = "join (select variant_idx from std where cohort = 'TR' group by variant_idx having var_pop(x) > 1e-8::double) v on v.variant_idx = a.variant_idx" if source == "std" else ""
+    return {
+        "pair_d": f"select a.sample_idx as i, b.cohort, b.sample_idx as j, sqrt(sum((a.x - b.x) * (a.x - b.x))) as dd from {source} a {some} join {source} b on a.variant_idx = b.variant_idx where a.cohort = 'HO' and b.cohort <> 'TR' and (a.sample_idx <> b.sample_idx or b.cohort <> 'HO') group by a.sample_idx, b.cohort, b.sample_idx",
         "near": "select cohort, i as sample_idx, round(min(dd), 9) as dd from pair_d group by cohort, i",
         "dist": "select sample_idx, max(dd) filter (where cohort = 'SYN') as d_syn, max(dd) filter (where cohort = 'HO') as d_real from near group by sample_idx",
     }
@@ -175,9 +193,11 @@ def components(names: tuple[str, ...], n_draws: int, thetas: tuple[float, ...],
         steps = {
             "geno": f"select case when cohort = '{name}' then 'SYN' else cohort end as cohort, sample_idx, variant_idx, chrom, pos, dosage from cohorts where cohort in ('TR', 'HO', '{name}')",
             "std": f"select case when cohort = '{name}' then 'SYN' else cohort end as cohort, sample_idx, variant_idx, x from std_all where cohort in ('TR', 'HO', '{name}')",
+            "part": f"select case when cohort = '{name}' then 'SYN' else cohort end as cohort, sample_idx, variant_idx, x from part_all where cohort in ('HO', '{name}')",
             "kin": f"select case when cohort = '{name}' then 'SYN' else cohort end as cohort, i, j, k from kin_all where cohort in ('HO', '{name}')",
         } | distances() | proximity() | draws(n_draws) | kinship_excess(thetas) | replay() | haplotype_risk() | frequencies(alpha) | burden(maf_limit) | membership() | unique_carriers(maf_limit)
         told = f"""select '{name}' as name, '{role.get(name, 'candidate')}' as role, {ord_} as ord, round(pli, 6) as pli, round(greatest(r_replay, r_ike, r_hap, r_spec), 6) as kri, round(greatest(r_mia, r_uniq), 6) as tli
         from pli cross join replay cross join (select max(r) as r_ike from ike) i cross join hap_risk cross join (select r_spec from spectral_risk where name = '{name}') s cross join mia cross join uniq"""
         parts.append(f"select * from ({chain(steps, told)}) x_{name}")
-    return whole | powers | {"scores": " union all ".join(parts)}
+    parts_of = {"part_all" if n == "part" else n: text for n, text in components_of("std_all").items()}
+    return whole | powers | parts_of | {"scores": " union all ".join(parts)}

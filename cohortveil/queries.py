@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .functions.dialect import DUCKDB, SPARK, Dialect
-from .functions.scalars import p_format
 from .jobs import cohorts, diagnostics, generators, scoring
-from .operators import kernels
+from .operators import blocks, kernels
 from .operators import relations as rel
 from .sources import adapters
 from .sources.shared import kept
 
 Steps = dict[str, str]
 MAF_LIMIT, ALPHA, THETAS = 0.01, 1e-3, (0.10, 0.125, 0.25)
-DRAWS = 20
+DRAWS, PLI_DRAWS = 20, 200
+#: Components that proximity is measured over.
+COMPONENTS = 10
 
 
 chain = oracle.chain
@@ -54,36 +55,49 @@ class Job:
         """Binds a step's result."""
         return self.bind(name, self.sql(steps, f"select * from {name}"))
 
+    def keep(self, name: str = "geno") -> Job:
+        """Writes a frame that many steps read, so that none derives it again."""
+        return self.bind(name, kept(self.frames[name]))
+
     def with_std(self) -> Job:
         return self.run(rel.allele_frequency() | rel.standardised(), "std")
 
+    def with_blocks(self) -> Job:
+        """``std``, and all cohorts but TRAIN as packed blocks, for pairs and eigenvalues."""
+        self.keep().with_std()
+        self.blocks = blocks.packed(self.frames["std"].where("cohort <> 'TR'"))
+        return self
+
     def with_kin(self, least: float | None = min(THETAS)) -> Job:
         """Pairs of all cohorts but TRAIN; those below ``least`` aren't kept."""
-        self.with_std()
-        return self.bind("kin", kept(kernels.kinship(self.frames["std"].where("cohort <> 'TR'"), least=least)))
+        self.with_blocks()
+        return self.bind("kin", kept(kernels.kinship(self.blocks, least=least)))
 
     def with_draws(self, draws: int = DRAWS) -> Job:
         """``mult`` of the real people, shared by all that draws them."""
         return self.bind("mult", kept(self.sql(rel.resamples(SPARK, draws), "select * from mult")))
 
     def with_eigen(self) -> Job:
-        return self.bind("eigen", kernels.spectral(self.frames["std"].where("cohort <> 'TR'")))
+        return self.bind("eigen", kernels.spectral(self.blocks))
 
-    def with_dist(self, polymorphic: bool = False) -> Job:
+    def with_dist(self) -> Job:
+        """``dist`` over the plain values of variants that vary in TRAIN."""
         self.with_std()
-        std = self.frames["std"]
-        if polymorphic:
-            std = std.join(self.sql(rel.polymorphic(), "select variant_idx from poly"), "variant_idx", "left_semi")
+        std = self.frames["std"].join(kept(self.sql(rel.polymorphic(), "select variant_idx from poly")), "variant_idx", "left_semi")
         return self.bind("dist", kept(kernels.distances(std)))
 
-    def with_components(self, components: int) -> Job:
-        """``poly``, and ``part``: the leading components of all samples, a component for a variant."""
+    def with_centred(self) -> Job:
+        """``poly``: variants that vary in TRAIN, and all samples' values there as packed blocks."""
         self.with_std().bind("poly", kept(self.sql(rel.polymorphic(), "select * from poly")))
-        std = self.frames["std"].join(self.frames["poly"], "variant_idx", "left_semi")
-        return self.bind("part", kept(kernels.principal_components(std, components)))
+        self.centred = kernels.centred(self.frames["std"].join(self.frames["poly"], "variant_idx", "left_semi"))
+        return self
 
-    def with_component_dist(self, components: int) -> Job:
-        return self.bind("dist", kept(kernels.distances(self.frames["part"].where(F.col("variant_idx") < components))))
+    def with_components(self, components: int = COMPONENTS) -> Job:
+        """``part``: all samples on TRAIN's leading components."""
+        return self.with_centred().bind("part", kept(kernels.component_points(self.centred, components)))
+
+    def with_component_dist(self) -> Job:
+        return self.bind("dist", kept(kernels.distances_of(self.frames["part"])))
 
     def with_l1(self, maf_limit: float = MAF_LIMIT) -> Job:
         """``maf``, ``burden`` and ``l1``: rare burdens, and each real sample's nearest synthetic one."""
@@ -154,8 +168,16 @@ def _event_burdens(spark: SparkSession, sf_dir: str) -> Job:
     return Job(spark, sf_dir, events_geno).with_l1(0.02)
 
 
+def _plain_distances(spark: SparkSession, sf_dir: str) -> Job:
+    return Job(spark, sf_dir).keep().with_dist()
+
+
 def _distances(spark: SparkSession, sf_dir: str) -> Job:
-    return Job(spark, sf_dir).with_dist(polymorphic=True)
+    return Job(spark, sf_dir).keep().with_components().with_component_dist()
+
+
+def _distances_drawn(spark: SparkSession, sf_dir: str) -> Job:
+    return _distances(spark, sf_dir).with_draws(PLI_DRAWS)
 
 
 _HAP = rel.haplotypes(SPARK) | {"pairs_b": rel.resampled_kin()["pairs_b"]} | rel.haplotype_risk(DRAWS)
@@ -163,7 +185,9 @@ _IKE = rel.tails(THETAS) | rel.resampled_kin() | rel.kinship_excess(THETAS, DRAW
 _REPLAY = rel.histogram(SPARK) | rel.resampled_kin() | rel.replay(DRAWS)
 _MIA_CHECK = oracle.frequencies(ALPHA) | oracle.burden(MAF_LIMIT) | oracle.membership()
 _TLI_CHECK = _MIA_CHECK | oracle.unique_carriers(MAF_LIMIT)
-_DIST_CHECK = oracle.standardised() | oracle.distances(True)
+_PLAIN_DIST_CHECK = oracle.standardised() | oracle.distances("std")
+_DIST_CHECK = oracle.standardised() | oracle.components_of() | oracle.distances()
+_DIST_BOOT_CHECK = _DIST_CHECK | rel.resamples(DUCKDB, PLI_DRAWS) | rel.proximity_draws(DUCKDB)
 _KRI = _IKE | _REPLAY | _HAP | scoring.spectral_risk()
 _KRI_CHECK = _STD_KIN | oracle.draws(DRAWS) | oracle.kinship_excess(THETAS) | oracle.replay() | oracle.haplotype_risk() | oracle.spectral()
 
@@ -172,9 +196,10 @@ def _rounded(*columns: str, plain: tuple[str, ...] = (), source: str) -> str:
     return "select " + ", ".join([*plain, *(f"round({c}, 6) as {c}" for c in columns)]) + f" from {source}"
 
 
-def _describe(q: Dialect, x: str, source: str) -> str:
-    ps = ", ".join(f"round({q.percentile(x, p)}, 6) as {n}" for p, n in ((0.025, "p2_5"), (0.5, "p50"), (0.975, "p97_5")))
-    return f"select count(*) as n, round(avg({x}), 6) as mean, round(stddev_samp({x}), 6) as sd, round(min({x}), 6) as low, {ps}, round(max({x}), 6) as high from {source}"
+def _describe(q: Dialect, source: str = "pli_b") -> str:
+    """A summary of each figure over the draws, a row a figure."""
+    ps = lambda x: ", ".join(f"round({q.percentile(x, p)}, 6) as {n}" for p, n in ((0.025, "p2_5"), (0.5, "p50"), (0.975, "p97_5")))
+    return " union all ".join(f"select '{x}' as figure, count(*) as n, round(avg({x}), 6) as mean, round(stddev_samp({x}), 6) as sd, round(min({x}), 6) as low, {ps(x)}, round(max({x}), 6) as high from {source}" for x in ("rho", "r_p", "a", "r_a", "pli"))
 
 
 _PER_SAMPLE = "select sample, round(ratio, 6) as ratio, round(margin, 6) as margin, round(s_ratio, 6) as s_ratio, ap_flag, rank_s_ratio, rank_margin from per_sample"
@@ -201,16 +226,17 @@ KERNEL: dict[str, Spec] = {
     "replay_risk": _on(_kin_drawn, _REPLAY, _rounded("obs", "base", "sd", "r_replay", plain=("n_real_close", "n_syn_close"), source="replay"), _STD_KIN | oracle.draws(DRAWS) | oracle.replay()),
     "value_boot": _on(_kin, rel.tails(THETAS) | rel.histogram(SPARK) | rel.value_draws(SPARK, DRAWS, THETAS), "select kind, theta, round(base, 6) as base from value_null", _STD_KIN | oracle.value_null(DRAWS, THETAS)),
     "kri_no_draws": _on(_kin, rel.tails(THETAS) | rel.histogram(SPARK) | rel.kinship_excess(THETAS, 0) | rel.replay(0) | rel.haplotypes(SPARK) | rel.haplotype_risk(0), "select round(r_replay, 6) as r_replay, r_ike, r_hap from replay cross join (select max(r) as r_ike from ike) i cross join hap_risk", _STD_KIN | oracle.draws(1) | oracle.replay(), "select round(obs, 6) as r_replay, 1::double as r_ike, 1::double as r_hap from replay"),
-    "spectral": _on(lambda spark, sf_dir: Job(spark, sf_dir).with_std().with_eigen(), scoring.spectral_risk(), _rounded("s", "s0", "r_spec", source="spec"), _STD_KIN | oracle.spectral(), _rounded("s", "s0", "r_spec", source="spectral_risk")),
+    "spectral": _on(lambda spark, sf_dir: Job(spark, sf_dir).with_blocks().with_eigen(), scoring.spectral_risk(), _rounded("s", "s0", "r_spec", source="spec"), _STD_KIN | oracle.spectral(), _rounded("s", "s0", "r_spec", source="spectral_risk")),
     "kri": _on(lambda spark, sf_dir: _kin_drawn(spark, sf_dir).with_eigen(), _KRI, _KRI_ROW.format("spec"), _KRI_CHECK, _KRI_ROW.format("spectral_risk")),
-    "nn_dist": _on(_distances, {}, "select sample_idx, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real from dist", _DIST_CHECK),
+    "nn_dist": _on(_plain_distances, {}, "select sample_idx, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real from dist", _PLAIN_DIST_CHECK),
+    "nn_dist_components": _on(_distances, {}, "select sample_idx, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real from dist", _DIST_CHECK),
     "pli_metrics": _on(_distances, rel.proximity(SPARK), _PLI, _DIST_CHECK | oracle.proximity()),
-    "pli_boot": _on(lambda spark, sf_dir: _distances(spark, sf_dir).with_draws(), rel.proximity_draws(SPARK), _rounded("rho", "a", "pli", plain=("b",), source="pli_b"), _DIST_CHECK | rel.resamples(DUCKDB, DRAWS) | rel.proximity_draws(DUCKDB)),
+    "pli_boot": _on(_distances_drawn, rel.proximity_draws(SPARK), _rounded("rho", "r_p", "a", "r_a", "pli", plain=("b",), source="pli_b"), _DIST_BOOT_CHECK),
     "per_sample_pli": _on(_distances, diagnostics.per_sample(SPARK), _PER_SAMPLE, _DIST_CHECK | diagnostics.per_sample(DUCKDB)),
     "pli_plot_rows": _on(_distances, diagnostics.per_sample(SPARK), "select sample, round(margin, 6) as margin, rank_s_ratio from (" + diagnostics.plot_rows() + ") t", _DIST_CHECK | diagnostics.per_sample(DUCKDB)),
     "pli_scatter_rows": _on(_distances, diagnostics.per_sample(SPARK) | diagnostics.scatter(), "select sample, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real, below, labelled, round(frac, 6) as frac from scatter", _DIST_CHECK | diagnostics.per_sample(DUCKDB) | diagnostics.scatter()),
     "pli_diag_driver": _on(_distances, rel.proximity(SPARK) | diagnostics.driver(), "select round(pli, 6) as pli, driver from pli_driver", _DIST_CHECK | oracle.proximity() | diagnostics.driver()),
-    "pli_describe": _on(_distances, {}, _describe(SPARK, "d_syn", "dist"), _DIST_CHECK, _describe(DUCKDB, "d_syn", "dist")),
+    "pli_describe": _on(lambda spark, sf_dir: _distances_drawn(spark, sf_dir).run(rel.proximity_draws(SPARK), "pli_b").keep("pli_b"), {}, _describe(SPARK), _DIST_BOOT_CHECK, _describe(DUCKDB)),
 }
 
 
@@ -225,6 +251,10 @@ _REFIT = lambda q: scoring.jittered(q, BOOT) | scoring.search(q, (0.02,), (0.80,
 _W_STATS = ", ".join(f"round({w}_{f}, 6) as {w}_{f}" for w in scoring.W for f in ("mean", "sd"))
 _ON = lambda a, b: f"{a}.eps = {b}.eps and {a}.lam = {b}.lam and {a}.gamma = {b}.gamma"
 
+def _p_texts(q: Dialect, source: str) -> Steps:
+    return {f"{source}_told": f"select *, {q.p_text('round(p, 9)', BOOT)} as p_text from {source}"}
+
+
 SCORE_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "score_components": (lambda q: {}, "select name, role, pli, kri, tli from scores"),
     "weights_fit": (lambda q: scoring.fit(q), "select round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(loss, 9) as loss from weights"),
@@ -232,12 +262,12 @@ SCORE_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "score_raw": (lambda q: scoring.fit(q) | scoring.scored(), "select name, role, round(r_raw, 6) as r_raw from scored"),
     "score_calibrated": (lambda q: scoring.fit(q) | scoring.scored(), "select name, round(r_raw, 6) as r_raw, round(score, 4) as score from scored"),
     "summary_rows": (lambda q: scoring.fit(q) | scoring.scored(), "select name, round(score, 4) as score, row_number() over (order by round(score, 6) desc, ord) as place from scored where role = 'candidate'"),
-    "boot_scores": (lambda q: _DRAWN(q) | scoring.draw_stats(q), "select name, round(mean_r, 6) as mean_r, round(sd_r, 6) as sd_r, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g, round(lo_g, 4) as lo_g, round(hi_g, 4) as hi_g from stats"),
+    "boot_scores": (lambda q: _DRAWN(q) | scoring.draw_stats(q), "select name, round(mean_r, 6) as mean_r, round(sd_r, 6) as sd_r, round(lo_r, 6) as lo_r, round(hi_r, 6) as hi_r, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g, round(lo_g, 4) as lo_g, round(hi_g, 4) as hi_g from stats"),
     "boot_refit": (_REFIT, "select name, round(mean_r, 6) as mean_r, round(sd_r, 6) as sd_r, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g from stats"),
     "boot_weights": (_REFIT, f"select n_boot, {_W_STATS} from weight_stats"),
     "boot_bars": (lambda q: _DRAWN(q) | scoring.draw_stats(q), "select name, round(mean_g, 4) as mean_g, round(sd_g, 4) as sd_g, row_number() over (order by round(mean_g, 6), name) as place from stats"),
-    "pairwise_p": (lambda q: _DRAWN(q) | scoring.draw_stats(q), "select pair, round(mean_diff, 4) as mean_diff, round(lo, 4) as lo, round(hi, 4) as hi, round(p, 6) as p from pairs"),
-    "kendall": (lambda q: _DRAWN(q) | scoring.rankings(q) | scoring.tau_null(), "select r.ranking as baseline, round(mean_tau, 6) as mean_tau, round(sd_tau, 6) as sd_tau, round(lo, 6) as lo, round(hi, 6) as hi, round(null_mean, 6) as null_mean, round(null_sd, 6) as null_sd, round(p, 6) as p from tau cross join tau_p cross join (select ranking from rank_text where b = 0) r"),
+    "pairwise_p": (lambda q: _DRAWN(q) | scoring.draw_stats(q) | _p_texts(q, "pairs"), "select pair, round(mean_diff, 4) as mean_diff, round(lo, 4) as lo, round(hi, 4) as hi, round(p, 6) as p, p_text from pairs_told"),
+    "kendall": (lambda q: _DRAWN(q) | scoring.rankings(q) | scoring.tau_null() | _p_texts(q, "tau_p"), "select r.ranking as baseline, round(mean_tau, 6) as mean_tau, round(sd_tau, 6) as sd_tau, round(lo, 6) as lo, round(hi, 6) as hi, round(null_mean, 6) as null_mean, round(null_sd, 6) as null_sd, round(p, 6) as p, p_text from tau cross join tau_p_told cross join (select ranking from rank_text where b = 0) r"),
     "grid_search": (_GRID, f"select t.eps, t.lam, t.gamma, round(t.mean_tau, 6) as mean_tau, round(t.sd_tau, 6) as sd_tau, round(t.lo, 6) as tau_ci_lo, round(t.hi, 6) as tau_ci_hi, round(p.p, 6) as p_tau, m.ranking as modal_rank, round(m.share, 6) as modal_prop, w.n_boot, {_W_STATS} from tau t join tau_p p on {_ON('p', 't')} join modal m on m.rn = 1 and {_ON('m', 't')} join weight_stats w on {_ON('w', 't')}"),
 }
 
@@ -248,8 +278,8 @@ def _generated(q: Dialect) -> Steps:
 
 def components(job: Job, maf_limit: float = MAF_LIMIT, draws: int = DRAWS) -> Job:
     """Binds ``scores``: all sub-risks of each synthetic cohort of the job's ``geno``, by the kernels."""
-    job.with_kin().with_draws(draws).with_eigen().with_l1(maf_limit)
-    near = kernels.nearest(kernels.points(job.frames["std"].where("cohort <> 'TR'")))
+    job.with_kin().with_draws(draws).with_eigen().with_l1(maf_limit).with_components()
+    near = kernels.nearest(job.frames["part"].where("cohort <> 'TR'"))
     job.bind("near", near.select("cohort", "sample_idx", "dd"))
     steps = _KRI | rel.rare(maf_limit) | rel.membership() | rel.rare_carriers(maf_limit) | scoring.proximity_of(SPARK) | scoring.components()
     return job.bind("scores", kept(job.sql(steps, "select * from scores")))
@@ -261,10 +291,12 @@ _SCORED: dict[tuple[str, str, str], DataFrame] = {}
 def scores_frame(spark: SparkSession, sf_dir: str) -> Job:
     """A job with ``scores`` bound: components of three candidates and the anchors.
 
-    They are worked out once for an application and folder: the queries on
-    scores share the written table, a row a cohort.
+    They are worked out once for an application and the files as they are: the
+    queries on scores share the written table, a row a cohort.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, str(SCORE_SAMPLES))
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time"))
+    files = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(file.alias("f")).groupBy("f").count().agg(F.sum(F.col("f").cast("decimal(38,0)") * F.col("count"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, str(files))
     if key not in _SCORED:
         job = Job(spark, sf_dir)
         job.bind("geno", kept(job.sql(_generated(SPARK), "select * from cohorts")))
@@ -284,33 +316,34 @@ def weights_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores_frame(spark, sf_dir).sql(scoring.fit(SPARK), scoring.fold_fit())
 
 
-def pairwise_p_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _on_scores(*SCORE_TEXT["pairwise_p"])[0](spark, sf_dir).select("pair", p_format(F.col("p"), BOOT).alias("p_text"))
+def _proximity_rows(job: Job, quantile: float = 0.01) -> DataFrame:
+    return job.sql(rel.proximity(SPARK, quantile), "select rho, r_p, a, r_a, pli, kept_snps from pli cross join (select count(*) as kept_snps from poly) k")
+
+
+_PCA_SELECT = f"select round(rho, 6) as rho, round(r_p, 6) as r_p, round(a, 6) as a, round(r_a, 6) as r_a, round(pli, 6) as pli, kept_snps, {COMPONENTS} as n_components, {{}} as quantile, true as filtered_monomorphic from {{}}"
 
 
 def pli_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index over principal components, with what it was computed from."""
-    job = Job(spark, sf_dir).with_components(10).with_component_dist(10)
-    kept_snps = job.sql({}, "select count(*) as kept_snps from poly")
-    found = job.sql(rel.proximity(SPARK), "select rho, r_p, a, r_a, pli from pli")
-    return found.crossJoin(kept_snps).withColumns({"n_components": F.lit(10), "quantile": F.lit(0.01), "filtered_monomorphic": F.lit(True)})  # one row each
+    job = _distances(spark, sf_dir)
+    return job.bind("found", _proximity_rows(job)).sql({}, _PCA_SELECT.format("0.01D", "found"))
 
 
-STABILITY, SEEDS = (5, 10, 20), (123, 124, 125, 126, 127)
+STABILITY, QUANTILES, SEEDS = (5, 10, 20), (0.005, 0.01, 0.02), (123, 124, 125, 126, 127)
 
 
 def pli_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index by number of components, quantile and seed: one fit of the most components, whose first ones serve the smaller numbers.
-
-    The fit is exact, so seeds, which a randomised one would need, change nothing.
-    """
-    out, job = None, Job(spark, sf_dir).with_components(max(STABILITY))
-    for k in STABILITY:
-        job.with_component_dist(k)
-        for quantile in (0.005, 0.01, 0.02):
-            one = job.sql(rel.proximity(SPARK, quantile), f"select {k} as components, {quantile}D as quantile, rho, r_p, a, r_a, pli, kept_snps from pli cross join (select count(*) as kept_snps from poly) k")
-            out = one if out is None else out.unionByName(one)
-    return out.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    """The index by number of components, quantile and seed: a randomised fit for each number and seed, all in the same passes."""
+    fits = [(k, seed) for k in STABILITY for seed in SEEDS]
+    job = Job(spark, sf_dir).keep().with_centred()
+    points = kept(kernels.randomised_component_points(job.centred, fits))
+    dist = kept(kernels.distances_of(points, by=("fit",)))
+    steps = " union all ".join(f"select fit, {q}D as quantile, percentile(d_syn, {q}) / greatest(percentile(d_real, {q}), 1e-12D) as rho, avg(case when d_real < d_syn then 1D else 0D end) as a from dist group by fit" for q in QUANTILES)
+    told = job.bind("dist", dist).sql({"each": steps}, "select fit, quantile, rho, greatest(0D, least(1D, 1 - rho)) as r_p, a, greatest(0D, 0.5D - a) / 0.5D as r_a from each")
+    names = F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("fit"), F.lit(k).alias("components"), F.lit(seed).alias("seed")) for n, (k, seed) in enumerate(fits))))
+    of = spark.range(1).select(names.alias("f")).select("f.*")  # a row a fit
+    kept_snps = job.sql({}, "select count(*) as kept_snps from poly")
+    return told.join(F.broadcast(of), "fit").crossJoin(kept_snps).select("components", "quantile", "seed", "rho", "r_p", "a", "r_a", F.greatest("r_p", "r_a").alias("pli"), "kept_snps")  # kept_snps is one row
 
 
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +375,9 @@ def _build() -> tuple[dict, dict]:
     specs: dict[str, Spec] = {n: _same(geno, *s) for n, s in TEXT.items()} | {n: _same(events_geno, *s) for n, s in EVENT_TEXT.items()} | KERNEL | {n: _on_scores(*s) for n, s in SCORE_TEXT.items()}
     found = {n: query for n, (query, _) in specs.items()}
     sql = {n: text for n, (_, text) in specs.items()}
-    found |= {f.__name__: f for f in (pli_pca, pli_stability, vcf_round_trip, vcf_scores, weights_fold, pairwise_p_text)}
+    found |= {f.__name__: f for f in (pli_pca, pli_stability, vcf_round_trip, vcf_scores, weights_fold)}
     sql["vcf_round_trip"] = chain(geno(DUCKDB), "select variant_idx, count(*) as n, count(dosage) as calls, sum(dosage) as alleles from geno group by variant_idx")
+    sql["pli_pca"] = chain(geno(DUCKDB) | _DIST_CHECK | oracle.proximity(), _PCA_SELECT.format("0.01::double", "(select *, (select count(*) from varied) as kept_snps from pli) f"))
     sql["vcf_scores"] = chain(_VCF_CHECK, "select name, role, pli, kri, tli from scores")
     return found, sql
 
