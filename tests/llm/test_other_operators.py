@@ -193,6 +193,9 @@ def test_language_model(spark, head):
         if r.held_out and i < 1000:
             held = [held[0] + r.score, held[1] + r.base_score]
     assert held[0] > held[1]
+    if head < lm_score.HEAD_WORDS:  # sent or joined, a word tells the same
+        whole = {(r.doc_id, r.score) for r in lm_score.score(docs, F.col("doc_id") % 10 == 0).collect()}
+        assert whole == {(r.doc_id, r.score) for r in got}
     assert lm_score.score(docs.limit(0), F.col("doc_id") % 10 == 0).count() == 0
     nothing = lm_score.score(docs, F.lit(True)).collect()
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in nothing)
