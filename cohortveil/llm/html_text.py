@@ -13,7 +13,9 @@ its body.  What page structure itself names (menus, headers, footers, sidebars,
 forms, scripts, styles) goes by its tag or role; names of classes and ids are used
 for what is left: outside main content those of :data:`_DROP_NAMES`, inside it only
 those of adverts, notices about cookies, and comments.  Character references are decoded, white space
-becomes one space, blocks join by one space.  A null or empty page gives an
+becomes one space, blocks join by one space.  A form, header or named element that
+holds an article is a wrapper and stays; a menu, sidebar or footer that holds one
+is passed by if the page has another.  A null or empty page gives an
 empty text; broken markup is read as far as it goes, and elements may be nested
 to any depth; repeated rows count once each, as pages of their own.
 """
@@ -37,7 +39,10 @@ _RAW = frozenset("script style template textarea title iframe noscript svg math
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dl dt dd table caption tbody thead tfoot tr td th".split())
 _BLOCK = _PROSE | frozenset("html body main article section div header footer nav aside ul ol li form fieldset address center details summary hgroup dialog menu search br hr".split())
-_DROP_TAGS = frozenset("nav footer aside form button dialog menu head search label".split())
+_DROP_TAGS = frozenset("nav footer aside form button dialog menu head search".split())
+#: Tags and roles that aren't wrappers of a page: an article in one is a teaser, unless the page has no other.
+_APART = frozenset("nav footer aside button dialog menu head search".split())
+_APART_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Words of class names and ids that mark what is not the article.
 _DROP_NAMES = re.compile(
@@ -47,30 +52,42 @@ _DROP_NAMES = re.compile(
     re.I,
 )
 #: The same inside main content, as whole words of a class: all else there is the author's.
-_DROP_INSIDE = re.compile(r"(?:^|\s)(?:ads?|advert\w*|adsense|adslot|ad-[\w-]*|sponsor\w*|promo\w*|cookie[\w-]*|consent[\w-]*|newsletter[\w-]*|comments?|comment-?(?:list|section|form|thread|area)|replies|disqus\w*|sidebar|share|sharing|social)(?:$|\s)", re.I)
+_DROP_INSIDE = re.compile(r"(?:^|\s)(?:ads?|advert\w*|adsense|adslot|ad-[\w-]*|sponsor\w*|promo\w*|cookie[\w-]*|consent[\w-]*|newsletter[\w-]*|comments?|comment-?(?:list|section|form|thread|area)|replies|disqus\w*)(?:$|\s)", re.I)
+#: These go inside main content if most of their text is links.
+_DROP_LINKS = re.compile(r"(?:^|\s)(?:sidebar|related[\w-]*|share[\w-]*|sharing|social[\w-]*|tags?|breadcrumbs?|pagination|pager|toc)(?:$|\s)", re.I)
 
 #: Classes of articles that are comments or advertising themselves.
 _ASIDE_ARTICLE = re.compile(r"(?:^|\s)(?:comment\S*|repl(?:y|ies)\S*|ads?|advert\S*|sponsor\S*|promo\S*|teaser\S*|related\S*)(?:\s|$)", re.I)
 
 
 class Element:
-    """tag, marks (class, id and role), role, parts (texts and elements) and, after ``hashed``, the subtree's hash and whether it holds main content."""
+    """tag, marks (class, id and role), role, parts (texts and elements) and, after ``hashed``, the subtree's hash, whether it holds main content, and its characters of text, in all and in links."""
 
-    __slots__ = ("tag", "marks", "role", "parts", "hash", "holds")
+    __slots__ = ("tag", "marks", "role", "parts", "hash", "holds", "size", "linked")
 
     def __init__(self, tag: str, marks: str = "", role: str = "") -> None:
-        self.tag, self.marks, self.role, self.parts, self.hash, self.holds = tag, marks, role, [], None, False
+        self.tag, self.marks, self.role, self.parts, self.hash, self.holds, self.size, self.linked = tag, marks, role, [], None, False, 0, 0
 
     def is_main(self) -> bool:
         return self.tag in ("article", "main") or self.role == "main"
 
+    def beside(self) -> bool:
+        """An article that is a comment, an advert or a teaser."""
+        return self.tag == "article" and bool(self.marks) and bool(_ASIDE_ARTICLE.search(self.marks))
+
+    def apart(self) -> bool:
+        return self.tag in _APART or self.role in _APART_ROLES
+
     def dropped(self, in_article: bool) -> bool:
         if self.tag in _DROP_TAGS or self.role in _DROP_ROLES or self.tag == "header" and not in_article:
             return True
         if self.tag == "article":  # its own classes tell of much besides
-            return bool(self.marks) and bool(_ASIDE_ARTICLE.search(self.marks))
-        names = _DROP_INSIDE if in_article else _DROP_NAMES
-        return bool(self.marks) and self.tag not in ("html", "body", "main") and not (in_article and self.tag == "header") and bool(names.search(self.marks))
+            return self.beside()
+        if not self.marks or self.tag in ("html", "body", "main") or in_article and self.tag == "header":
+            return False
+        if in_article:
+            return bool(_DROP_INSIDE.search(self.marks)) or 2 * self.linked > self.size and bool(_DROP_LINKS.search(self.marks))
+        return bool(_DROP_NAMES.search(self.marks))
 
 
 def read_page(source: str) -> Element:
@@ -132,10 +149,13 @@ def hashed(page: Element) -> int:
         order.append(element)
         todo += [p for p in element.parts if not isinstance(p, str)]
     for element in reversed(order):
-        told = [element.tag]
+        told, elements = [element.tag], [p for p in element.parts if not isinstance(p, str)]
+        own = [" ".join(p.split()) for p in element.parts if isinstance(p, str)]
         told += [" ".join(p.split()) if isinstance(p, str) else str(p.hash) for p in element.parts]
         element.hash = xxhash.xxh64_intdigest("\0".join(told)) - (1 << 63)
-        element.holds = element.is_main() or any(p.holds for p in element.parts if not isinstance(p, str))
+        element.holds = element.is_main() and not element.beside() or any(p.holds for p in elements)
+        element.size = sum(map(len, own)) + sum(p.size for p in elements)
+        element.linked = element.size if element.tag == "a" else sum(p.linked for p in elements)
     return page.hash
 
 
@@ -156,29 +176,38 @@ def template_hashes(page: Element) -> set[int]:
     return out
 
 
-def _find(page: Element, tags: tuple[str, ...]) -> list[Element]:
-    """The outermost elements of these tags (or of role main) that aren't dropped."""
+def _find(page: Element, tags: tuple[str, ...], anywhere: bool = False) -> list[Element]:
+    """The outermost elements of these tags (or of role main).  What holds none is passed by if it is dropped, and so are (but for ``anywhere``) menus, sidebars, footers and the like."""
     out, todo = [], [page]
     while todo:
         element = todo.pop()
-        for part in reversed(element.parts):
-            if isinstance(part, str) or part.dropped(False):
-                continue
-            todo.append(part)
         if element is not page and (element.tag in tags or "main" in tags and element.role == "main"):
             out.append(element)
-            del todo[len(todo) - sum(1 for p in element.parts if not isinstance(p, str) and not p.dropped(False)) :]
+            continue
+        for part in reversed(element.parts):
+            if not isinstance(part, str) and not part.beside() and not (part.dropped(False) and (not part.holds or part.apart() and not anywhere)):
+                todo.append(part)
     return out
 
 
 def page_text(page: Element, templates: set[int] = frozenset()) -> str:
-    """The main text; ``templates`` are hashes of subtrees to leave out."""
-    if templates:
-        hashed(page)
-    roots = _find(page, ("article",)) or _find(page, ("main",)) or [page]
+    """The main text; ``templates`` are hashes of subtrees to leave out.
+
+    Without an article or main element a form, or what a name tells of, that holds
+    more than half of the page's text is its content all the same.
+    """
+    hashed(page)
+    roots = next((found for anywhere in (False, True) for tag in ("article", "main") if (found := _find(page, (tag,), anywhere))), [page])
     roots = [r for r in roots if r.hash not in templates] or roots
     pieces: list[str] = []
 
+    def out(part: Element, inside: bool) -> bool:
+        if inside:
+            return part.dropped(True)
+        if part.dropped(False) and (part.apart() or part.tag == "header" or 2 * (part.size - part.linked) <= page.size - page.linked):
+            return True
+        return part.hash in templates
+
     def take(element: Element, inside: bool) -> None:
         todo: list = [element]
         while todo:
@@ -186,7 +215,7 @@ def page_text(page: Element, templates: set[int] = frozenset()) -> str:
             if isinstance(part, str):
                 pieces.append(part)
                 continue
-            if part is not element and (part.dropped(inside) or not inside and part.hash in templates):
+            if part is not element and out(part, inside):
                 continue
             block = part.tag in _BLOCK
             todo += [" "] * block + part.parts[::-1] + [" "] * block

@@ -355,3 +355,25 @@ def test_exception_phrases(spark):
     plain, spared = toxicity.automaton(lexicon), toxicity.automaton(lexicon, (" trash bin ",))
     assert toxicity.figures(rows[-1][1], plain)[0] > 0 == toxicity.figures(rows[-1][1], spared)[0]
     assert toxicity.figures(rows[0][1], spared)[0] > 0
+
+
+WRAPPED = [
+    '<body><div class="content has-sidebar"><article><p>Whole text.</p></article></div></body>',
+    '<body class="x"><div class="layout-side-right"><main><p>Whole text.</p></main></div></body>',
+    '<body><div id="header-form-nav"><article><p>Whole text.</p></article></div></body>',
+    '<body><form id="aspnetForm"><nav>Menu</nav><article><p>Whole text.</p></article></form></body>',
+    '<body><form id="aspnetForm"><div><p>Whole text.</p></div><div class="ad">Buy</div></form></body>',
+    '<body><div class="page-search"><div><p>Whole text.</p></div></div><footer>Foot</footer></body>',
+    '<body><aside><article><p>Teaser</p></article></aside><article><p>Whole text.</p></article></body>',
+    '<body><aside><article><p>Whole text.</p></article></aside></body>',
+    '<body><article><p>Whole</p><label>text.</label><div class="share"><a href="x">Tweet this</a></div><div class="comments"><p>First!</p></div></article><article class="comment"><p>Me too</p></article></body>',
+    '<body><article><div class="social"><p>Whole text.</p></div><form><label>Mail</label></form></article></body>',
+]
+
+
+def test_wrappers_do_not_empty_a_page(spark):
+    long = "<body><article>" + "<p>word &amp; word</p>" * 50_000 + "</article></body>"
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/a", h) for i, h in enumerate([*WRAPPED, long])], "page_id long, url string, html string").withColumn("key", F.lit(1))
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert [got[i] for i in range(len(WRAPPED))] == ["Whole text."] * len(WRAPPED)
+    assert got[len(WRAPPED)] == " ".join(["word & word"] * 50_000)
