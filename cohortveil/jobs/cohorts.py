@@ -15,7 +15,7 @@ from ..sources.shared import shared_folder
 _KEY = ("chrom", "pos", "ref", "alt")
 
 
-def aligned(real: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+def aligned(real: DataFrame, others: dict[str, DataFrame], strip_chr: bool = True) -> DataFrame:
     """``cohort, sample_idx, variant_idx, chrom, pos, dosage`` of the real cohort (REAL) and the others, over the real panel.
 
     Frames are as :func:`vcf.read_genotypes` gives them.  A variant of another
@@ -23,8 +23,11 @@ def aligned(real: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
     number; one that the panel doesn't have is left out, and one that a cohort
     doesn't have is missing in all its samples.  Of keys that a panel holds twice
     the first counts.  A cohort without any variant of the panel is an error.
+    Chromosomes lose a leading ``chr``, without which haplotype windows and burdens
+    by chromosome don't count them as autosomes; ``strip_chr=False`` leaves the
+    names (and then ``chr15`` has neither).
     """
-    panel = real.groupBy(*_KEY).agg(F.min("variant_idx").alias("variant_idx")).withColumn("bare", vcf.bare(F.col("chrom")))
+    panel = real.groupBy(*_KEY).agg(F.min("variant_idx").alias("variant_idx")).withColumn("bare", vcf.bare(F.col("chrom")) if strip_chr else F.col("chrom"))
     out = real.join(panel.select("variant_idx", F.col("bare").alias("chrom_")), "variant_idx").select(F.lit("REAL").alias("cohort"), F.col("sample_idx").cast("long").alias("sample_idx"), "variant_idx", F.col("chrom_").alias("chrom"), "pos", "dosage")
     for name, frame in others.items():
         first = frame.join(frame.groupBy(*_KEY).agg(F.min("variant_idx").alias("variant_idx")), [*_KEY, "variant_idx"], "left_semi")
@@ -51,10 +54,15 @@ def divided(cohort: str = "REAL") -> Steps:
     return {"divided": f"select coalesce(s.cohort, g.cohort) as cohort, g.sample_idx, g.variant_idx, g.chrom, g.pos, g.dosage from geno g left join split s on g.cohort = '{cohort}' and s.sample_idx = g.sample_idx"}
 
 
-def through_vcf(genotypes: DataFrame, name: str) -> DataFrame:
-    """Genotypes written as one VCF file below the shared folder, its samples numbered from 0 in their order, and read again."""
+def written(genotypes: DataFrame, name: str, names: list[str] | None = None, **how) -> str:
+    """The folder below the shared one to which genotypes were written as VCF text, samples in the order of their numbers."""
     spark = genotypes.sparkSession
-    people = [r.sample_idx for r in genotypes.select("sample_idx").distinct().orderBy("sample_idx").collect()]  # the header's line
+    people = names or [f"{name}_{r.sample_idx}" for r in genotypes.select("sample_idx").distinct().orderBy("sample_idx").collect()]  # the header's line
     path = f"{shared_folder(spark)}/vcf-{uuid.uuid4().hex}/{name}"
-    vcf.write_vcf(genotypes.withColumns({"ref": F.lit("A"), "alt": F.lit("C")}), [f"{name}_{i}" for i in people], path)
-    return vcf.read_genotypes(vcf.read_lines(spark, path))
+    vcf.write_vcf(genotypes.withColumns({"ref": F.lit("A"), "alt": F.lit("C")}), people, path, **how)
+    return path
+
+
+def through_vcf(genotypes: DataFrame, name: str) -> DataFrame:
+    """Genotypes written as VCF text, its samples numbered from 0 in their order, and read again."""
+    return vcf.read_genotypes(vcf.read_lines(genotypes.sparkSession, written(genotypes, name)))

@@ -247,14 +247,17 @@ def value_draws(q: Dialect, draws: int, thetas: tuple[float, ...], theta: float
     }
 
 
-def haplotype_risk(draws: int, min_poly: int = 6) -> Steps:
+def haplotype_risk(draws: int, min_poly: int = 6, k: int = 8) -> Steps:
     """``hap_risk``: by synthetic cohort, the collision rate against its mean over draws of real people (1 without draws, 0 with one person).
 
     A haplotype's code is worked out once a person and window from the calls that
     are there; a draw's windows count by its own variety, and only missing calls
     take the draw's own most frequent value.  Codes are then grouped with
-    multiplicities.
+    multiplicities.  ``k`` is the windows' width: up to 8 places of 6 bits are whole
+    numbers that a double holds exactly.
     """
+    if k > 8:
+        raise ValueError("windows are at most 8 variants wide here")
     risk = f"case when h.cohort is null then {d(0.0)} when mean_rho <= c0 or max_rho <= c0 + {d(1e-12)} then {d(0.0)} else {clamp01(f'(mean_rho - c0) / (max_rho - c0 + {d(1e-12)})')} end"
     people = "(select case when count(distinct sample_idx) > 1 then 'HO' end as cohort from geno where cohort = 'HO') h"
     if not draws:

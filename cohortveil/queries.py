@@ -13,7 +13,7 @@ from .functions.dialect import DUCKDB, SPARK, Dialect
 from .jobs import cohorts, diagnostics, generators, scoring
 from .operators import blocks, kernels
 from .operators import relations as rel
-from .sources import adapters
+from .sources import adapters, vcf, vcf_source
 from .sources.shared import kept
 
 Steps = dict[str, str]
@@ -208,6 +208,12 @@ _TLI = "select round(r_mia, 6) as r_mia, round(r_uniq, 6) as r_uniq, round(great
 _EVT_TLI = "select round(auc, 6) as auc, n_used, round(u, 6) as u, round(u0, 6) as u0, round(greatest(r_mia, r_uniq), 6) as tli from mia m cross join uniq u"
 _KRI_ROW = "select round(r_replay, 6) as r_replay, round(r_ike, 6) as r_ike, round(r_hap, 6) as r_hap, round(r_spec, 6) as r_spec, round(greatest(r_replay, r_ike, r_hap, r_spec), 6) as kri from replay cross join (select max(r) as r_ike from ike) i cross join hap_risk cross join {}"
 
+_KRI_PARTS = f"""select 'replay' as risk, 0.125 as theta, round(obs, 6) as obs, round(base, 6) as base, round(sd, 6) as sd, cast(null as double) as most, n_real_close, n_syn_close, round(r_replay, 6) as r, {DRAWS} as n_boot from replay
+union all select 'excess', theta, round(frac, 6), round(f0, 6), null, null, null, null, round(r, 6), {DRAWS} from ike
+union all select 'haplotypes', null, round(obs, 6), round(base, 6), null, round(cmax, 6), null, null, round(r_hap, 6), {DRAWS} from hap_risk
+union all select 'spectral', null, round(s, 6), round(s0, 6), null, null, null, null, round(r_spec, 6), {DRAWS} from {{spec}}""".replace("0.125 as theta", "cast(0.125 as double) as theta")
+_TLI_PARTS = f"select round(auc, 6) as auc, round(r_mia, 6) as r_mia, n_used, round(u, 6) as u, round(u0, 6) as u0, round(r_uniq, 6) as r_uniq, round(greatest(r_mia, r_uniq), 6) as tli, cast({MAF_LIMIT} as double) as maf_limit, cast({ALPHA} as double) as alpha from mia m cross join uniq u"
+
 KERNEL: dict[str, Spec] = {
     "rare_burden": _on(lambda spark, sf_dir: Job(spark, sf_dir), rel.train_maf(ALPHA) | rel.rare_burden(SPARK, MAF_LIMIT), "select cohort, sample_idx, feature, value from burden", oracle.frequencies(ALPHA) | oracle.burden(MAF_LIMIT)),
     "mia_nn_l1": _on(_burdens, {}, "select cohort, sample_idx, dist from l1", _MIA_CHECK),
@@ -228,6 +234,8 @@ KERNEL: dict[str, Spec] = {
     "kri_no_draws": _on(_kin, rel.tails(THETAS) | rel.histogram(SPARK) | rel.kinship_excess(THETAS, 0) | rel.replay(0) | rel.haplotypes(SPARK) | rel.haplotype_risk(0), "select round(r_replay, 6) as r_replay, r_ike, r_hap from replay cross join (select max(r) as r_ike from ike) i cross join hap_risk", _STD_KIN | oracle.draws(1) | oracle.replay(), "select round(obs, 6) as r_replay, 1::double as r_ike, 1::double as r_hap from replay"),
     "spectral": _on(lambda spark, sf_dir: Job(spark, sf_dir).with_blocks().with_eigen(), scoring.spectral_risk(), _rounded("s", "s0", "r_spec", source="spec"), _STD_KIN | oracle.spectral(), _rounded("s", "s0", "r_spec", source="spectral_risk")),
     "kri": _on(lambda spark, sf_dir: _kin_drawn(spark, sf_dir).with_eigen(), _KRI, _KRI_ROW.format("spec"), _KRI_CHECK, _KRI_ROW.format("spectral_risk")),
+    "kri_breakdown": _on(lambda spark, sf_dir: _kin_drawn(spark, sf_dir).with_eigen(), _KRI, _KRI_PARTS.format(spec="spec"), _KRI_CHECK, _KRI_PARTS.format(spec="spectral_risk")),
+    "tli_breakdown": _on(_burdens, rel.rare(MAF_LIMIT) | rel.membership() | rel.rare_carriers(MAF_LIMIT), _TLI_PARTS, _TLI_CHECK),
     "nn_dist": _on(_plain_distances, {}, "select sample_idx, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real from dist", _PLAIN_DIST_CHECK),
     "nn_dist_components": _on(_distances, {}, "select sample_idx, round(d_syn, 6) as d_syn, round(d_real, 6) as d_real from dist", _DIST_CHECK),
     "pli_metrics": _on(_distances, rel.proximity(SPARK), _PLI, _DIST_CHECK | oracle.proximity()),
@@ -352,6 +360,48 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("variant_idx").agg(F.count("*").alias("n"), F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
 
 
+_VCF_SUMS = (F.count("*").alias("n"), F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
+
+
+def vcf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct variants of a VCF file."""
+    return vcf.variants(vcf.read_lines(spark, cohorts.written(Job(spark, sf_dir).frames["geno"], "all")))
+
+
+def vcf_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third variant of a VCF file, told by a legend: the source drops lines outside its places."""
+    job = Job(spark, sf_dir).keep()
+    path = cohorts.written(job.frames["geno"], "all")
+    rows = job.sql({}, "select variant_idx, chrom || ':' || cast(pos as string) || '_A_C ' || cast(pos as string) || ' A C' as value from (select distinct variant_idx, chrom, pos from geno where variant_idx % 3 = 0) v")
+    head = spark.range(1).select(F.lit(-1).alias("variant_idx"), F.lit("id position a0 a1").alias("value"))
+    legend = path + ".legend"
+    rows.unionByName(head).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx").select("value").write.text(legend)
+    keep = kept(vcf.legend_positions(vcf.read_lines(spark, legend)))
+    read = vcf.read_genotypes(vcf_source.variant_lines(spark, path), keep_pos=keep)
+    return read.groupBy("variant_idx", "chrom", "pos").agg(*_VCF_SUMS)
+
+
+def vcf_autosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants of chromosomes 1 to 22, with or without ``chr``, numbered among themselves."""
+    named = F.when(F.col("chrom") == "1", "chr1").when(F.col("chrom") == "2", "X").otherwise(F.col("chrom"))
+    path = cohorts.written(Job(spark, sf_dir).frames["geno"].withColumn("chrom", named), "all")
+    read = vcf.read_genotypes(vcf.read_lines(spark, path), autosomes_only=True)
+    return read.groupBy("variant_idx", "chrom", "var_chr", "pos").agg(*_VCF_SUMS)
+
+
+LEAKY_SAMPLES, LEAKY_NAMED = 100, 60
+
+
+def vcf_leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaky cohort written under its sources' names (and numbers alone beyond them), chromosomes without ``chr``, and read by these names."""
+    job = Job(spark, sf_dir).keep()
+    leaky = kept(job.sql(rel.ultra_rare(MAF_LIMIT) | generators.copycat(SPARK, LEAKY_SAMPLES), "select *, 'chr' || chrom as named from leaky_geno").drop("chrom").withColumnRenamed("named", "chrom"))
+    people = [f"P{r.sample_idx}" for r in job.sql({}, f"select distinct sample_idx from geno where cohort = 'TR' order by sample_idx limit {LEAKY_NAMED}").collect()]  # the header's line
+    path = cohorts.written(leaky, "leaky", vcf.leaky_names(LEAKY_SAMPLES, people), strip_chr=True)
+    read = vcf.read_genotypes(vcf.read_lines(spark, path)).join(vcf.samples(vcf.read_lines(spark, path)), "sample_idx")
+    return read.groupBy("sample_id", "chrom").agg(*_VCF_SUMS)
+
+
 def vcf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From VCF files to the three indices: real, synthetic and anchor cohorts written, read, aligned on the variants, split and scored."""
     job = Job(spark, sf_dir)
@@ -375,8 +425,14 @@ def _build() -> tuple[dict, dict]:
     specs: dict[str, Spec] = {n: _same(geno, *s) for n, s in TEXT.items()} | {n: _same(events_geno, *s) for n, s in EVENT_TEXT.items()} | KERNEL | {n: _on_scores(*s) for n, s in SCORE_TEXT.items()}
     found = {n: query for n, (query, _) in specs.items()}
     sql = {n: text for n, (_, text) in specs.items()}
-    found |= {f.__name__: f for f in (pli_pca, pli_stability, vcf_round_trip, vcf_scores, weights_fold)}
+    found |= {f.__name__: f for f in (pli_pca, pli_stability, vcf_round_trip, vcf_variants, vcf_legend, vcf_autosomes, vcf_leaky, vcf_scores, weights_fold)}
     sql["vcf_round_trip"] = chain(geno(DUCKDB), "select variant_idx, count(*) as n, count(dosage) as calls, sum(dosage) as alleles from geno group by variant_idx")
+    sums, made = "count(*) as n, count(dosage) as calls, sum(dosage) as alleles", geno(DUCKDB)
+    sql["vcf_variants"] = chain(made, "select distinct chrom, pos, 'A' as ref, 'C' as alt from geno")
+    sql["vcf_legend"] = chain(made, f"select cast(dense_rank() over (order by variant_idx) - 1 as int) as variant_idx, chrom, pos, n, calls, alleles from (select variant_idx, chrom, pos, {sums} from geno where variant_idx % 3 = 0 group by all) t")
+    sql["vcf_autosomes"] = chain(made, f"select cast(dense_rank() over (order by variant_idx) - 1 as int) as variant_idx, case when chrom = '1' then 'chr1' else chrom end as chrom, chrom as var_chr, pos, n, calls, alleles from (select variant_idx, chrom, pos, {sums} from geno where chrom <> '2' group by all) t")
+    named = f"select coalesce('P' || p.s || '_', '') || 'LEAKY' || case when p.s is null then '_' else '' end || lpad(cast(n.i as varchar), 4, '0') as sample_id, n.i as sample_idx from {DUCKDB.series('i', 0, LEAKY_SAMPLES - 1)} n left join (select s, row_number() over (order by s) - 1 as r from (select distinct sample_idx as s from geno where cohort = 'TR') t) p on p.r = n.i and p.r < {LEAKY_NAMED}"
+    sql["vcf_leaky"] = chain(made | rel.ultra_rare(MAF_LIMIT) | generators.copycat(DUCKDB, LEAKY_SAMPLES) | {"named": named}, f"select sample_id, chrom, {sums} from leaky_geno join named using (sample_idx) group by all")
     sql["pli_pca"] = chain(geno(DUCKDB) | _DIST_CHECK | oracle.proximity(), _PCA_SELECT.format("0.01::double", "(select *, (select count(*) from varied) as kept_snps from pli) f"))
     sql["vcf_scores"] = chain(_VCF_CHECK, "select name, role, pli, kri, tli from scores")
     return found, sql

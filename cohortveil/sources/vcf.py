@@ -18,32 +18,40 @@ def dosage(call: Column) -> Column:
     return F.aggregate(F.transform(parts, lambda x: x.try_cast("int")), F.lit(0), lambda a, x: a + x).cast("double")
 
 
+#: Kept lines whose numbers are sent to the tasks at most.
+SENT_LINES = 1 << 20
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
-    """``value, line``: lines numbered in the order of the file, partitions first and their lines second."""
-    return lines.select("value", F.monotonically_increasing_id().alias("line"))
+    """``value, file, line``: each line's file and range, and a number that rises within it."""
+    told = F.struct("file", "start") if {"file", "start"} <= set(lines.columns) else F.struct(F.lit("").alias("file"), F.shiftright(F.monotonically_increasing_id(), 33).alias("start"))
+    return lines.select("value", told.alias("part"), F.monotonically_increasing_id().alias("nth"))
 
 
-def _consecutive(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``name``: 0, 1, 2, ... in the order of ``line``, one to a line.
+def consecutive(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, 2, ... in the order of ``part`` and ``nth``, which tell rows apart.
 
-    Lines are counted a partition; only these counts are summed up in one task,
-    so no task orders all lines.
+    Only these two are counted and ordered, a part a task at most; what else a row
+    holds stays where it is, as the numbers are sent to it (up to ``SENT_LINES``,
+    beyond that joined).
     """
-    part = F.shiftright("line", 33)
-    sizes = rows.groupBy(part.alias("_part")).count()
-    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy("line")) - 1
-    return rows.withColumn("_part", part).join(before, "_part").withColumn(name, (F.col("_before") + nth).cast("int")).drop("_part", "_before")
+    slim = rows.select("part", "nth")
+    sizes = slim.groupBy("part").count()
+    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a part
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("nth")) - 1
+    numbers = slim.select("part", "nth", nth.alias("_nth")).join(before, "part").select("part", "nth", (F.col("_before") + F.col("_nth")).cast("int").alias(name))
+    few = (sizes.agg(F.sum("count")).first()[0] or 0) <= SENT_LINES
+    return rows.join(F.broadcast(numbers) if few else numbers, ["part", "nth"]).drop("part", "nth")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a plain or gzipped text file (``.bgz`` must be named ``.gz`` for Hadoop's codec)."""
-    return spark.read.text(path)
+    """Lines of a plain or gzipped text file or folder, with their file and the range of it that they were read in."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def fields_of(lines: DataFrame) -> DataFrame:
-    """``line, f`` of data lines with ten fields or more."""
-    return _numbered(lines).where(~F.startswith("value", F.lit("#"))).select("line", F.split("value", "\t").alias("f")).where(F.size("f") >= 10)
+    """``part, nth, f`` of data lines with ten fields or more."""
+    return _numbered(lines).where(~F.startswith("value", F.lit("#"))).select("part", "nth", F.split("value", "\t").alias("f")).where(F.size("f") >= 10)
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -76,24 +84,39 @@ def autosome(chrom: Column) -> Column:
 def read_genotypes(lines: DataFrame, keep_full: DataFrame | None = None, keep_pos: DataFrame | None = None, autosomes_only: bool = False, all_alts: bool = False) -> DataFrame:
     """Genotype rows of the kept variants; ``keep_full`` (by key) goes before ``keep_pos`` (by place).
 
-    Variants are filtered before calls are parsed and exploded.  A key that
-    occurs twice stays twice.
+    ``lines`` are text (:func:`read_lines`) or variants of the data source
+    (``vcf_source.variant_lines``), which drops lines outside the kept places while
+    it reads.  Variants are filtered before calls are parsed and exploded.  A key
+    that occurs twice stays twice.
     """
-    rows = fields_of(lines).select("line", *_key(F.col("f"), all_alts), F.slice("f", 10, 1 << 30).alias("calls"))
+    if "calls" in lines.columns:
+        kept_places = keep_full if keep_full is not None else keep_pos
+        rows = lines if kept_places is None else _within(lines, kept_places)
+        rows = rows.select("part", "nth", "chrom", "pos", "ref", (F.col("alts") if all_alts else F.col("alt")).alias("alt"), F.split("calls", "\t").alias("calls"))
+    else:
+        rows = fields_of(lines).select("part", "nth", *_key(F.col("f"), all_alts), F.slice("f", 10, 1 << 30).alias("calls"))
     if autosomes_only:
         rows = rows.where(autosome(F.col("chrom")))
     if keep_full is not None:
         rows = rows.join(keep_full.select("chrom", "pos", "ref", "alt").distinct(), ["chrom", "pos", "ref", "alt"], "left_semi")
     elif keep_pos is not None:
         rows = rows.join(keep_pos.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
-    calls = _consecutive(rows, "variant_idx").select("variant_idx", "chrom", "pos", "ref", "alt", F.posexplode("calls").alias("sample_idx", "call"))
+    calls = consecutive(rows, "variant_idx").select("variant_idx", "chrom", "pos", "ref", "alt", F.posexplode("calls").alias("sample_idx", "call"))
     return calls.select("sample_idx", "variant_idx", "chrom", bare(F.col("chrom")).alias("var_chr"), "pos", "ref", "alt", dosage(F.col("call")).alias("dosage"))
 
 
+def _within(variants_: DataFrame, places: DataFrame) -> DataFrame:
+    """Variants on the places' chromosomes, between the least and the largest place: what the source can drop by itself."""
+    found = places.groupBy("chrom").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).collect()  # a row a chromosome
+    if not found:
+        return variants_.limit(0)
+    return variants_.where(F.col("chrom").isin([r.chrom for r in found]) & (F.col("pos") >= min(r.low for r in found)) & (F.col("pos") <= max(r.high for r in found)))
+
+
 def legend_positions(lines: DataFrame) -> DataFrame:
     """Distinct ``chrom, pos`` of a legend whose id (or first column) reads ``chrom:pos_...``; the header names the columns."""
     split = F.split(F.trim("value"), r"[\s,]+")
-    told = _numbered(lines).select("line", split.alias("f"))
+    told = _numbered(lines).select(F.struct("part", "nth").alias("line"), split.alias("f"))
     head = told.orderBy("line").limit(1).select(F.col("line").alias("head_line"), F.greatest(F.array_position("f", "id"), F.lit(1)).cast("int").alias("at"))
     ids = told.crossJoin(F.broadcast(head)).where("line <> head_line").select(F.element_at("f", F.col("at")).alias("id"))  # head is one row
     parts = F.split("id", ":")
@@ -123,8 +146,11 @@ def leaky_names(n: int, real: list[str]) -> list[str]:
 
 
 def write_vcf(genotypes: DataFrame, names: list[str], path: str, **how) -> None:
-    """Writes one text file: two header lines, the samples' line, and the variants in order."""
+    """Writes a folder of text files whose names follow the variants' order: two header lines and the samples' line in the first, the variants in ranges over all of them.
+
+    Many tasks write; one file after the other is the VCF text.
+    """
     spark = genotypes.sparkSession
     head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
     top = spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "variant_idx int, value string")
-    vcf_lines(genotypes, **how).unionByName(top).coalesce(1).sortWithinPartitions("variant_idx").select("value").write.mode("overwrite").text(path)
+    vcf_lines(genotypes, **how).unionByName(top).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx").select("value").write.mode("overwrite").text(path)

@@ -1,9 +1,13 @@
 import gzip
+import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, IsNotNull
 
-from cohortveil.sources import vcf
+from cohortveil.sources import vcf, vcf_source
 from cohortveil.streaming.allele_counts import allele_counts
 
 HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\n"
@@ -74,3 +78,54 @@ def test_cohorts_are_aligned_on_the_real_panel(spark, tmp_path):
     assert {k[1:]: v for k, v in got.items() if k[0] == "SYN"} == {(0, 0): ("2", 2), (1, 0): ("2", 0), (0, 1): ("1", None), (1, 1): ("1", None), (0, 2): ("1", 1), (1, 2): ("1", 0)}
     with pytest.raises(ValueError):
         cohorts.aligned(frames[0], {"SYN": frames[1].where("pos < 0")})
+
+
+def blocks_of(text, size):
+    """BGZF: blocks of so many bytes of text, and the empty one at the end."""
+    out = b""
+    for piece in [*(text[i : i + size] for i in range(0, len(text), size)), b""]:
+        pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+        data = pack.compress(piece) + pack.flush()
+        out += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(data) + 25) + data + struct.pack("<II", zlib.crc32(piece), len(piece))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "blocks", "gzip"])
+def test_source_by_ranges(spark, tmp_path, kind):
+    """Whatever the ranges' size, each line comes once, in order."""
+    rng = random.Random(4)
+    body = "".join(f"{rng.choice(('15', 'chr7', 'X'))}\t{i * 3}\t.\tA\t{rng.choice(('C', 'C,G'))}\t.\tPASS\t.\tGT\t" + "\t".join(rng.choice(("0/0", "0|1", "1/1", "./.")) for _ in range(rng.randrange(1, 40))) + "\n" for i in range(300))
+    text = (HEAD + body).encode()[:-1]
+    raw = {"plain": text, "blocks": blocks_of(text, 700), "gzip": gzip.compress(text)}[kind]
+    (tmp_path / "a.vcf.bgz").write_bytes(raw)
+    want = [tuple(line.split("\t", 9)) for line in body.splitlines()]
+    for span in (64, 1000, 5000, 1 << 20):
+        reader = vcf_source.Reader(str(tmp_path / "a.vcf.bgz"), span)
+        got = [(r["chrom"], r["pos"], r["alts"], r["calls"]) for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+        assert got == [(w[0], int(w[1]), w[4], w[9]) for w in want], span
+    assert vcf_source.sample_names(str(tmp_path / "a.vcf.bgz")) == ["s1", "s2", "s3"]
+    source = vcf_source.variant_lines(spark, str(tmp_path / "a.vcf.bgz"), 5000)
+    some = source.where("chrom = '15' and pos >= 100 and pos < 500")
+    assert sorted(r.pos for r in some.collect()) == [int(w[1]) for w in want if w[0] == "15" and 100 <= int(w[1]) < 500]
+    asked = vcf_source.Reader(str(tmp_path / "a.vcf.bgz"), 5000)
+    assert list(asked.pushFilters([EqualTo(("chrom",), "15"), IsNotNull(("pos",))])) == [IsNotNull(("pos",))]
+    assert sum(b.num_rows for part in asked.partitions() for b in asked.read(part)) == sum(w[0] == "15" for w in want)
+    keep = spark.createDataFrame([("15", int(w[1])) for w in want if w[0] == "15"][::4], "chrom string, pos int")
+    columns = ("sample_idx", "variant_idx", "chrom", "pos", "alt", "dosage")
+    (tmp_path / "b.vcf").write_bytes(text)
+    plain = sorted(map(str, vcf.read_genotypes(vcf.read_lines(spark, str(tmp_path / "b.vcf")), keep_pos=keep).select(*columns).collect()))
+    assert plain == sorted(map(str, vcf.read_genotypes(source, keep_pos=keep).select(*columns).collect())) and plain
+
+
+def test_parallel_writing_keeps_the_order(spark, tmp_path):
+    rows = [(i, j, "1", 1000 - j, "A", "C", float((i + j) % 3)) for i in range(3) for j in range(400)]
+    g = spark.createDataFrame(rows, "sample_idx int, variant_idx int, chrom string, pos int, ref string, alt string, dosage double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        vcf.write_vcf(g, ["a", "b", "c"], str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    for lines in (vcf.read_lines(spark, str(tmp_path / "out")), vcf_source.variant_lines(spark, str(tmp_path / "out"))):
+        got = vcf.read_genotypes(lines).select("sample_idx", "variant_idx", "pos", "dosage").collect()
+        assert sorted(map(tuple, got)) == sorted((i, j, p, d) for i, j, _, p, _, _, d in rows)
