@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import Dialect, d
 from ..operators.relations import Steps
 from ..sources import vcf
-from ..sources.shared import shared_folder
+from ..sources.shared import kept, shared_folder
 
 _KEY = ("chrom", "pos", "ref", "alt")
 
@@ -65,4 +65,4 @@ def written(genotypes: DataFrame, name: str, names: list[str] | None = None, **h
 
 def through_vcf(genotypes: DataFrame, name: str) -> DataFrame:
     """Genotypes written as VCF text, its samples numbered from 0 in their order, and read again."""
-    return vcf.read_genotypes(vcf.read_lines(genotypes.sparkSession, written(genotypes, name)))
+    return kept(vcf.read_genotypes(vcf.read_lines(genotypes.sparkSession, written(genotypes, name))))
