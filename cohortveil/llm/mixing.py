@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,16 +59,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     Reruns take the same: the offset comes from the seed and the source's name.
     """
     source_key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("c"), F.col(source_col)))
-    rows = docs.drop("source_size", "target", "copies").withColumns({"_key": source_key, "_slice": F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, slice_digits)})
-    cells = rows.select(F.col("_key").alias("source_key"), F.col(size_col).alias("size"), F.col("_slice").alias("slice")).groupBy("source_key", "size", "slice").count()
+    rows = docs.drop("source_size", "target", "copies")
+    key, cut, before, nth = fresh(docs.columns, "_key", "_slice", "_before", "_nth")
+    rows = rows.withColumns({key: source_key, cut: F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, slice_digits)})
+    cells = rows.select(F.col(key).alias("source_key"), F.col(size_col).alias("size"), F.col(cut).alias("slice")).groupBy("source_key", "size", "slice").count()
     aim = targets(cells.select("source_key", (F.col("size") * F.col("count")).alias("size")), **how)
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     by_size = cells.groupBy("source_key", "size").agg(F.sum("count").alias("n")).select("source_key", "size", F.coalesce(F.sum("n").over(up_to(Window.partitionBy("source_key").orderBy("size"))), zero).alias("before_size"))
     in_size = cells.select("source_key", "size", "slice", F.coalesce(F.sum("count").over(up_to(Window.partitionBy("source_key", "size").orderBy("slice"))), zero).alias("before_slice"))
-    offsets = in_size.join(by_size, ["source_key", "size"]).join(aim, "source_key").select(F.col("source_key").alias("_key"), F.col("size").alias(size_col), F.col("slice").alias("_slice"), (F.col("before_size") + F.col("before_slice")).alias("_before"), "source_size", "target")
-    numbered = rows.join(offsets, ["_key", size_col, "_slice"]).withColumn("_nth", F.col("_before") + F.row_number().over(Window.partitionBy("_key", size_col, "_slice").orderBy(id_col)))
+    offsets = in_size.join(by_size, ["source_key", "size"]).join(aim, "source_key").select(F.col("source_key").alias(key), F.col("size").alias(size_col), F.col("slice").alias(cut), (F.col("before_size") + F.col("before_slice")).alias(before), "source_size", "target")
+    numbered = rows.join(offsets, [key, size_col, cut]).withColumn(nth, F.col(before) + F.row_number().over(Window.partitionBy(key, size_col, cut).orderBy(id_col)))
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_key")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    taken = F.floor(start + rate * F.col("_nth")) - F.floor(start + rate * (F.col("_nth") - 1))
-    return numbered.withColumn("copies", F.least(taken, F.ceil(rate))).drop("_key", "_slice", "_before", "_nth")
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    taken = F.floor(start + rate * F.col(nth)) - F.floor(start + rate * (F.col(nth) - 1))
+    return numbered.withColumn("copies", F.least(taken, F.ceil(rate))).drop(key, cut, before, nth)

@@ -57,6 +57,14 @@ def terms_of(folded: str, shortest: int = 3, longest: int = 8) -> set[str]:
     return out
 
 
+def words_of(folded: str) -> Counter:
+    """How many distinct words of a text each term stands for; all of them under the empty term."""
+    out: Counter = Counter()
+    for word in set(folded.split()):
+        out.update([f" {word} ", "", *(f" {word[:k]}" for k in range(3, min(8, len(word)) + 1))])
+    return out
+
+
 def automaton(weights: dict[str, float], exceptions: tuple[str, ...] = ()) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term, weight in weights.items():
@@ -93,7 +101,7 @@ def figures(text: str, found: ahocorasick.Automaton | None) -> tuple[float, floa
 
 
 def _counted(sample: DataFrame, terms) -> DataFrame:
-    """``term, toxic, docs`` summed over the sample; ``terms`` gives a folded text's, each task adds its own first."""
+    """``term, toxic, docs`` summed over the sample; ``terms`` gives a folded text's (with their numbers, or one each), each task adds its own first."""
 
     def count(batches):
         toxic, docs = Counter(), Counter()
@@ -142,7 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_toxic: int =
     """Lexicon, exception phrases and the curve's weights.
 
     ``labels`` has doc_id and toxic; ``may_learn`` says of doc_id whether its
-    label may be used.  What the driver holds is bounded by the parameters.
+    label may be used.  A term must stand in ``min_docs`` toxic documents, or in a
+    tenth of them (3 at least) where these are few.  What the driver holds is bounded
+    by the parameters.
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda label, most: usable.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
@@ -151,10 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, max_toxic: int =
     n_toxic, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_toxic or n_toxic == n_all:
         return {}, (), np.array([0.0, 0.0, 0.0, -30.0])
+    min_docs = min(min_docs, max(3, n_toxic // 10))
     offered = _counted(sample.where("toxic = 1"), lambda folded, _: terms_of(folded)).where(F.col("toxic") >= min_docs).orderBy(F.desc("toxic"), "term").limit(max_terms)
     candidates = sample.sparkSession.sparkContext.broadcast(frozenset(r.term for r in offered.select("term").collect()))
-    seen = _counted(sample, lambda folded, _: terms_of(folded) & candidates.value).toArrow().to_pylist()
-    odds = {r["term"]: math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["docs"] - r["toxic"] + 0.5) / (n_all - n_toxic + 1)) for r in seen}
+    seen = _counted(sample, lambda folded, _: {t: n for t, n in words_of(folded).items() if not t or t in candidates.value}).toArrow().to_pylist()
+    of_toxic, of_all = next(((r["toxic"], r["docs"]) for r in seen if not r["term"]), (0, 0))
+    odds = {r["term"]: math.log((r["toxic"] + 0.5) / (of_toxic + 1)) - math.log((r["docs"] - r["toxic"] + 0.5) / (of_all - of_toxic + 1)) for r in seen if r["term"]}
     strong = {t: o for t, o in odds.items() if o >= min_odds}
     # a word's beginning stands for the longer ones that say no more
     lexicon = {t: o for t, o in strong.items() if not any(strong.get(t[:k], 0) >= o - 1e-9 or strong.get(t[:k], 0) >= min_odds + 1.5 for k in range(4, len(t)))}

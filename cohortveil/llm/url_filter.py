@@ -14,23 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import fresh
+
 #: Rules up to this many rows are broadcast; more are joined by shuffles.
 BROADCAST_RULES = 100_000
 
+#: Words that a URL to be blocked holds whole, by what they tell of.
+BLOCKED_WORDS = {
+    "adverts": "ads adserver adservice adsystem adclick adtrack advert adverts advertising banner-ads doubleclick.net googlesyndication.com adnxs.com taboola outbrain popunder clickbank",
+    "adult": "porn porno xxx xvideos pornhub escort escorts camgirls hentai milf nsfw",
+    "gambling": "casino casinos poker blackjack roulette betting sportsbook bookmaker slot-machines jackpot",
+    "medicine spam": "viagra cialis levitra tramadol xanax-online diet-pills",
+    "loans and fraud": "payday-loan payday-loans replica-watches get-rich-quick free-iphone lottery-winner bitcoin-doubler",
+    "malware and piracy": "warez keygen crackz serialkeys torrents phishing malware",
+    "machinery": "wp-login.php wp-admin wp-cron.php xmlrpc.php cgi-bin phpmyadmin .git .env shell.php",
+}
+#: Longer patterns.
+BLOCKED_SHAPES = ("^login^*^return_to=", "^signin^*^continue=", "^cart^*^add-to-cart=", "^calendar^*^action=", "^search^*^sort=", "^share^*^url=", "^action=edit^", "^replytocom=", "^utm_source=spam^")
 #: Patterns of the default list: ``*`` is any text, ``^`` a separator or the end.
-PATTERNS = (
-    ("^ads^", "block"),
-    ("^adserver^", "block"),
-    ("^doubleclick.net^", "block"),
-    ("^casino^", "block"),
-    ("^poker^", "block"),
-    ("^porn^", "block"),
-    ("^xxx^", "block"),
-    ("^viagra^", "block"),
-    ("^wp-login.php^", "block"),
-    ("^cgi-bin^", "block"),
-    ("^login^*^return_to=", "block"),
-)
+PATTERNS = tuple((f"^{word}^", "block") for words in BLOCKED_WORDS.values() for word in words.split()) + tuple((shape, "block") for shape in BLOCKED_SHAPES)
 
 
 def host_of(url: Column) -> Column:
@@ -115,7 +117,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, p
     table = rules.select("host", "path", "verdict").distinct() if isinstance(rules, DataFrame) else spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
     urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     by_rule, by_pattern = domain_verdicts(urls, table), pattern_verdicts(urls, patterns)
-    found = by_rule.join(by_pattern, "url", "full").select(F.col("url").alias("_url"), F.col("rule").alias("_rule"), F.coalesce("rule_verdict", "pattern_verdict").alias("_verdict"))
+    own_url, own_rule, own_verdict = fresh(pages.columns, "_url", "_rule", "_verdict")
+    found = by_rule.join(by_pattern, "url", "full").select(F.col("url").alias(own_url), F.col("rule").alias(own_rule), F.coalesce("rule_verdict", "pattern_verdict").alias(own_verdict))
     rows = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col])
-    joined = rows.join(found, F.col(url_col) == F.col("_url"), "left")
-    return joined.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "rule": F.col("_rule"), "verdict": F.coalesce("_verdict", F.lit(default))}).drop("_url", "_rule", "_verdict")
+    joined = rows.join(found, F.col(url_col) == F.col(own_url), "left")
+    return joined.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "rule": F.col(own_rule), "verdict": F.coalesce(own_verdict, F.lit(default))}).drop(own_url, own_rule, own_verdict)
