@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortveil.llm import decontaminate, mixing, near_dup, quality, substring_dedup
-from cohortveil.llm.tables import shared_folder, table
+from cohortveil.llm.tables import fresh, shared_folder, table
 
 #: SQL can't express the quality rules' hashed multinomials; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -27,10 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts alike in 0.8 of their shingles of five words: the one with the least id."""
-    first = near_dup.group(docs, width=5).where("is_first").select(F.col("key").alias("_first"), F.col("doc_id").alias("_first_id")).distinct()
-    rows = docs.withColumn("_row", F.struct(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").alias("id")))
-    kept = rows.join(first, (F.col("_row.key") == F.col("_first")) & F.col("_row.id").eqNullSafe(F.col("_first_id")), "left_semi")
-    return kept.dropDuplicates(["_row"]).select(docs.columns)
+    row, own_key, own_id = fresh(docs.columns, "_row", "_first", "_first_id")
+    first = near_dup.group(docs, width=5).where("is_first").select(F.col("key").alias(own_key), F.col("doc_id").alias(own_id)).distinct()
+    rows = docs.withColumn(row, F.struct(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").alias("id")))
+    kept = rows.join(first, (F.col(f"{row}.key") == F.col(own_key)) & F.col(f"{row}.id").eqNullSafe(F.col(own_id)), "left_semi")
+    return kept.dropDuplicates([row]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
