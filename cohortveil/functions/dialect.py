@@ -72,4 +72,6 @@ SPARK, DUCKDB = Dialect(True), Dialect(False)
 
 def d(x: float) -> str:
     """A double literal in either dialect."""
+    if x in (float("inf"), float("-inf")):
+        return f"cast('{'-' if x < 0 else ''}infinity' as double)"
     return f"cast({x!r} as double)"

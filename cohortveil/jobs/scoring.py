@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,13 +98,32 @@ def fit(q: Dialect, eps: float = 0.02, lam: float = 0.75, gamma: float = 1e-3) -
     }
 
 
-def fold_fit() -> str:
-    """Spark text over ``loss``: the walk over the grid in order that lets near-ties go to smaller, else more even, weights."""
-    h = " + ".join(f"case when {w} > 0 then -{w} * ln({w}) else 0D end" for w in W)
-    return f"""select best.w1, best.w2, best.w3 from (select aggregate(array_sort(collect_list(struct(i, j, loss, w1, w2, w3, w1 * w1 + w2 * w2 + w3 * w3 as far, {h} as even))),
-      cast(struct(0, 0, double('infinity'), 0D, 0D, 0D, 0D, 0D) as struct<i:int, j:int, loss:double, w1:double, w2:double, w3:double, far:double, even:double>),
-      (a, x) -> case when x.loss + 1e-12D < a.loss then x
-        when abs(x.loss - a.loss) <= 1e-12D and (x.far + 1e-15D < a.far or x.even > a.even + 1e-12D) then struct(x.i, x.j, a.loss, x.w1, x.w2, x.w3, x.far, x.even) else a end) as best from loss) t"""
+_TIE, _EVEN = 1e-12, " + ".join(f"(case when g.{w} > 0 then -g.{w} * ln(g.{w}) else {d(0.0)} end)" for w in W)
+
+
+def _folded(q: Dialect) -> str:
+    """The walk over ``i, j, loss, far, even`` in the grid's order: a lower loss is taken, and a near-tie of smaller, or else more even, weights."""
+    fields = ("i", "j", "loss", "far", "even")
+    tie = f"abs(x.loss - a.loss) <= {d(_TIE)} and (x.far + {d(1e-15)} < a.far or x.even > a.even + {d(1e-12)})"
+    step = f"case when x.loss + {d(_TIE)} < a.loss then x when {tie} then {q.row(i='x.i', j='x.j', loss='a.loss', far='x.far', even='x.even')} else a end"
+    rows = q.row(**{f: f for f in fields})
+    if q.spark:
+        return f"aggregate(array_sort(collect_list({rows})), {q.row(i='0', j='0', loss=d(math.inf), far=d(0.0), even=d(0.0))}, (a, x) -> {step})"
+    return f"list_reduce(list_sort(list({rows})), lambda a, x: {step})"
+
+
+def _near(loss: str, least: str, keys: tuple[str, ...], source: str) -> str:
+    """Points that the walk may end at: nothing is taken after a loss that isn't within a near-tie or two of the least one."""
+    by = "".join(f"{k}, " for k in keys)
+    return f"select {by}i, j, {loss} as loss, far, even from {source} where {loss} <= {least} + 3 * {d(_TIE)}"
+
+
+def fold_fit(q: Dialect, eps: float = 0.02, lam: float = 0.75, gamma: float = 1e-3) -> Steps:
+    """``weights`` like :func:`fit`, but by the walk."""
+    return {name: text for name, text in fit(q, eps, lam, gamma).items() if name != "weights"} | {
+        "loss_near": _near("g.loss", "m.low", (), f"(select g.i, g.j, g.loss, g.w1 * g.w1 + g.w2 * g.w2 + g.w3 * g.w3 as far, {_EVEN} as even from loss g) g cross join (select min(loss) as low from loss) m"),
+        "weights": f"select w.i, w.j, w.i * {d(0.01)} as w1, w.j * {d(0.01)} as w2, 1 - w.i * {d(0.01)} - w.j * {d(0.01)} as w3, w.loss from (select {_folded(q)} as w from loss_near) t",
+    }
 
 
 def scored() -> Steps:
@@ -186,16 +206,17 @@ def search(q: Dialect, eps: tuple[float, ...] = EPS_GRID, lam: tuple[float, ...]
     """``draw``: candidates' scores by configuration and draw, weights refitted for each; ``best``: those weights.
 
     The anchors' pooled risks depend on the draw and the weights alone, so they
-    are worked out once and met by all configurations, whose losses are compared
-    as whole numbers.
+    are worked out once and met by all configurations.  Of a draw's grid only the
+    points that the walk may end at are kept, and walked in order.
     """
     rows = lambda name, values: " union all ".join(f"select {d(v)} as {name}" for v in values)
     loss = "(e.lo - c.eps) * (e.lo - c.eps) + (e.hi - c.lam) * (e.hi - c.lam) + c.gamma * e.far"
     return grid(q) | {
         "config": f"select eps, lam, gamma from ({rows('eps', eps)}) a cross join ({rows('lam', lam)}) b cross join ({rows('gamma', gamma)}) c",
-        "ends_w": f"select j.b, g.i, g.j, w1 * w1 + w2 * w2 + w3 * w3 as far, {_jit_raw('safe')} as lo, {_jit_raw('leaky')} as hi from jit j cross join grid g",
-        "lowest": f"select c.eps, c.lam, c.gamma, e.b, {_lowest(loss)} as key from ends_w e cross join config c group by c.eps, c.lam, c.gamma, e.b",
-        "best": f"select p.eps, p.lam, p.gamma, p.b, g.w1, g.w2, g.w3 from (select eps, lam, gamma, b, {_point(q, 'key')} from lowest) p join grid g on g.i = p.i and g.j = p.j",
+        "ends_w": f"select j.b, g.i, g.j, w1 * w1 + w2 * w2 + w3 * w3 as far, {_EVEN} as even, {_jit_raw('safe')} as lo, {_jit_raw('leaky')} as hi from jit j cross join grid g",
+        "lowest": f"select c.eps, c.lam, c.gamma, e.b, min({loss}) as low from ends_w e cross join config c group by c.eps, c.lam, c.gamma, e.b",
+        "near_w": _near(loss, "l.low", ("c.eps", "c.lam", "c.gamma", "e.b"), "ends_w e cross join config c join lowest l on l.eps = c.eps and l.lam = c.lam and l.gamma = c.gamma and l.b = e.b"),
+        "best": f"select p.eps, p.lam, p.gamma, p.b, g.w1, g.w2, g.w3 from (select eps, lam, gamma, b, {_folded(q)} as w from near_w group by eps, lam, gamma, b) p join grid g on g.i = p.w.i and g.j = p.w.j",
         "draw": f"select g.eps, g.lam, g.gamma, g.b, s.name, s.ord, {_raw('s')} as r_raw, {calibrate(_raw('s'), _jit_raw('safe'), _jit_raw('leaky'))} as score from best g join jit j on j.b = g.b cross join (select * from scores where role = 'candidate') s",
         "weight_stats": "select eps, lam, gamma, count(*) as n_boot, " + ", ".join(f"avg({w}) as {w}_mean, coalesce(stddev_samp({w}), 0) as {w}_sd" for w in W) + " from best group by eps, lam, gamma",
     }

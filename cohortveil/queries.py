@@ -252,7 +252,7 @@ KERNEL: dict[str, Spec] = {
 
 SCORE_SAMPLES, BOOT, GRID_BOOT = 60, 1000, 600
 SYNTHETIC = ("G0", "G1", "G2", "LEAKY", "SAFE")
-_DRAWN = lambda q: scoring.fit(q) | scoring.scored() | scoring.jittered(q, BOOT) | scoring.draws_fixed()
+_DRAWN = lambda q: scoring.fold_fit(q) | scoring.scored() | scoring.jittered(q, BOOT) | scoring.draws_fixed()
 _KEYS = ("eps", "lam", "gamma")
 _GRID = lambda q: scoring.jittered(q, GRID_BOOT) | scoring.search(q) | scoring.rankings(q, keys=_KEYS) | scoring.tau_null(_KEYS)
 _REFIT = lambda q: scoring.jittered(q, BOOT) | scoring.search(q, (0.02,), (0.80,), (1e-3,)) | scoring.draw_stats(q)
@@ -266,6 +266,7 @@ def _p_texts(q: Dialect, source: str) -> Steps:
 SCORE_TEXT: dict[str, tuple[Callable[[Dialect], Steps], str]] = {
     "score_components": (lambda q: {}, "select name, role, pli, kri, tli from scores"),
     "weights_fit": (lambda q: scoring.fit(q), "select round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(loss, 9) as loss from weights"),
+    "weights_fold": (lambda q: scoring.fold_fit(q), "select round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(loss, 9) as loss from weights"),
     "targets_from_anchors": (lambda q: scoring.targets(), "select eps, lam from targets"),
     "score_raw": (lambda q: scoring.fit(q) | scoring.scored(), "select name, role, round(r_raw, 6) as r_raw from scored"),
     "score_calibrated": (lambda q: scoring.fit(q) | scoring.scored(), "select name, round(r_raw, 6) as r_raw, round(score, 4) as score from scored"),
@@ -320,10 +321,6 @@ def _on_scores(steps: Callable[[Dialect], Steps], select: str) -> Spec:
     return lambda spark, sf_dir: scores_frame(spark, sf_dir).sql(steps(SPARK), select), chain(_scores_check() | steps(DUCKDB), select)
 
 
-def weights_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores_frame(spark, sf_dir).sql(scoring.fit(SPARK), scoring.fold_fit())
-
-
 def _proximity_rows(job: Job, quantile: float = 0.01) -> DataFrame:
     return job.sql(rel.proximity(SPARK, quantile), "select rho, r_p, a, r_a, pli, kept_snps from pli cross join (select count(*) as kept_snps from poly) k")
 
@@ -357,10 +354,11 @@ def pli_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genotypes written as a VCF file and read again."""
     read = cohorts.through_vcf(Job(spark, sf_dir).frames["geno"], "all")
-    return read.groupBy("variant_idx").agg(F.count("*").alias("n"), F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
+    return _sums(read, "variant_idx")
 
 
-_VCF_SUMS = (F.count("*").alias("n"), F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
+def _sums(calls: DataFrame, *keys: str) -> DataFrame:
+    return calls.groupBy(*keys).agg(F.count("*").alias("n"), F.count("dosage").alias("calls"), F.sum("dosage").alias("alleles"))
 
 
 def vcf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +376,7 @@ def vcf_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.unionByName(head).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx").select("value").write.text(legend)
     keep = kept(vcf.legend_positions(vcf.read_lines(spark, legend)))
     read = vcf.read_genotypes(vcf_source.variant_lines(spark, path), keep_pos=keep)
-    return read.groupBy("variant_idx", "chrom", "pos").agg(*_VCF_SUMS)
+    return _sums(read, "variant_idx", "chrom", "pos")
 
 
 def vcf_autosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +384,7 @@ def vcf_autosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.when(F.col("chrom") == "1", "chr1").when(F.col("chrom") == "2", "X").otherwise(F.col("chrom"))
     path = cohorts.written(Job(spark, sf_dir).frames["geno"].withColumn("chrom", named), "all")
     read = vcf.read_genotypes(vcf.read_lines(spark, path), autosomes_only=True)
-    return read.groupBy("variant_idx", "chrom", "var_chr", "pos").agg(*_VCF_SUMS)
+    return _sums(read, "variant_idx", "chrom", "var_chr", "pos")
 
 
 LEAKY_SAMPLES, LEAKY_NAMED = 100, 60
@@ -399,7 +397,7 @@ def vcf_leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = [f"P{r.sample_idx}" for r in job.sql({}, f"select distinct sample_idx from geno where cohort = 'TR' order by sample_idx limit {LEAKY_NAMED}").collect()]  # the header's line
     path = cohorts.written(leaky, "leaky", vcf.leaky_names(LEAKY_SAMPLES, people), strip_chr=True)
     read = vcf.read_genotypes(vcf.read_lines(spark, path)).join(vcf.samples(vcf.read_lines(spark, path)), "sample_idx")
-    return read.groupBy("sample_id", "chrom").agg(*_VCF_SUMS)
+    return _sums(read, "sample_id", "chrom")
 
 
 def vcf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,7 +423,7 @@ def _build() -> tuple[dict, dict]:
     specs: dict[str, Spec] = {n: _same(geno, *s) for n, s in TEXT.items()} | {n: _same(events_geno, *s) for n, s in EVENT_TEXT.items()} | KERNEL | {n: _on_scores(*s) for n, s in SCORE_TEXT.items()}
     found = {n: query for n, (query, _) in specs.items()}
     sql = {n: text for n, (_, text) in specs.items()}
-    found |= {f.__name__: f for f in (pli_pca, pli_stability, vcf_round_trip, vcf_variants, vcf_legend, vcf_autosomes, vcf_leaky, vcf_scores, weights_fold)}
+    found |= {f.__name__: f for f in (pli_pca, pli_stability, vcf_round_trip, vcf_variants, vcf_legend, vcf_autosomes, vcf_leaky, vcf_scores)}
     sql["vcf_round_trip"] = chain(geno(DUCKDB), "select variant_idx, count(*) as n, count(dosage) as calls, sum(dosage) as alleles from geno group by variant_idx")
     sums, made = "count(*) as n, count(dosage) as calls, sum(dosage) as alleles", geno(DUCKDB)
     sql["vcf_variants"] = chain(made, "select distinct chrom, pos, 'A' as ref, 'C' as alt from geno")

@@ -266,7 +266,7 @@ def test_weights_and_scores(spark):
     (w,) = run(spark, scoring.fit(SPARK), "select * from weights", scores=scores(spark, fitted))
     assert (round(w["w1"], 6), round(w["w2"], 6), round(w["w3"], 6)) == (0.22, 0.11, 0.67) and w["loss"] == pytest.approx(0.000637211, abs=1e-9)
     assert run(spark, scoring.grid(SPARK), "select count(*) as n from grid")[0]["n"] == 5116
-    (best,) = run(spark, scoring.fit(SPARK), scoring.fold_fit(), scores=scores(spark, fitted))
+    (best,) = run(spark, scoring.fold_fit(SPARK), "select * from weights", scores=scores(spark, fitted))
     assert best["w1"] == pytest.approx(0.22)
     weights = spark.createDataFrame([(22, 11, 0.22, 0.11, 0.67)], "i int, j int, w1 double, w2 double, w3 double")
     got = {r["name"]: (r["r_raw"], r["score"]) for r in run(spark, scoring.scored(), "select * from scored", scores=scores(spark), weights=weights)}
@@ -288,10 +288,32 @@ def test_refitted_weights_follow_the_search(spark):
     got = {(r["eps"], r["lam"], r["gamma"]): (r["w1"], r["w2"], r["w3"]) for r in run(spark, scoring.jittered(SPARK, 1, 0.0) | scoring.search(SPARK), "select * from best", scores=table)}
     assert len(got) == 60
     for eps, lam, gamma in list(got)[::13]:
-        (w,) = run(spark, scoring.fit(SPARK, eps, lam, gamma), "select w1, w2, w3 from weights", scores=table)
+        (w,) = run(spark, scoring.fold_fit(SPARK, eps, lam, gamma), "select w1, w2, w3 from weights", scores=table)
         assert got[eps, lam, gamma] == pytest.approx((w["w1"], w["w2"], w["w3"]))
 
 
+def test_near_ties_go_to_smaller_or_more_even_weights(spark):
+    """The pruned walk ends where a walk over the whole grid does, also where whole lines of the grid are near-ties."""
+    tables = {"flat": [("safe", "safe anchor", 0.0, 0.0, 0.0), ("leaky", "leaky anchor", 1.0, 1.0, 1.0)], "two": [("safe", "safe anchor", 0.1, 0.1, 0.0), ("leaky", "leaky anchor", 0.9, 0.9, 0.2)], "other": [("safe", "safe anchor", 0.03, 0.1, 0.02), ("leaky", "leaky anchor", 0.9, 0.4, 0.8)]}
+    for table in tables.values():
+        safe, leaky = (np.array(row[2:]) for row in table)
+        for gamma in (0.0, 1e-3):
+            best = (None, np.inf, np.inf, 0.0)
+            for i in range(101):
+                for j in range(101):
+                    w = np.array([i * 0.01, j * 0.01, 1 - i * 0.01 - j * 0.01])
+                    if w[2] < 0:
+                        continue
+                    pool = lambda r, w=w: 1 - np.prod(1 - w / w.sum() * r)
+                    loss, far, even = (pool(safe) - 0.02) ** 2 + (pool(leaky) - 0.75) ** 2 + gamma * (w**2).sum(), (w**2).sum(), -sum(x * math.log(x) for x in w if x > 0)
+                    if loss + 1e-12 < best[1]:
+                        best = ((i, j), loss, far, even)
+                    elif abs(loss - best[1]) <= 1e-12 and (far + 1e-15 < best[2] or even > best[3] + 1e-12):
+                        best = ((i, j), best[1], far, even)
+            (got,) = run(spark, scoring.fold_fit(SPARK, gamma=gamma), "select * from weights", scores=scores(spark, table))
+            assert (got["i"], got["j"]) == best[0], (table, gamma)
+
+
 def test_a_given_table_is_scored(spark):
     table = scoring.listed(spark, [(n, p, k, t, r) for n, r, p, k, t, *_ in TABLE])
     got = {r["name"]: r["score"] for r in run(spark, scoring.given() | scoring.fit(SPARK) | scoring.scored(), "select * from scored", given=table)}
