@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .tables import bounded_batches
 from .url_filter import host_of
 
@@ -246,8 +247,7 @@ def extract(pages: DataFrame, min_pages: int = 10, id_col: str = "page_id", url_
                 wholes += [page.hash] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(wholes, pa.int64())], names=["key", "host", "hash", "page"])
 
-    # read once to count subtrees and once to find each page's: what all pages hold together is more than the pages
-    held = rows.select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(subtrees, "key long, host string, hash long, page long")
+    held = kept(rows.select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(subtrees, "key long, host string, hash long, page long"))
     counts = held.select("host", "hash", "page").distinct().groupBy("host", "hash").count()
     common = counts.where(F.col("count") >= min_pages).select("host", "hash")
     own = held.join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates"))
