@@ -237,20 +237,19 @@ def extract(pages: DataFrame, min_pages: int = 10, id_col: str = "page_id", url_
 
     def subtrees(batches):
         for batch in batches:
-            keys, hosts, found, wholes = [], [], [], []
-            for key, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found, wholes = [], []
+            for source in batch.column("html").to_pylist():
                 page = read_page(source)
-                own = template_hashes(page)
-                keys += [key] * len(own)
-                hosts += [host] * len(own)
-                found += own
-                wholes += [page.hash] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(wholes, pa.int64())], names=["key", "host", "hash", "page"])
-
-    held = kept(rows.select("key", host_of(F.col("url")).alias("host"), "html").mapInArrow(subtrees, "key long, host string, hash long, page long"))
-    counts = held.select("host", "hash", "page").distinct().groupBy("host", "hash").count()
+                found.append(sorted(template_hashes(page)))
+                wholes.append(page.hash)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), pa.array(wholes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "host", "page", "hashes"])
+
+    host = F.xxhash64(host_of(F.col("url"))).alias("host")
+    held = kept(rows.select("key", host, "html").mapInArrow(subtrees, "key long, host long, page long, hashes array<long>"))
+    once = held.groupBy("host", "page").agg(F.first("hashes").alias("hashes"))  # pages of one hash have the same subtrees
+    counts = once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").count()
     common = counts.where(F.col("count") >= min_pages).select("host", "hash")
-    own = held.join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates"))
+    own = held.select("key", "host", F.explode("hashes").alias("hash")).join(common, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates"))
 
     def texts(batches):
         for batch in batches:
