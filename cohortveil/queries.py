@@ -208,7 +208,7 @@ _TLI = "select round(r_mia, 6) as r_mia, round(r_uniq, 6) as r_uniq, round(great
 _EVT_TLI = "select round(auc, 6) as auc, n_used, round(u, 6) as u, round(u0, 6) as u0, round(greatest(r_mia, r_uniq), 6) as tli from mia m cross join uniq u"
 _KRI_ROW = "select round(r_replay, 6) as r_replay, round(r_ike, 6) as r_ike, round(r_hap, 6) as r_hap, round(r_spec, 6) as r_spec, round(greatest(r_replay, r_ike, r_hap, r_spec), 6) as kri from replay cross join (select max(r) as r_ike from ike) i cross join hap_risk cross join {}"
 
-_KRI_PARTS = f"""select 'replay' as risk, 0.125 as theta, round(obs, 6) as obs, round(base, 6) as base, round(sd, 6) as sd, cast(null as double) as most, n_real_close, n_syn_close, round(r_replay, 6) as r, {DRAWS} as n_boot from replay
+_KRI_PARTS = f"""select 'replay' as risk, 0.125 as theta, round(obs, 6) as obs, round(base, 6) as base, round(sd, 6) as sd, cast(null as double) as most, cast(n_real_close as double) as n_real_close, cast(n_syn_close as double) as n_syn_close, round(r_replay, 6) as r, {DRAWS} as n_boot from replay
 union all select 'excess', theta, round(frac, 6), round(f0, 6), null, null, null, null, round(r, 6), {DRAWS} from ike
 union all select 'haplotypes', null, round(obs, 6), round(base, 6), null, round(cmax, 6), null, null, round(r_hap, 6), {DRAWS} from hap_risk
 union all select 'spectral', null, round(s, 6), round(s0, 6), null, null, null, null, round(r_spec, 6), {DRAWS} from {{spec}}""".replace("0.125 as theta", "cast(0.125 as double) as theta")
