@@ -104,6 +104,15 @@ def test_license_scan_cases(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_license_scan_words_are_split_not_extracted(spark):
+    """Words are those of the pattern whatever stands around them, and no plan extracts them one match at a time."""
+    texts = ["", " ", "...", "\x00a\x00", "a", "-a--b-", "cc\tby", "\u00e9\ud7ff-\U0001f600x", "a" * 3000 + "\n", "0:9@a[z`b{c\x7fd"]
+    docs = spark.createDataFrame([(n, x) for n, x in enumerate(texts)], "doc_id long, text string")
+    got = docs.select("doc_id", license_scan.words_of("text").alias("own"), F.regexp_extract_all("text", F.lit(license_scan.PLAIN), F.lit(0)).alias("want")).collect()
+    assert [r.own for r in got] == [r.want for r in got]
+    assert "regexp_extract_all" not in license_scan.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_license_scan_finds_every_block_over_the_share(spark):
     """Random texts over few words against trying each block with each piece."""
     rng = random.Random(2)
