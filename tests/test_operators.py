@@ -350,3 +350,74 @@ def test_known_values_on_the_small_tables(spark):
     assert (r.n_used, r.u, r.u0, r.r_uniq) == (8, 0, 0.193258, 0)
     assert q["replay_js"](spark, SMALL).first().m == 0.984892
     assert math.isclose(q["pli_pca"](spark, SMALL).first().pli, 0.13, abs_tol=0.2)
+
+
+def test_pairs_are_counted_by_edges_without_a_row_each(spark):
+    """Counts by cell are those of all pairs, of draws with multiplicity, for tiles of any size; values on an edge reach it."""
+    rng = np.random.default_rng(5)
+    std = spark.createDataFrame([(c, 10 * i + 1, j, float(x)) for c, n in (("HO", 13), ("SYN", 9)) for i in range(n) for j, x in enumerate(rng.normal(size=6))], "cohort string, sample_idx long, variant_idx int, x double")
+    mult = spark.createDataFrame([(b, 10 * i + 1, int(c)) for b in range(3) for i, c in enumerate(rng.integers(0, 4, 13)) if c], "b int, sample_idx long, c long")
+    every = kernels.kinship(std, 4, 6).toPandas()
+    told = sorted([0.1, float(every.k[every.k > 0.2].iloc[0]), 0.5])
+    cell = np.searchsorted(told, every.k, "right")
+    c = {(r.b, r.sample_idx): r.c for r in mult.collect()}
+    for tile, block in ((None, 2048), (4, 6), (5, 4)):
+        table = blocks.packed(std, tile, block)
+        got = kernels.kinship_cells(table, told, mult).toPandas()
+        assert dict(got[got.own].groupby("cohort").n.sum()) == {"HO": 13, "SYN": 9}
+        for cohort in ("HO", "SYN"):
+            for e, low in enumerate(told, 1):
+                some = got[(got.cohort == cohort) & ~got.own & got.b.isna() & (got.k == low)]
+                assert some.n.sum() == ((every.cohort == cohort) & (every.i < every.j) & (cell == e)).sum()
+        for b in range(3):
+            w = np.array([(c.get((b, r.i), 0) * (c.get((b, r.i), 0) - 1) / 2 if r.i == r.j else c.get((b, r.i), 0) * c.get((b, r.j), 0)) * (r.cohort == "HO") for r in every.itertuples()])
+            for e, low in enumerate(told, 1):
+                some = got[(got.b == b) & (got.k == low)]
+                assert some.n.sum() == w[cell == e].sum() and some.mass.sum() == pytest.approx((w * every.k)[cell == e].sum(), abs=1e-9)
+
+
+def test_kinship_queries_write_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "kinship", lambda *a, **k: pytest.fail("a row a pair"))
+    for name in ("grm_trace", "kin_hist", "replay_js", "boot_kin", "kri_no_draws", "value_boot", "kri_breakdown"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_narrow_panels_take_one_pass(spark, monkeypatch):
+    """Eigenvalues and components of a narrow panel come from its variants' products, and are those of the solver."""
+    rng = np.random.default_rng(6)
+    std = spark.createDataFrame([(c, i, j, float(x)) for c, n in (("TR", 30), ("HO", 8)) for i in range(n) for j, x in enumerate(rng.normal(size=12))], "cohort string, sample_idx long, variant_idx int, x double")
+    table = kernels.centred(std)
+    got = {}
+    for way in (True, False):
+        monkeypatch.setattr(kernels, "narrow", lambda blocks, way=way: way)
+        if way:
+            monkeypatch.setattr(kernels, "leading", lambda *a, **k: pytest.fail("the solver ran"))
+        got[way] = {(r.cohort, r.sample_idx): np.array(r.v) for r in kernels.component_points(table, 4).collect()}, {r.cohort: (r.trace, r.top, r.ratio) for r in kernels.spectral(table).collect()}
+        monkeypatch.undo()
+    (a, spec), (b, want) = got[True], got[False]
+    assert set(a) == set(b) and all(np.allclose(np.abs(a[x]), np.abs(b[x]), atol=1e-7) for x in a)
+    assert set(spec) == set(want) and all(spec[x] == pytest.approx(want[x], rel=1e-9) for x in spec)
+
+
+def test_value_draws_are_dealt_in_runs(spark, monkeypatch):
+    """Draws that need more values than a row can hold: a cohort's pairs are met in runs, and picks are the same."""
+    cells = [("HO", True, None, 300), ("SYN", True, None, 300), ("HO", False, 0.1, 900), ("SYN", False, 0.1, 700), ("HO", False, 0.25, 90), ("SYN", False, 0.14, 70)]
+    kin_n = spark.createDataFrame(cells, "cohort string, own boolean, k double, n long")
+    found = []
+    for slots in (1 << 16, 1000):
+        monkeypatch.setattr(rel, "_SLOTS", slots)
+        steps = rel.tails((0.1, 0.25)) | rel.histogram(SPARK) | rel.value_draws(SPARK, 2, (0.1, 0.25))
+        steps.pop("kin_n")
+        found.append(sorted(map(str, run(spark, steps, "select * from value_null", kin_n=kin_n))))
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_membership_orders_distinct_distances_only(spark):
+    l1 = spark.createDataFrame([("SYN", "TR" if i % 3 else "HO", i, float(i * i % 7)) for i in range(60)], "name string, cohort string, sample_idx long, dist double")
+    told = spark.sql("select * from {l1}", l1=l1).toPandas()
+    mid = (-told.dist).rank(method="average")
+    t, h = (told.cohort == "TR").sum(), (told.cohort == "HO").sum()
+    (r,) = run(spark, rel.membership(), "select * from mia", l1=l1)
+    assert r["auc"] == pytest.approx((mid[told.cohort == "TR"].sum() - t * (t + 1) / 2) / (t * h))
+    (n,) = run(spark, rel.membership(), "select count(*) as n from ranked", l1=l1)
+    assert n["n"] == told.dist.nunique()
