@@ -238,6 +238,51 @@ def test_words_of_small_groups_count_fully(spark):
         assert sum(r.score for r in own) > sum(r.base_score - 0.25 * r.n_tokens for r in own), g
 
 
+def test_any_number_of_groups_has_contexts(spark):
+    """Words of twenty groups, all of the same letters: a text of the smallest one is still told by its own group's contexts."""
+    import numpy as np
+
+    rng = random.Random(11)
+    words = [["".join(rng.choices("abcdef", k=6)) for _ in range(12)] for _ in range(20)]
+    rows = [(100 * g + i, " ".join(rng.choices(words[g], k=60)), f"l{g:02d}") for g in range(20) for i in range(60 - 2 * g)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mean = {}
+    for name, some in (("told", docs), ("none", docs.withColumn("lang", F.lit(None).cast("string")))):
+        got = lm_score.score(some, F.col("doc_id") % 10 == 0).where("held_out").collect()
+        mean[name] = [np.mean([r.score / r.n_tokens for r in got if r.doc_id // 100 == g]) for g in range(20)]
+    gain = np.array(mean["told"]) - np.array(mean["none"])
+    assert gain[8:].min() > 0.1 and gain[8:].mean() > 0.5 * gain[:8].mean()
+
+
+def test_groups_told_by_evidence():
+    """Against sums by hand over the earlier runs; and in pieces of texts."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    begin, of_group, rise = np.array([0, 1, 3, 5, 5]), np.array([0, 1, 2, 0, 2]), np.array([300, 200, 250, 100, 400])
+    absent, prior = np.array([0, -3, -20]), np.array([-10, -40, -90])
+    sizes = [0, 1, 7, 30, 90]
+    slots = [rng.integers(-1, 4, n) for n in sizes]
+    want = []
+    for slot in slots:
+        edges = lm_score.runs(np.array([len(slot)]))
+        for i in range(len(slot)):
+            earlier = [s for s in slot[: max(e for e in edges if e <= i)] if s >= 0]
+            sums = prior + len(earlier) * absent
+            for s in earlier:
+                for at in range(begin[s], begin[s + 1]):
+                    sums[of_group[at]] += rise[at]
+            top = np.sort(sums)
+            want.append(int(sums.argmax()) if top[-1] - top[-2] >= lm_score._WHOLE * lm_score.SURE else -1)
+    ask = lambda: lm_score.groups_told(np.concatenate(slots), np.repeat(np.arange(5), sizes), 5, (begin, of_group, rise), absent, prior).tolist()
+    assert ask() == want and len(set(want)) > 2
+    held, lm_score._SUMS = lm_score._SUMS, 4
+    try:
+        assert ask() == want
+    finally:
+        lm_score._SUMS = held
+
+
 def small_model(words, group=-1):
     """What the own contexts of each word predict, with empty tables."""
     import numpy as np
