@@ -228,6 +228,16 @@ def test_held_out_texts_teach_nothing(spark):
     assert all(one[i] == pytest.approx(two[i], abs=1e-9) for i in one if i % 10)
 
 
+def test_scores_are_the_same_in_small_pieces(spark, monkeypatch):
+    """However few bytes of texts a task meets at once, counts and scores are the same."""
+    docs = spark.createDataFrame(lm_docs(random.Random(10), 60), "doc_id long, text string, lang string").coalesce(1)
+    one = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") % 10 == 0).collect()}
+    monkeypatch.setattr(lm_score, "_TEXT_BYTES", 50)
+    two = {r.doc_id: r for r in lm_score.score(docs, F.col("doc_id") % 10 == 0).collect()}
+    for i, r in one.items():
+        assert two[i][:5] == r[:5] and two[i].base_score == pytest.approx(r.base_score, abs=1e-9) and two[i].score == pytest.approx(r.score, abs=1e-9)
+
+
 def test_words_of_small_groups_count_fully(spark):
     """Ten groups with words of their own, the ninth, tenth and those without a name too: none is below its counts by much."""
     rng = random.Random(7)
