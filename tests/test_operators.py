@@ -421,3 +421,17 @@ def test_membership_orders_distinct_distances_only(spark):
     assert r["auc"] == pytest.approx((mid[told.cohort == "TR"].sum() - t * (t + 1) / 2) / (t * h))
     (n,) = run(spark, rel.membership(), "select count(*) as n from ranked", l1=l1)
     assert n["n"] == told.dist.nunique()
+
+
+def test_narrow_panels_send_no_vectors_of_samples(spark, monkeypatch):
+    """On a panel of few variants neither eigenvalues nor components go by vectors over samples, which were sent to the driver and back step after step."""
+    rng = np.random.default_rng(5)
+    std = spark.createDataFrame([(c, i, j, float(v)) for c in ("TR", "HO") for (i, j), v in np.ndenumerate(rng.normal(size=(30, 6)))], "cohort string, sample_idx long, variant_idx int, x double")
+
+    def refuse(*args, **named):
+        raise AssertionError("vectors over samples")
+
+    for name in ("leading", "transposed_times"):
+        monkeypatch.setattr(kernels, name, refuse)
+    assert kernels.spectral(std).count() == 2
+    assert kernels.component_points(kernels.centred(std), 3).count() == 60
