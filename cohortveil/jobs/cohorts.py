@@ -27,10 +27,11 @@ def aligned(real: DataFrame, others: dict[str, DataFrame], strip_chr: bool = Tru
     by chromosome don't count them as autosomes; ``strip_chr=False`` leaves the
     names (and then ``chr15`` has neither).
     """
-    panel = real.groupBy(*_KEY).agg(F.min("variant_idx").alias("variant_idx")).withColumn("bare", vcf.bare(F.col("chrom")) if strip_chr else F.col("chrom"))
+    first_of = lambda frame: kept(frame.groupBy(*_KEY).agg(F.min("variant_idx").alias("variant_idx")))  # noqa: E731 -- a row a variant, written: its told size is its own, so cells aren't shuffled to meet it
+    panel = first_of(real).withColumn("bare", vcf.bare(F.col("chrom")) if strip_chr else F.col("chrom"))
     out = real.join(panel.select("variant_idx", F.col("bare").alias("chrom_")), "variant_idx").select(F.lit("REAL").alias("cohort"), F.col("sample_idx").cast("long").alias("sample_idx"), "variant_idx", F.col("chrom_").alias("chrom"), "pos", "dosage")
     for name, frame in others.items():
-        first = frame.join(frame.groupBy(*_KEY).agg(F.min("variant_idx").alias("variant_idx")), [*_KEY, "variant_idx"], "left_semi")
+        first = frame.join(first_of(frame), [*_KEY, "variant_idx"], "left_semi")
         calls = first.join(panel.withColumnRenamed("variant_idx", "panel_idx"), list(_KEY)).select("sample_idx", F.col("panel_idx").alias("variant_idx"), "dosage")
         if calls.isEmpty():
             raise ValueError(f"{name} shares no variant with the real panel")
@@ -56,10 +57,8 @@ def divided(cohort: str = "REAL") -> Steps:
 
 def written(genotypes: DataFrame, name: str, names: list[str] | None = None, **how) -> str:
     """The folder below the shared one to which genotypes were written as VCF text, samples in the order of their numbers."""
-    spark = genotypes.sparkSession
-    people = names or [f"{name}_{r.sample_idx}" for r in genotypes.select("sample_idx").distinct().orderBy("sample_idx").collect()]  # the header's line
-    path = f"{shared_folder(spark)}/vcf-{uuid.uuid4().hex}/{name}"
-    vcf.write_vcf(genotypes.withColumns({"ref": F.lit("A"), "alt": F.lit("C")}), people, path, **how)
+    path = f"{shared_folder(genotypes.sparkSession)}/vcf-{uuid.uuid4().hex}/{name}"
+    vcf.write_vcf(genotypes.withColumns({"ref": F.lit("A"), "alt": F.lit("C")}), names or name, path, **how)
     return path
 
 

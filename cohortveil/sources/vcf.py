@@ -145,12 +145,19 @@ def leaky_names(n: int, real: list[str]) -> list[str]:
     return [f"{real[i]}_LEAKY{i:04d}" if i < len(real) else f"LEAKY_{i:04d}" for i in range(n)]
 
 
-def write_vcf(genotypes: DataFrame, names: list[str], path: str, **how) -> None:
+def write_vcf(genotypes: DataFrame, names: list[str] | str, path: str, **how) -> None:
     """Writes a folder of text files whose names follow the variants' order: two header lines and the samples' line in the first, the variants in ranges over all of them.
 
-    Many tasks write; one file after the other is the VCF text.
+    ``names``: the samples' names in order, or a text that each one's number
+    follows.  Many tasks write; one file after the other is the VCF text.
     """
-    spark = genotypes.sparkSession
-    head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
-    top = spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "variant_idx int, value string")
-    vcf_lines(genotypes, **how).unionByName(top).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx").select("value").write.mode("overwrite").text(path)
+    spark, fixed = genotypes.sparkSession, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
+    head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
+    if isinstance(names, str):  # the line is made in a task, as it grows with the samples
+        numbers = F.array_sort(F.collect_list("sample_idx"))
+        told = genotypes.select("sample_idx").distinct().select(F.transform(numbers, lambda s: F.concat(F.lit(f"\t{names}_"), s.cast("string"))).alias("told"))
+        line = told.select(F.lit(-1).alias("variant_idx"), F.concat(F.lit(fixed), F.array_join("told", "")).alias("value"))
+    else:
+        line = spark.createDataFrame([(-1, "\t".join([fixed, *names]))], "variant_idx int, value string")
+    top = spark.createDataFrame([(i - len(head) - 1, h) for i, h in enumerate(head)], "variant_idx int, value string")
+    vcf_lines(genotypes, **how).unionByName(top).unionByName(line).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx").select("value").write.mode("overwrite").text(path)

@@ -39,3 +39,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_written_cells_are_told_at_their_size_in_memory(spark):
+    """Else a join that only looks at the file's size sends all cells to the driver; the tables of few rows a variant still look small."""
+    job = queries.Job(spark, SF).keep().with_windows().with_std()
+    told = lambda name: int(str(job.frames[name]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert told("geno") >= 24 * job.frames["geno"].count()  # three numbers a row
+    assert max(told("af"), told("in_window"), told("value_count")) < 10 << 20

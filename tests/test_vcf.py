@@ -129,3 +129,12 @@ def test_parallel_writing_keeps_the_order(spark, tmp_path):
     for lines in (vcf.read_lines(spark, str(tmp_path / "out")), vcf_source.variant_lines(spark, str(tmp_path / "out"))):
         got = vcf.read_genotypes(lines).select("sample_idx", "variant_idx", "pos", "dosage").collect()
         assert sorted(map(tuple, got)) == sorted((i, j, p, d) for i, j, _, p, _, _, d in rows)
+
+
+def test_the_names_line_is_made_in_a_task(spark, tmp_path):
+    rows = [(i, 1, "1", 10, "A", "C", 1.0) for i in (10, 9, 100)]
+    g = spark.createDataFrame(rows, "sample_idx int, variant_idx int, chrom string, pos int, ref string, alt string, dosage double")
+    vcf.write_vcf(g, "X", str(tmp_path / "a"))
+    vcf.write_vcf(g, ["X_9", "X_10", "X_100"], str(tmp_path / "b"))
+    a, b = (sorted(r.value for r in spark.read.text(str(tmp_path / n)).collect()) for n in "ab")
+    assert a == b and a[2].endswith("FORMAT\tX_9\tX_10\tX_100")
