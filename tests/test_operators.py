@@ -1,5 +1,6 @@
 """Micro-cases worked out by hand, and cases whose answer the definition fixes."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from cohortveil.functions.dialect import SPARK
 from cohortveil.functions.scalars import calibrate, clamp01, noisy_or, p_format
 from cohortveil.jobs import diagnostics, scoring
 from cohortveil.operators import blocks, eigen, kernels
+from cohortveil.operators import draws as array_draws
 from cohortveil.operators import relations as rel
 
 SMALL = "/root/testdata/sf0.01"
@@ -435,3 +437,22 @@ def test_narrow_panels_send_no_vectors_of_samples(spark, monkeypatch):
         monkeypatch.setattr(kernels, name, refuse)
     assert kernels.spectral(std).count() == 2
     assert kernels.component_points(kernels.centred(std), 3).count() == 60
+
+
+def test_draws_by_arrays_are_those_of_the_text(spark):
+    """Keys over several powers of ten and both sides of a word's end; counts by cell as the text's own picks."""
+    for head, first, n in (("v:replay:0:", 0, 11_000), ("v:excess:19:", 99_990, 30), ("v:excess:7:", 12_345_678_900, 2000), ("x", 9, 3), ("abcdefg", 95, 20)):
+        want = [int(hashlib.md5(f"{head}{i}".encode()).hexdigest()[:8], 16) for i in range(first, first + n)]
+        assert np.concatenate(list(array_draws.draws(head, first, n))).tolist() == want
+        for have in (7, 2**32 - 1, 2**32, 7_500_000_000):
+            edges = np.array([(have + 1) // 2, have])
+            below = sum(x % have < edges[0] for x in want)
+            assert array_draws.picked(head, first, n, have, edges).tolist() == [below, n - below]
+    cells = [("HO", True, None, 300), ("SYN", True, None, 300), ("HO", False, 0.1, 900), ("SYN", False, 0.1, 700), ("HO", False, 0.25, 90), ("SYN", False, 0.14, 70)]
+    kin_n = spark.createDataFrame(cells, "cohort string, own boolean, k double, n long")
+    steps = rel.tails((0.1, 0.25)) | rel.histogram(SPARK) | rel.value_draws(SPARK, 2, (0.1, 0.25)) | rel.value_runs()
+    steps.pop("kin_n")
+    told = "name, kind, b, cell, n, size"
+    want = sorted(map(str, run(spark, steps, f"select {told} from cell_b", kin_n=kin_n)))
+    runs = spark.sql(queries.chain({"kin_n": "select * from {kin_n}"} | steps, "select * from run"), kin_n=kin_n)
+    assert sorted(str(r.asDict()) for r in array_draws.cells_drawn(runs).select(*told.split(", ")).collect()) == want
