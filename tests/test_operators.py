@@ -456,3 +456,21 @@ def test_draws_by_arrays_are_those_of_the_text(spark):
     want = sorted(map(str, run(spark, steps, f"select {told} from cell_b", kin_n=kin_n)))
     runs = spark.sql(queries.chain({"kin_n": "select * from {kin_n}"} | steps, "select * from run"), kin_n=kin_n)
     assert sorted(str(r.asDict()) for r in array_draws.cells_drawn(runs).select(*told.split(", ")).collect()) == want
+
+
+def test_points_are_copied_few_times(spark, monkeypatch):
+    """Narrow points meet in few large tiles, and a tile's distances are looked at in parts; of points as wide as a task may hold there are more tiles."""
+    rng = np.random.default_rng(8)
+    rows = [(c, 1000 * k + i, [float(x) for x in rng.normal(size=3)]) for k, c in enumerate(("HO", "SYN")) for i in range(60)]
+    known = spark.createDataFrame(rows, "cohort string, sample_idx long, v array<double>")
+    x = {c: np.array([v for name, _, v in rows if name == c]) for c in ("HO", "SYN")}
+    far = {c: np.sqrt(((x["HO"][:, None] - x[c][None]) ** 2).sum(2)) + (np.diag([np.inf] * 60) if c == "HO" else 0) for c in x}
+    copied = []
+    for held, together in ((1 << 20, 1 << 22), (36, 70)):
+        monkeypatch.setattr(kernels, "_HELD_NUMBERS", held)
+        monkeypatch.setattr(kernels, "_DISTANCES", together)
+        pairs = kernels.nearest(known, tile=4)
+        got = {(r.sample_idx, r.cohort): r.dd for r in pairs.collect()}
+        assert all(got[i, c] == pytest.approx(far[c][i].min(), abs=1e-8) for i in range(60) for c in x)
+        copied.append(kernels.tiles_of(known, 4))
+    assert copied == [4, 10]
