@@ -47,3 +47,10 @@ def test_written_cells_are_told_at_their_size_in_memory(spark):
     told = lambda name: int(str(job.frames[name]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert told("geno") >= 24 * job.frames["geno"].count()  # three numbers a row
     assert max(told("af"), told("in_window"), told("value_count")) < 10 << 20
+
+
+def test_all_pairs_are_not_written_before_they_are_returned(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(queries, "kept", lambda frame, own=queries.kept: written.append(frame.columns) or own(frame))
+    found = queries.QUERIES["grm_pairs"](spark, SF)
+    assert found.columns == ["cohort", "i", "j", "k"] and written and not any("j" in columns for columns in written)
